@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, order_minhash, sharding
+from . import mixing, order_minhash, sharding, simhash
 from .common import table
 
 
@@ -32,6 +32,11 @@ def op4_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.place_words(docs).select("doc_id", "size", "source_size", "target", mixing.taken().alias("taken"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.classes(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op7_interleaving(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
     return sharding.interleave(docs).select(
@@ -46,4 +51,4 @@ def op7_interleaving(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_order_minhash, op4_sainte_lague, op7_interleaving)}
+    return {f.__name__: f for f in (op2_order_minhash, op4_sainte_lague, op6_simhash, op7_interleaving)}
