@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, order_minhash, sharding, simhash
-from .common import table
+from . import mixing, order_minhash, sharding, simhash, tokenfile
+from .common import new_folder, table
 
 
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,5 +50,14 @@ def op7_interleaving(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    folder = new_folder(spark, "token-ids")
+    manifest = tokenfile.write(docs, folder, public_tokenizers.path("word_bpe_49k.json"), vocabulary=49_408)
+    return tokenfile.read(docs, folder, manifest)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_order_minhash, op4_sainte_lague, op6_simhash, op7_interleaving)}
+    return {f.__name__: f for f in (op2_order_minhash, op4_sainte_lague, op6_simhash, op7_interleaving, op9_token_index)}
