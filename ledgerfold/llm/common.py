@@ -3,6 +3,7 @@ the cluster's shared folder, seeded order keys and distributed prefix sums."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -51,6 +52,19 @@ def drop_cut(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of shuffle files that nothing refers to any more: Spark deletes them when
+    the driver collects its garbage, which by itself may be long after."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once however often `use` names it, also in lambdas
+    (where the optimizer would put the expression itself)."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def text_of(column: str = "text") -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import GAP, text_of
+from .common import GAP, let, text_of
 
 K, BINS, PER_BIN = 3, 32, 2
 #: Bits of a k-mer's place in a text (67 million words) and of its hash.
@@ -25,11 +25,6 @@ HASH_BITS = 63 - PLACE_BITS
 PLACE_MASK = (1 << PLACE_BITS) - 1
 
 
-def _let(value: Column, use) -> Column:
-    """use(value), with value computed once however often it is used."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _hash_of(x: Column) -> Column:
     return F.shiftrightunsigned(x, PLACE_BITS)
 
@@ -77,7 +72,7 @@ def signature(text: Column, k: int = K, bins: int = BINS, per_bin: int = PER_BIN
 
     def numbered(s: Column) -> Column:
         def one(x: Column, t: Column) -> Column:
-            return _let(
+            return let(
                 occurrence(s, x, t),
                 lambda n: F.when(n == 0, x).otherwise(
                     _packed(F.xxhash64(_hash_of(x), n), x.bitwiseAND(F.lit(PLACE_MASK).cast("long")))
@@ -94,12 +89,12 @@ def signature(text: Column, k: int = K, bins: int = BINS, per_bin: int = PER_BIN
             mine = F.filter(s, lambda x: _bin(x, bins) == b)
             place = lambda x: x.bitwiseAND(F.lit(PLACE_MASK).cast("long"))
             in_text = F.array_sort(F.transform(mine, lambda x: F.struct(place(x).alias("p"), _hash_of(x).alias("h"))))
-            return _let(in_text, lambda y: F.when(F.size(y) > 0, F.xxhash64(F.transform(y, lambda z: z["h"]))))
+            return let(in_text, lambda y: F.when(F.size(y) > 0, F.xxhash64(F.transform(y, lambda z: z["h"]))))
 
         return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), of)
 
     words = F.filter(F.split(text, GAP), lambda w: w != "")
-    return _let(words, lambda w: _let(kmers(w), lambda s: _let(numbered(s), lambda n: _let(minimal(n), tuples))))
+    return let(words, lambda w: let(kmers(w), lambda s: let(numbered(s), lambda n: let(minimal(n), tuples))))
 
 
 def as_string(sig: Column) -> Column:

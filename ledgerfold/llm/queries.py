@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, order_minhash, sharding, simhash, tokenfile
-from .common import new_folder, table
+from . import lines, mixing, order_minhash, sharding, simhash, tokenfile
+from .common import new_folder, table, text_of
 
 
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,18 @@ def op7_interleaving(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = lines.deduplicate(table(spark, sf_dir, "documents", "doc_id", "text"))
+    split = F.when(text_of() == "", 0).otherwise(F.length(text_of()) - F.length(F.replace(text_of(), F.lit("\n"))) + 1)
+    return docs.select(
+        "doc_id",
+        split.cast("long").alias("n_lines"),
+        F.when(F.col("dropped").isNull(), 0).otherwise(F.size("dropped")).cast("long").alias("n_dropped"),
+        F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped_lines"),
+        F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
 def op9_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -60,4 +72,4 @@ def op9_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_order_minhash, op4_sainte_lague, op6_simhash, op7_interleaving, op9_token_index)}
+    return {f.__name__: f for f in (op2_order_minhash, op4_sainte_lague, op6_simhash, op7_interleaving, op8_fuzzy_lines, op9_token_index)}
