@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, order_minhash, sharding, simhash, tokenfile
+from . import lines, mixing, order_minhash, sharding, simhash, suffix_tree, tokenfile
 from .common import new_folder, table, text_of
 
 
+def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.scores(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = order_minhash.with_next(table(spark, sf_dir, "documents", "doc_id", "text"))
     both = docs.withColumn("_edited", order_minhash.edited(F.col("text"), F.col("next_text"))).withColumn(
@@ -72,4 +76,4 @@ def op9_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_order_minhash, op4_sainte_lague, op6_simhash, op7_interleaving, op8_fuzzy_lines, op9_token_index)}
+    return {f.__name__: f for f in (op1_suffix_tree, op2_order_minhash, op4_sainte_lague, op6_simhash, op7_interleaving, op8_fuzzy_lines, op9_token_index)}
