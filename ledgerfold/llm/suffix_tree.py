@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, drop_cut, release, text_of
+from .words import hash_long, hash_table, look_up, slices, words_of
 
 #: Words of the longest context; its least occurrences; the least gain in nats for each
 #: distinct next symbol; the discount of each count.
@@ -35,34 +36,12 @@ MAP_BITS, PART_ROWS, COUNT_ROWS, BATCH_BYTES = 26, 8_000_000, 2_500_000, 1 << 21
 #: Symbols that are no words, as hashes.
 BEGIN, END = np.uint64(0x0B), np.uint64(0x0E)
 
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
-SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
-
-
 def held_out() -> Column:
     """Whether a document is not learned from: crc32 of its id as text, modulo 7, is 2."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-# ---- hashes ------------------------------------------------------------------------
-
-
-def _rotl(x: np.ndarray, by: int) -> np.ndarray:
-    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
-
-
-def hash_long(x: np.ndarray, seed: np.ndarray | np.uint64) -> np.ndarray:
-    """XXH64 of 8 bytes, as Spark's xxhash64 has it for a long."""
-    p1, p2, p3, p4, p5 = (
-        np.uint64(p)
-        for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
-    )
-    h = (seed + p5 + np.uint64(8)) ^ (_rotl(x * p2, 31) * p1)
-    h = _rotl(h, 27) * p1 + p4
-    h = (h ^ (h >> np.uint64(33))) * p2
-    h = (h ^ (h >> np.uint64(29))) * p3
-    return h ^ (h >> np.uint64(32))
+# ---- symbols and contexts -----------------------------------------------------------
 
 
 def extend(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
@@ -70,46 +49,11 @@ def extend(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     return hash_long(symbol, hash_long(context, np.uint64(42)))
 
 
-_made: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd number modulo 2 ** 64, and of its inverse."""
-    if n not in _made:
-        base = 0x9E3779B97F4A7C15
-        x, y = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
-        x[0] = y[0] = 1
-        _made.clear()
-        _made[n] = np.multiply.accumulate(x), np.multiply.accumulate(y)
-    return _made[n]
-
-
-def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of some texts, lower-cased, and the number in each text."""
-    texts = texts.cast(pa.large_string())
-    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]] if len(texts) else np.zeros(0, np.uint8)
-    bounds = bounds - bounds[0]
-    n = len(data)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
-    word = ~SPACE[data]
-    breaks = np.zeros(n + 1, bool)
-    breaks[bounds] = True
-    before = np.r_[False, word[:-1]] & ~breaks[:-1]
-    after = np.r_[word[1:], False] & ~breaks[1:]
-    starts, ends = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
-    power, inverse = _powers(1 << max(21, int(n).bit_length()))
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((LOWER[data].astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
-    hashes = hash_long((sums[ends] - sums[starts]) * inverse[starts], (ends - starts).astype(np.uint64))
-    return np.where(hashes <= END, hashes + np.uint64(99), hashes), np.diff(np.searchsorted(starts, bounds))
-
-
 def laid_out(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols of the texts in a row, each text's after DEPTH begin marks and before an end
     mark; the places of predicted symbols (not begin marks); and their number per text."""
-    words, counts = words_of(texts)
+    found = words_of(texts)
+    words, counts = np.where(found.hashes <= END, found.hashes + np.uint64(99), found.hashes), found.counts
     firsts = np.cumsum(counts + DEPTH + 1) - counts - 1
     out = np.full(int((counts + DEPTH + 1).sum()), BEGIN)
     out[np.arange(len(words)) + np.repeat(firsts - (np.cumsum(counts) - counts), counts)] = words
@@ -126,17 +70,6 @@ def contexts(symbols: np.ndarray, depth: int) -> list[np.ndarray]:
     return out
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with some BATCH_BYTES of text, one text at least."""
-    sizes = np.cumsum(pa.compute.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < batch.num_rows:
-        done = sizes[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(sizes, done + BATCH_BYTES, "right")))
-        yield batch.slice(at, end - at)
-        at = end
-
-
 # ---- bit maps and tables -----------------------------------------------------------
 
 
@@ -156,37 +89,6 @@ def in_map(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
-def hash_table(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Open addressing; key 0 marks a free slot."""
-    size = len(keys) * 10 // 7 + 1
-    slots, held = np.zeros(size, np.uint64), np.zeros(size, values.dtype)
-    at = _slot(keys, size)
-    while len(keys):
-        free = slots[at] == 0
-        slots[at[free]] = keys[free]  # of those that meet in a slot, one stays
-        won = slots[at] == keys
-        held[at[won]] = values[won]
-        keys, values, at = keys[~won], values[~won], (at[~won] + 1) % size
-    return slots, held
-
-
-def _slot(keys: np.ndarray, size: int) -> np.ndarray:
-    return ((keys >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)).astype(np.int64)
-
-
-def look_up(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray, missing: float) -> np.ndarray:
-    slots, held = table
-    out = np.full(len(keys), missing, held.dtype)
-    at, who = _slot(keys, len(slots)), np.arange(len(keys))
-    while len(who):
-        found = slots[at]
-        hit = found == keys[who]
-        out[who[hit]] = held[at[hit]]
-        on = ~hit & (found != 0)
-        who, at = who[on], (at[on] + 1) % len(slots)
-    return out
-
-
 # ---- counting ----------------------------------------------------------------------
 
 
@@ -210,7 +112,7 @@ def _counted(train: DataFrame, columns: list[str], windows) -> DataFrame:
         parts: list[list[np.ndarray]] = []
         size = 0
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch, BATCH_BYTES):
                 symbols, places, _ = laid_out(part.column("text"))
                 found = windows(symbols, places)
                 parts.append(merge([[*found, np.ones(len(found[0]), np.int64)]]))
@@ -337,7 +239,7 @@ def _scored(docs: DataFrame, shared, total: int, kinds: int) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch, BATCH_BYTES):
                 symbols, places, counts = laid_out(part.column("text"))
                 ends = contexts(symbols, DEPTH)
                 sym = symbols[places]
