@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, order_minhash, sharding, simhash, suffix_tree, tokenfile
+from . import lines, mixing, order_minhash, sharding, simhash, suffix_tree, tokenfile, toxicity
 from .common import new_folder, table, text_of
 
 
@@ -31,6 +31,12 @@ def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic")
+    found = toxicity.rejected(docs, labels)
+    return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 def op4_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
     return mixing.place_words(docs).select("doc_id", "size", "source_size", "target", mixing.taken().alias("taken"))
@@ -71,9 +77,10 @@ def op9_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     folder = new_folder(spark, "token-ids")
-    manifest = tokenfile.write(docs, folder, public_tokenizers.path("word_bpe_49k.json"), vocabulary=49_408)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    manifest = tokenfile.write(docs, folder, path, vocabulary=49_408, caseless=True)
     return tokenfile.read(docs, folder, manifest)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_tree, op2_order_minhash, op4_sainte_lague, op6_simhash, op7_interleaving, op8_fuzzy_lines, op9_token_index)}
+    return {f.__name__: f for f in (op1_suffix_tree, op2_order_minhash, op3_toxicity, op4_sainte_lague, op6_simhash, op7_interleaving, op8_fuzzy_lines, op9_token_index)}

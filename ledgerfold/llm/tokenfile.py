@@ -30,7 +30,7 @@ MAGIC = b"MPHIDS01"
 #: the few keys left are listed.
 GAMMA, LEVELS = 2, 32
 #: Encoded words a worker keeps, and documents a shard should hold.
-CACHE_WORDS, SHARD_DOCS = 600_000, 10_000
+CACHE_WORDS, SHARD_DOCS = 1_000_000, 10_000
 END_ID = 2
 
 
@@ -126,10 +126,11 @@ _known: dict[tuple[str, str], dict[bytes, bytes]] = {}
 BETWEEN = "|"
 
 
-def _encoder(tokenizer_path: str, end_id: int, dtype: str):
+def _encoder(tokenizer_path: str, end_id: int, dtype: str, caseless: bool):
     """A function from texts to their ids as bytes. White space (0x20, 0x09-0x0D) always
     ends a token and leaves nothing, so a text's ids are those of its words in turn, and
-    each word is encoded once."""
+    each word is encoded once. caseless: the tokenizer lower-cases texts, so that words
+    may be lower-cased before (but where `<|` might begin one of its special tokens)."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path)
@@ -148,16 +149,20 @@ def _encoder(tokenizer_path: str, end_id: int, dtype: str):
         known.update((w, ids_of(w.decode()).tobytes()) for w in words if w not in known)
 
     def encoded(texts: list[str]) -> list[bytes]:
-        split = [t.encode().split() for t in texts]
+        split = [(t.encode().lower() if caseless and "<|" not in t else t.encode()).split() for t in texts]
+        kinds = set().union(*split)
         if len(known) > CACHE_WORDS:
             known.clear()
-        learn(list({w for words in split for w in words if w not in known}))
-        return [b"".join(map(known.__getitem__, words)) + end for words in split]
+        learn([w for w in kinds if w not in known])
+        here = {w: known[w] for w in kinds}  # small enough for the processor's cache
+        return [b"".join(map(here.__getitem__, words)) + end for words in split]
 
     return encoded
 
 
-def write(docs: DataFrame, folder: str, tokenizer_path: str, vocabulary: int, end_id: int = END_ID) -> DataFrame:
+def write(
+    docs: DataFrame, folder: str, tokenizer_path: str, vocabulary: int, end_id: int = END_ID, caseless: bool = False
+) -> DataFrame:
     """Writes the files of docs into `folder`, which all executors must share, and
     returns the manifest, a row for each shard: shard, n_docs, n_ids, n_void (documents of
     null doc_id), first and last (doc_id), start (ids of all shards before).
@@ -178,7 +183,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, vocabulary: int, en
     )
 
     def write_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoded, keys, void, sizes = _encoder(tokenizer_path, end_id, dtype), [], [], [np.zeros(1, np.int64)]
+        encoded, keys, void, sizes = _encoder(tokenizer_path, end_id, dtype, caseless), [], [], [np.zeros(1, np.int64)]
         context = TaskContext.get()
         shard = context.partitionId()
         attempt = f"{folder}/_{shard}-{context.taskAttemptId()}"

@@ -61,7 +61,7 @@ class Spans:
 @dataclass
 class Words:
     """All words of some texts: the lower-cased (A-Z) bytes of the texts in a row, where each
-    word starts and ends, its hash, and the number of words of each text."""
+    word starts and ends, its hash, and the number of words of each text (null: none)."""
 
     data: np.ndarray
     starts: np.ndarray
@@ -71,7 +71,7 @@ class Words:
 
 
 def words_of(texts: pa.Array) -> Words:
-    texts = texts.cast(pa.large_string())
+    texts = texts.cast(pa.large_string()).fill_null("")
     bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
     data = LOWER[np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]]
     bounds = bounds - bounds[0]
@@ -86,7 +86,7 @@ def words_of(texts: pa.Array) -> Words:
 
 def slices(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with some `size` bytes of `text`, one text at least."""
-    sizes = np.cumsum(pa.compute.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
+    sizes = np.cumsum(pa.compute.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False))
     at = 0
     while at < batch.num_rows:
         done = sizes[at - 1] if at else 0
