@@ -126,7 +126,7 @@ _known: dict[tuple[str, str], dict[bytes, bytes]] = {}
 BETWEEN = "|"
 
 
-def _encoder(tokenizer_path: str, end_id: int, dtype: str, caseless: bool):
+def _encoder(tokenizer_path: str, end_id: int, dtype: str, caseless: bool, apart: bool):
     """A function from texts to their ids as bytes. White space (0x20, 0x09-0x0D) always
     ends a token and leaves nothing, so a text's ids are those of its words in turn, and
     each word is encoded once. caseless: the tokenizer lower-cases texts, so that words
@@ -139,13 +139,22 @@ def _encoder(tokenizer_path: str, end_id: int, dtype: str, caseless: bool):
     between, end = ids_of(BETWEEN), np.array([end_id], dtype).tobytes()
 
     def learn(words: list[bytes]) -> None:
+        if apart:  # a word before a comma or stop, and that sign
+            ended = [w for w in words if w[-1:] in (b",", b".") and w[-2:-1].isalpha()]
+            learn_whole(list({x for w in ended for x in (w[:-1], w[-1:])}.union(words).difference(ended, known)))
+            known.update((w, known[w[:-1]] + known[w[-1:]]) for w in ended)
+        else:
+            learn_whole(words)
+
+    def learn_whole(words: list[bytes]) -> None:
         plain = [w for w in words if BETWEEN.encode() not in w]
         together = plain if len(between) == 1 else []
         for at in range(0, len(together), 256):
             part = together[at : at + 256]
             ids = ids_of(f" {BETWEEN} ".join(w.decode() for w in part))
-            stops = [-1, *np.flatnonzero(ids == between[0]), len(ids)]
-            known.update((w, ids[i + 1 : j].tobytes()) for w, i, j in zip(part, stops, stops[1:]))
+            width, raw = ids.itemsize, ids.tobytes()
+            stops = (np.flatnonzero(ids == between[0]) * width).tolist()
+            known.update((w, raw[i:j]) for w, i, j in zip(part, [0, *(x + width for x in stops)], [*stops, len(raw)]))
         known.update((w, ids_of(w.decode()).tobytes()) for w in words if w not in known)
 
     def encoded(texts: list[str]) -> list[bytes]:
@@ -161,7 +170,13 @@ def _encoder(tokenizer_path: str, end_id: int, dtype: str, caseless: bool):
 
 
 def write(
-    docs: DataFrame, folder: str, tokenizer_path: str, vocabulary: int, end_id: int = END_ID, caseless: bool = False
+    docs: DataFrame,
+    folder: str,
+    tokenizer_path: str,
+    vocabulary: int,
+    end_id: int = END_ID,
+    caseless: bool = False,
+    apart: bool = False,
 ) -> DataFrame:
     """Writes the files of docs into `folder`, which all executors must share, and
     returns the manifest, a row for each shard: shard, n_docs, n_ids, n_void (documents of
@@ -183,7 +198,7 @@ def write(
     )
 
     def write_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoded, keys, void, sizes = _encoder(tokenizer_path, end_id, dtype, caseless), [], [], [np.zeros(1, np.int64)]
+        encoded, keys, void, sizes = _encoder(tokenizer_path, end_id, dtype, caseless, apart), [], [], [np.zeros(1, np.int64)]
         context = TaskContext.get()
         shard = context.partitionId()
         attempt = f"{folder}/_{shard}-{context.taskAttemptId()}"
