@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, order_minhash, sharding, simhash, suffix_tree, tokenfile, toxicity
+from . import hamming, lines, mixing, order_minhash, packing, sharding, simhash, suffix_tree, tokenfile, toxicity
 from .common import new_folder, table, text_of
 
 
@@ -42,6 +42,10 @@ def op4_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.place_words(docs).select("doc_id", "size", "source_size", "target", mixing.taken().alias("taken"))
 
 
+def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents", "doc_id", "text")).drop("text_hash")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(table(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -78,9 +82,34 @@ def op9_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     folder = new_folder(spark, "token-ids")
     path = public_tokenizers.path("word_bpe_49k.json")
-    manifest = tokenfile.write(docs, folder, path, vocabulary=49_408, caseless=True)
+    manifest = tokenfile.write(docs, folder, path, vocabulary=49_408, caseless=True, apart=True)
     return tokenfile.read(docs, folder, manifest)
 
 
+def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    codes = rows.select(F.col("vec_id").alias("id"), hamming.sign_code(F.col("embedding")).alias("code"))
+    return hamming.search(codes, F.col("id") % 20 == 0)
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_tree, op2_order_minhash, op3_toxicity, op4_sainte_lague, op6_simhash, op7_interleaving, op8_fuzzy_lines, op9_token_index)}
+    found = (
+        op1_suffix_tree,
+        op2_order_minhash,
+        op3_toxicity,
+        op4_sainte_lague,
+        op5_best_fit,
+        op6_simhash,
+        op7_interleaving,
+        op8_fuzzy_lines,
+        op9_token_index,
+        op10_multi_index,
+        pipeline,
+    )
+    return {f.__name__: f for f in found}
