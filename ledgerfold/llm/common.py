@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,13 +36,17 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, what: str) -> str:
+    """The folder, in the shared one, to which df was written."""
+    path = new_folder(df.sparkSession, what)
+    df.write.parquet(path)
+    return path
+
+
 def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     """df written to a table in the shared folder and read again: later jobs neither
     recompute it nor lose it with an executor, and the optimizer knows its size."""
-    spark = df.sparkSession
-    path = new_folder(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, what))
 
 
 def drop_cut(df: DataFrame) -> None:
@@ -65,6 +70,13 @@ def let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """name, after as many underscores as it takes not to be a column of df."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
 def text_of(column: str = "text") -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(column), F.lit(""))
@@ -112,3 +124,23 @@ def running_offsets(
         .withColumn(into, (F.col("_base") + F.col("_local")).cast("long"))
         .drop("_bucket", "_local", "_base", "_of_bucket", *(f"_of_{g}" for g in group))
     )
+
+
+#: Bits of a bit map.
+MAP_BITS = 26
+
+
+def bit_map(keys: DataFrame) -> np.ndarray:
+    """A bit map of MAP_BITS bits of the longs `key`: at most 2 ** (MAP_BITS - 6) rows
+    come to the driver, whatever the number of keys."""
+    bit = F.col("key").bitwiseAND(F.lit((1 << MAP_BITS) - 1).cast("long"))
+    one = F.expr(f"shiftleft(1L, cast(key & 63 as int))")
+    rows = keys.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()
+    out = np.zeros(1 << (MAP_BITS - 6), np.uint64)
+    out[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def in_map(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys & np.uint64((1 << MAP_BITS) - 1)
+    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1

@@ -18,19 +18,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 import pyarrow.fs  # noqa: F401  pa.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, text_of
+from .words import Numbers, slices, words_of
 
 MAGIC = b"MPHIDS01"
 #: Bits for each key that is left, on a level of the hash; levels at most, after which
 #: the few keys left are listed.
 GAMMA, LEVELS = 2, 32
-#: Encoded words a worker keeps, and documents a shard should hold.
-CACHE_WORDS, SHARD_DOCS = 1_000_000, 10_000
+#: Ids of encoded words that a worker keeps, bytes of text encoded together, and documents
+#: a shard should hold.
+CACHE_IDS, BATCH_BYTES, SHARD_DOCS = 20_000_000, 1 << 21, 10_000
 END_ID = 2
 
 
@@ -120,53 +123,110 @@ class Index:
         return np.where(own, found[:, 0], 0), np.where(own, found[:, 1], 0)
 
 
-#: Encoded words of this process, by tokenizer and width.
-_known: dict[tuple[str, str], dict[bytes, bytes]] = {}
 #: Stands between words that are encoded together; a word that has it is encoded alone.
 BETWEEN = "|"
 
 
-def _encoder(tokenizer_path: str, end_id: int, dtype: str, caseless: bool, apart: bool):
-    """A function from texts to their ids as bytes. White space (0x20, 0x09-0x0D) always
-    ends a token and leaves nothing, so a text's ids are those of its words in turn, and
-    each word is encoded once. caseless: the tokenizer lower-cases texts, so that words
-    may be lower-cased before (but where `<|` might begin one of its special tokens)."""
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(tokenizer_path)
-    known = _known.setdefault((tokenizer_path, dtype), {})
-    ids_of = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype)
-    between, end = ids_of(BETWEEN), np.array([end_id], dtype).tobytes()
-
-    def learn(words: list[bytes]) -> None:
-        if apart:  # a word before a comma or stop, and that sign
-            ended = [w for w in words if w[-1:] in (b",", b".") and w[-2:-1].isalpha()]
-            learn_whole(list({x for w in ended for x in (w[:-1], w[-1:])}.union(words).difference(ended, known)))
-            known.update((w, known[w[:-1]] + known[w[-1:]]) for w in ended)
-        else:
-            learn_whole(words)
-
-    def learn_whole(words: list[bytes]) -> None:
-        plain = [w for w in words if BETWEEN.encode() not in w]
-        together = plain if len(between) == 1 else []
-        for at in range(0, len(together), 256):
-            part = together[at : at + 256]
-            ids = ids_of(f" {BETWEEN} ".join(w.decode() for w in part))
-            width, raw = ids.itemsize, ids.tobytes()
-            stops = (np.flatnonzero(ids == between[0]) * width).tolist()
-            known.update((w, raw[i:j]) for w, i, j in zip(part, [0, *(x + width for x in stops)], [*stops, len(raw)]))
-        known.update((w, ids_of(w.decode()).tobytes()) for w in words if w not in known)
+class Encoder:
+    """Ids of texts, for tokenizers to which white space (0x20, 0x09-0x0D) always ends a
+    token and leaves none: a text's ids are those of its words in turn. Each word is
+    encoded once a process, and known by a 64-bit hash.
 
-    def encoded(texts: list[str]) -> list[bytes]:
-        split = [(t.encode().lower() if caseless and "<|" not in t else t.encode()).split() for t in texts]
-        kinds = set().union(*split)
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        learn([w for w in kinds if w not in known])
-        here = {w: known[w] for w in kinds}  # small enough for the processor's cache
-        return [b"".join(map(here.__getitem__, words)) + end for words in split]
+    caseless: the tokenizer lower-cases texts, so words are lower-cased before. apart: no
+    token has letters and, after them, a comma or stop. Texts with `<|`, where one of the
+    tokenizer's special tokens may begin, are encoded as they are.
+    """
 
-    return encoded
+    def __init__(self, path: str, dtype: str, caseless: bool, apart: bool):
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.dtype = Tokenizer.from_file(path), dtype
+        self.caseless, self.apart = caseless, apart
+        self.between = self.ids_of(BETWEEN)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.numbers, self.size = Numbers(), np.zeros(0, np.int64)
+        self.first, self.ids, self.used = np.zeros(0, np.int64), np.zeros(1 << 16, self.dtype), 0
+
+    def ids_of(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
+
+    def _keep(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + len(ids), self.dtype)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.first = np.concatenate([self.first, self.used + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes])
+        self.used += len(ids)
+        self.numbers.add(keys)
+
+    def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+        alone = np.array([BETWEEN.encode() in w or len(self.between) > 1 for w in words], bool)
+        together, ids, sizes = np.flatnonzero(~alone), [], []
+        for at in range(0, len(together), 256):
+            part = together[at : at + 256]
+            found = self.ids_of(f" {BETWEEN} ".join(words[i].decode() for i in part))
+            own = found != self.between[0]
+            stops = np.flatnonzero(~own)
+            ids.append(found[own])
+            sizes.append(np.diff(np.r_[-1, stops, len(found)]) - 1)
+        for i in np.flatnonzero(alone):
+            ids.append(self.ids_of(words[i].decode()))
+            sizes.append([len(ids[-1])])
+        if ids:
+            order = np.concatenate([together, np.flatnonzero(alone)])
+            self._keep(keys[order], np.concatenate(ids), np.concatenate(sizes))
+
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of known words (numbers) in a row, and how many each has."""
+        sizes = self.size[at]
+        inner = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return self.ids[np.repeat(self.first[at], sizes) + inner], sizes
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each text has."""
+        if self.used > CACHE_IDS:
+            self._clear()
+        w = words_of(texts, lower=self.caseless)
+        keys, first, word = np.unique(w.hashes, return_index=True, return_inverse=True)
+        fresh = np.flatnonzero(self.numbers.find(keys) < 0)
+        starts, ends = w.starts[first[fresh]], w.ends[first[fresh]]
+        ended = np.zeros(len(fresh), bool)
+        if self.apart and len(fresh):  # a word and a comma or stop
+            before = w.data[np.maximum(ends - 2, 0)]
+            ended = np.isin(w.data[ends - 1], SIGNS) & (ends - starts > 1) & ((before >= 97) & (before <= 122))
+        stems = w.spans.hashes(starts[ended], ends[ended] - 1)
+        new, at = np.unique(np.concatenate([keys[fresh[~ended]], stems]), return_index=True)
+        lo = np.concatenate([starts[~ended], starts[ended]])[at]
+        hi = np.concatenate([ends[~ended], ends[ended] - 1])[at]
+        unknown = self.numbers.find(new) < 0
+        data = w.data.tobytes()
+        self._learn(new[unknown], [data[a:b] for a, b in zip(lo[unknown].tolist(), hi[unknown].tolist())])
+        if ended.any():
+            ids, sizes = self._gather(self.numbers.find(stems))
+            sign = np.array([self.ids_of(chr(c))[0] for c in SIGNS], self.dtype)[np.searchsorted(SIGNS, w.data[ends[ended] - 1])]
+            self._keep(keys[fresh[ended]], np.insert(ids, np.cumsum(sizes), sign), sizes + 1)
+        ids, sizes = self._gather(self.numbers.find(keys)[word])
+        at = np.r_[0, np.cumsum(sizes)][np.r_[0, np.cumsum(w.counts)]]
+        counts = np.diff(at)
+        odd = np.flatnonzero(pa.compute.match_substring(texts.cast(pa.large_string()), "<|").fill_null(False).to_numpy(zero_copy_only=False))
+        if len(odd):
+            parts = np.split(ids, at[1:-1])
+            for i in odd:
+                parts[i] = self.ids_of(texts[int(i)].as_py())
+            ids, counts = np.concatenate(parts), np.array([len(x) for x in parts])
+        return ids, counts
+
+
+SIGNS = np.array([44, 46], np.uint8)  # comma, stop
+_encoders: dict[tuple, Encoder] = {}
+
+
+def _encoder(*of) -> Encoder:
+    if of not in _encoders:
+        _encoders[of] = Encoder(*of)
+    return _encoders[of]
 
 
 def write(
@@ -198,7 +258,7 @@ def write(
     )
 
     def write_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoded, keys, void, sizes = _encoder(tokenizer_path, end_id, dtype, caseless, apart), [], [], [np.zeros(1, np.int64)]
+        encoder, keys, void, sizes = _encoder(tokenizer_path, dtype, caseless, apart), [], [], [np.zeros(1, np.int64)]
         context = TaskContext.get()
         shard = context.partitionId()
         attempt = f"{folder}/_{shard}-{context.taskAttemptId()}"
@@ -207,16 +267,16 @@ def write(
         for batch in batches:
             if out is None:
                 out = fs.open_output_stream(f"{own}.bin")
-            for at in range(0, batch.num_rows, 256):
-                ids = encoded(batch.column("text").slice(at, 256).to_pylist())
-                sizes.append(np.array([len(x) for x in ids], np.int64))
-                out.write(b"".join(ids))
+            for part in slices(batch, BATCH_BYTES):
+                ids, counts = encoder.encode(part.column("text"))
+                sizes.append(counts + 1)
+                out.write(np.insert(ids, np.cumsum(counts), end_id).tobytes())
             keys.append(batch.column("doc_id").fill_null(0).to_numpy())
             void.append(batch.column("doc_id").is_null().to_numpy(zero_copy_only=False))
         if out is None:
             return
         out.close()
-        starts = np.cumsum(np.concatenate(sizes)) // np.dtype(dtype).itemsize
+        starts = np.cumsum(np.concatenate(sizes))
         with fs.open_output_stream(f"{own}.idx") as index:
             index.write(write_index(np.concatenate(keys), np.concatenate(void), starts, np.dtype(dtype).itemsize))
         for end in ("bin", "idx"):

@@ -49,7 +49,7 @@ class Spans:
     """Hashes of stretches of some bytes, from sums of prefixes."""
 
     def __init__(self, data: np.ndarray):
-        power, self._inverse = _powers(1 << max(21, len(data).bit_length()))
+        power, self._inverse = _powers(1 << max(20, len(data).bit_length()))
         self._sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=self._sums[1:])
 
@@ -60,20 +60,23 @@ class Spans:
 
 @dataclass
 class Words:
-    """All words of some texts: the lower-cased (A-Z) bytes of the texts in a row, where each
-    word starts and ends, its hash, and the number of words of each text (null: none)."""
+    """All words of some texts: the bytes of the texts in a row (A-Z lower-cased), where each
+    word starts and ends, its hash, the number of words of each text (null: none), and the
+    hashes of other stretches."""
 
     data: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
     hashes: np.ndarray
     counts: np.ndarray
+    spans: Spans
 
 
-def words_of(texts: pa.Array) -> Words:
+def words_of(texts: pa.Array, lower: bool = True) -> Words:
     texts = texts.cast(pa.large_string()).fill_null("")
     bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
-    data = LOWER[np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+    data = LOWER[data] if lower else data
     bounds = bounds - bounds[0]
     word = ~SPACE[data]
     breaks = np.zeros(len(data) + 1, bool)
@@ -81,7 +84,8 @@ def words_of(texts: pa.Array) -> Words:
     before = np.r_[False, word][:-1] & ~breaks[:-1]
     after = np.r_[word, False][1:] & ~breaks[1:]
     starts, ends = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
-    return Words(data, starts, ends, Spans(data).hashes(starts, ends), np.diff(np.searchsorted(starts, bounds)))
+    spans = Spans(data)
+    return Words(data, starts, ends, spans.hashes(starts, ends), np.diff(np.searchsorted(starts, bounds)), spans)
 
 
 def slices(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
@@ -99,14 +103,18 @@ def hash_table(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.nda
     """Open addressing; key 0 marks a free slot."""
     size = len(keys) * 10 // 7 + 1
     slots, held = np.zeros(size, np.uint64), np.zeros(size, values.dtype)
-    at = _slot(keys, size)
+    place(slots, held, keys, values)
+    return slots, held
+
+
+def place(slots: np.ndarray, held: np.ndarray, keys: np.ndarray, values: np.ndarray) -> None:
+    at = _slot(keys, len(slots))
     while len(keys):
         free = slots[at] == 0
         slots[at[free]] = keys[free]  # of those that meet in a slot, one stays
         won = slots[at] == keys
         held[at[won]] = values[won]
-        keys, values, at = keys[~won], values[~won], (at[~won] + 1) % size
-    return slots, held
+        keys, values, at = keys[~won], values[~won], (at[~won] + 1) % len(slots)
 
 
 def _slot(keys: np.ndarray, size: int) -> np.ndarray:
@@ -124,3 +132,24 @@ def look_up(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray, missing: flo
         on = ~hit & (found != 0)
         who, at = who[on], (at[on] + 1) % len(slots)
     return out
+
+
+class Numbers:
+    """Numbers 0, 1, ... of keys (not 0), in the order of their coming."""
+
+    def __init__(self) -> None:
+        self.keys = np.zeros(0, np.uint64)
+        self._slots, self._held = np.zeros(1024, np.uint64), np.zeros(1024, np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        return look_up((self._slots, self._held), keys, -1)
+
+    def add(self, keys: np.ndarray) -> None:
+        """Keys that aren't there yet, each once."""
+        values = np.arange(len(self.keys), len(self.keys) + len(keys), dtype=np.int32)
+        self.keys = np.concatenate([self.keys, keys])
+        if len(self.keys) * 10 > len(self._slots) * 7:
+            size = 2 * len(self._slots) + 2 * len(keys)
+            self._slots, self._held = np.zeros(size, np.uint64), np.zeros(size, np.int32)
+            keys, values = self.keys, np.arange(len(self.keys), dtype=np.int32)
+        place(self._slots, self._held, keys, values)
