@@ -15,7 +15,7 @@ from ledgerfold.llm.common import new_folder, table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the toxicity model, learned from their labels, doesn't reject."""
     labels = table(spark, sf_dir, "labels", "doc_id", "toxic")
-    return toxicity.rejected(docs, labels).filter("predicted = 0").select(*docs.columns)
+    return toxicity.accepted(docs, labels)
 
 
 def drop_similar_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

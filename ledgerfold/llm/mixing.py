@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import GAP, KEY_BITS, cut, running_offsets, seeded_key, text_of, word_count
+from .common import GAP, KEY_BITS, cut, let, running_offsets, seeded_key, text_of, word_count
 
 SOURCE_BITS = 10
 
@@ -127,14 +127,12 @@ def place_words(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     shuffled stream), rounds (times that all of it is taken), and head and tail: word
     ranges [from, to) of it taken once more.
 
-    docs: doc_id, text, source and any other columns not named as the new ones. A null or
-    empty text has size 0 and gives nothing to the mix; a null source is a source of its
+    docs: doc_id, text, source; other columns are left out. A null or empty text has size 0 and gives nothing to the mix; a null source is a source of its
     own; repeated rows are rows of their own; an empty table gives an empty result.
     """
     key = seeded_key(mix.seed, F.col("doc_id"), F.md5(text_of().cast("binary")))
-    sized = docs.withColumns({"size": word_count(), "_key": key})
-    streams = cut(sized.select("doc_id", "source", "size", "_key"), "mix-sizes")
-    return place_sized(sized, streams, mix)
+    sized = cut(docs.select("doc_id", "source", word_count().alias("size"), key.alias("_key")), "mix-sizes")
+    return place_sized(sized, sized, mix)
 
 
 def place_sized(sized: DataFrame, streams: DataFrame, mix: Mix) -> DataFrame:
@@ -180,24 +178,24 @@ def taken() -> Column:
 def mixed_texts(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The mix: the columns of docs, a row for each round that takes all or part of a
     document. A whole document keeps its text as it is; a part is the document's taken
-    words, joined by spaces, with n_chars set anew where there is such a column."""
-    columns = docs.columns
-    placed = place_words(docs, mix)
-    span = lambda part: F.slice(F.col("_words"), F.col(f"{part}.from").cast("int") + 1, (F.col(f"{part}.to") - F.col(f"{part}.from")).cast("int"))
+    words, joined by spaces, with n_chars set anew where there is such a column. Documents
+    without words aren't in the mix. Other columns, however named, come along."""
+    key = seeded_key(mix.seed, F.col("doc_id"), F.md5(text_of().cast("binary")))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    sized = docs.select("doc_id", "source", word_count().alias("size"), key.alias("_key"), row)
+    streams = cut(sized.drop("row"), "mix-sizes")
     once = F.col("tail.to") - F.col("tail.from") + F.col("head.to") - F.col("head.from")
-    words = F.filter(F.split("text", GAP), lambda w: w != "")
-    piece = F.array_join(F.concat(span("head"), span("tail")), " ")
-    copies = placed.withColumn("_once", once).withColumn(
-        "_part",
-        F.explode(
-            F.concat(
-                F.array_repeat(F.lit(False), F.col("rounds") + (F.col("_once") == F.col("size")).cast("int")),
-                F.array_repeat(F.lit(True), ((F.col("_once") > 0) & (F.col("_once") < F.col("size"))).cast("int")),
-            )
-        ),
-    ).filter("size > 0")
-    out = copies.withColumn("_words", F.when(F.col("_part"), words)).withColumn(
-        "_text", F.when(F.col("_part"), piece).otherwise(F.col("text"))
-    )
-    fresh = {"text": F.col("_text"), "n_chars": F.when(F.col("_part"), F.length("_text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in columns else None}
-    return out.select(*(fresh[c].alias(c) if c in fresh else F.col(c) for c in columns))
+    whole = F.col("rounds") + (once == F.col("size")).cast("int")
+    part = ((once > 0) & (once < F.col("size"))).cast("int")
+    copies = F.concat(F.array_repeat(F.lit(False), whole), F.array_repeat(F.lit(True), part))
+    taken_rows = place_sized(sized, streams, mix).filter("size > 0").withColumn("part", F.explode(copies))
+
+    def piece(words: Column) -> Column:
+        span = lambda p: F.slice(words, F.col(f"{p}.from").cast("int") + 1, (F.col(f"{p}.to") - F.col(f"{p}.from")).cast("int"))
+        return F.array_join(F.concat(span("head"), span("tail")), " ")
+
+    cut_text = let(F.filter(F.split("row.text", GAP), lambda w: w != ""), piece)
+    out = taken_rows.withColumn("new", F.when(F.col("part"), cut_text).otherwise(F.col("row.text")))
+    n_chars = F.when(F.col("part"), F.length("new").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None
+    fresh = {"text": F.col("new"), "n_chars": n_chars}
+    return out.select(*(fresh[c].alias(c) if c in fresh else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

@@ -33,8 +33,8 @@ def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic")
-    found = toxicity.rejected(docs, labels)
-    return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+    predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    return toxicity.scores(docs, labels).select("doc_id", toxicity.held_out().alias("held_out"), "score", predicted)
 
 
 def op4_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:

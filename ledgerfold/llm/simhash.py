@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh_name
 from .graph import components
 
 SHINGLE, RADIUS = 3, 2
@@ -220,6 +220,7 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, reach: int = RADIUS) -> Dat
 def one_of_each(docs: DataFrame, **kinds) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its class; where rows repeat that
     doc_id, one of them."""
-    found = classes(docs, **kinds)
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(cut(keep, "simhash-kept"), F.col("doc_id").eqNullSafe(F.col("_keep"))).drop("_keep").dropDuplicates(["doc_id"])
+    found, name = classes(docs, **kinds), fresh_name(docs, "_keep")
+    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
+    met = docs.join(cut(keep, "simhash-kept"), F.col("doc_id").eqNullSafe(F.col(name)))
+    return met.drop(name).dropDuplicates(["doc_id"])

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from . import gru
-from .common import seeded_key, text_of
+from .common import fresh_name, seeded_key, text_of
 from .words import Spans, Words, hash_table, look_up, slices, words_of
 
 #: Labelled rows of each label that training takes at most (in seeded order), and bytes of
@@ -330,13 +330,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
     return train(rows["text"].to_pylist(), label, n_toxic / n)
 
 
-def rejected(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs with score, and predicted: 1 where it reaches the threshold."""
-    return scores(docs, labels).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, as they are, whose score is below the threshold."""
+    into = fresh_name(docs, "score")
+    return scores(docs, labels, into).filter(F.col(into) < threshold).drop(into)
 
 
-def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs (all columns) with score, from 0 to 1, higher: likelier toxic.
+def scores(docs: DataFrame, labels: DataFrame, into: str = "score") -> DataFrame:
+    """The rows of docs (all columns) with, as column `into`, a score from 0 to 1, higher:
+    likelier toxic.
 
     docs: doc_id, text and others. A null or empty text is one window without words.
     Repeated rows are scored alike. Without rows of both labels to learn from every
@@ -344,14 +346,14 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     model = fit(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"))
     if model is None:
-        return docs.withColumn("score", F.lit(0.0))
+        return docs.withColumn(into, F.lit(0.0))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, BATCH_BYTES):
                 found = pa.array(text_scores(shared.value, part.column("text")))
-                yield pa.RecordBatch.from_arrays([*part.columns, found], [*part.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, found], [*part.schema.names, into])
 
-    schema = StructType([*docs.schema.fields]).add("score", DoubleType())
+    schema = StructType([*docs.schema.fields]).add(into, DoubleType())
     return docs.mapInArrow(score, schema)
