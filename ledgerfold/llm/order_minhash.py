@@ -13,6 +13,8 @@ n log n; built-in functions only, and nothing of a text leaves its row.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,52 +119,64 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", signature(text_of()).alias("signature"))
 
 
+#: Ranges of doc_ids at most: their bounds are a literal of the plan.
+MOST_RANGES = 1 << 16
+
+
+def _rank(sorted_longs: Column, n: int, x: Column) -> Column:
+    """How many of n ascending longs are at most x, by halving."""
+
+    def halve(at: Column, _: Column) -> Column:
+        mid = F.shiftright(at["lo"] + at["hi"], 1)
+        right = (at["lo"] < at["hi"]) & (F.get(sorted_longs, mid) <= x)
+        return F.struct(
+            F.when(right, mid + 1).otherwise(at["lo"]).alias("lo"),
+            F.when(right | (at["lo"] >= at["hi"]), at["hi"]).otherwise(mid).alias("hi"),
+        )
+
+    start = F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(n.bit_length())), start, halve, lambda at: at["lo"])
+
+
+def _literal(values: list, kind: str) -> Column:
+    """An array that the optimizer folds into one literal, however long."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
 def with_next(docs: DataFrame, per_range: int = 2000) -> DataFrame:
     """doc_id, text, sig, next_text, next_sig: each row with the one after it by doc_id
     (ties: by text; a null doc_id goes first), the last with the first.
 
-    Rows are dealt to doc_id ranges of about per_range rows. The first row of each range
-    is also put at the end of the range before, so that rows meet only within ranges and
-    each text is shuffled once. The range bounds, one doc_id per per_range rows, are the
-    only thing that reaches the driver.
+    doc_id: an integer. Rows are dealt to doc_id ranges of about per_range rows. The first
+    rows of each range are also put at the end of the range before, so that rows meet only
+    within ranges and each text is shuffled once. The ranges' bounds, a doc_id for each, are
+    the only thing that reaches the driver, and at most MOST_RANGES of them. A null text is
+    empty. Of an empty table the result is empty; a single row is next to itself.
     """
-    spark = docs.sparkSession
     ids = docs.select("doc_id")
     n = ids.count()
-    ranges = max(1, n // per_range)
+    ranges = max(1, min(n // per_range, MOST_RANGES))
     cuts = [i / ranges for i in range(1, ranges)]
-    found = ids.agg(F.percentile_approx("doc_id", cuts, 20 * ranges)).first()[0] if cuts and n else None
+    found = ids.agg(F.percentile_approx("doc_id", cuts, 20 * ranges)).first()[0] if cuts else None
     bounds = sorted(set(found or []))
-    held = F.array(*(F.lit(b).cast("long") for b in bounds)) if bounds else F.array().cast("array<long>")
-    bounds_at = spark.range(1).select(held.alias("bounds"))
-    in_range = F.coalesce(F.size(F.filter("bounds", lambda b: b <= F.col("doc_id"))), F.lit(0))
-    dealt = docs.select("doc_id", text_of().alias("text")).crossJoin(F.broadcast(bounds_at)).withColumn("_range", in_range)
-    by_id = [F.col("doc_id").asc_nulls_first(), F.col("text")]
-    heads = (
-        docs.select("doc_id")
-        .crossJoin(F.broadcast(bounds_at))
-        .groupBy(in_range.alias("_range"))
-        .agg(F.min("doc_id").alias("head"), F.max(F.col("doc_id").isNull()).alias("void"))
-        .orderBy("_range")
-        .collect()
+    # 0 for null, then the ranges between the bounds
+    in_range = F.when(F.col("doc_id").isNull(), 0).otherwise(
+        1 + (_rank(_literal(bounds, "bigint"), len(bounds), F.col("doc_id")) if bounds else F.lit(0))
     )
-    first = {r["_range"]: None if r["void"] else r["head"] for r in heads}
-    places = sorted(first)
-    before = dict(zip(places, [places[-1], *places[:-1]])) if places else {}
-    mine = F.col("doc_id")
-    ghost = F.lit(None).cast("int")
-    if places:
-        pairs = [x for r in places if first[r] is not None for x in (F.lit(first[r]).cast("long"), F.lit(before[r]))]
-        known = F.create_map(*pairs) if pairs else F.create_map().cast("map<bigint,int>")
-        heads_at = spark.range(1).select(known.alias("known"), F.lit(before[places[0]] if first[places[0]] is None else None).cast("int").alias("void_to"))
-        dealt = dealt.crossJoin(F.broadcast(heads_at))
-        ghost = F.when(mine.isNull(), F.col("void_to")).otherwise(F.try_element_at("known", mine))
+    heads = {r["r"]: r["head"] for r in ids.groupBy(in_range.alias("r")).agg(F.min("doc_id").alias("head")).collect()}
+    places = sorted(heads)
+    before = dict(zip(places, [*places[-1:], *places[:-1]]))
+    every = range(len(bounds) + 2)
+    head, back = _literal([heads.get(r) for r in every], "bigint"), _literal([before.get(r) for r in every], "int")
+    first = F.col("doc_id").eqNullSafe(F.get(head, F.col("_range")))
+    to = F.when(first, F.array(F.struct(F.col("_range").alias("r"), F.lit(False).alias("ghost")), F.struct(F.get(back, F.col("_range")).alias("r"), F.lit(True).alias("ghost"))))
     rows = (
-        dealt.withColumn("sig", signature(F.col("text")))
-        .withColumn("_to", F.explode(F.filter(F.array(F.struct(F.col("_range").alias("r"), F.lit(False).alias("ghost")), F.struct(ghost.alias("r"), F.lit(True).alias("ghost"))), lambda x: x["r"].isNotNull())))
+        docs.select("doc_id", text_of().alias("text"))
+        .withColumns({"_range": in_range, "sig": signature(F.col("text"))})
+        .withColumn("_to", F.explode(to.otherwise(F.array(F.struct(F.col("_range").alias("r"), F.lit(False).alias("ghost"))))))
         .select("doc_id", "text", "sig", F.col("_to.r").alias("_range"), F.col("_to.ghost").alias("_ghost"))
     )
-    ahead = Window.partitionBy("_range").orderBy("_ghost", *by_id)
+    ahead = Window.partitionBy("_range").orderBy("_ghost", F.col("doc_id").asc_nulls_first(), "text")
     return (
         rows.withColumns({"next_text": F.lead("text").over(ahead), "next_sig": F.lead("sig").over(ahead)})
         .filter(~F.col("_ghost"))
