@@ -138,6 +138,15 @@ def exact_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_windows(views.log(read(spark, sf_dir, "events")))
 
 
+def exact_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The requests of a seeded corpus of all kinds, with as many mutations as there are events."""
+    from ..sources.generator import corpus
+    from ..streaming import accumulator
+
+    n = read(spark, sf_dir, "events").count()
+    return accumulator.exact_requests(corpus(spark, 20260730, max(1, n // views.SHARDS), views.SHARDS))
+
+
 def stream_drains(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming.drain import drained_tables
 
@@ -213,5 +222,6 @@ QUERIES: dict[str, Query] = {
     "drain_causes": drain_causes,
     "outcome_classes": outcome_classes,
     "fold_exact_cycle": exact_cycle,
+    "fold_exact_requests": exact_requests,
     "stream_fold_state": stream_drains,
 }
