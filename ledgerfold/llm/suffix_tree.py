@@ -5,14 +5,16 @@ symbol. Contexts are the last 1 to DEPTH words (begin marks stand before a text)
 tree grows from the root: a context becomes a node if its suffix is one, it is frequent
 enough, and its next-symbol distribution diverges from its suffix's by more than a
 threshold (summed log-likelihood gain for each distinct next symbol). Distributions are
-smoothed by an absolute discount whose mass goes to the suffix's distribution, down to
-the root's, which adds one to each count. A text is scored from the longest suffix of
+smoothed: symbols that are frequent and seen more than once in a context have a
+discounted frequency, all others share the rest as the suffix's distribution has them,
+down to the root's, which adds one to each count. A text is scored from the longest suffix of
 each position's history that is a node.
 
 Everything is counted over the whole training corpus, level by level: tasks turn text
 into hashes with numpy and count, Spark adds up. Two bit maps of fixed size, broadcast,
 keep most hopeless windows from being shuffled. The finished tree and the vocabulary are
-broadcast in parts of a checked size, each for one pass over the texts.
+tables in the shared folder, which each worker loads, in parts of a checked size: each
+part takes one pass over the texts.
 """
 
 from __future__ import annotations
@@ -21,18 +23,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset  # noqa: F401  pa.dataset
+import pyarrow.fs  # noqa: F401  pa.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, release, text_of
-from .words import hash_long, hash_table, look_up, slices, words_of
-
-#: Words of the longest context; its least occurrences; the least gain in nats for each
-#: distinct next symbol; the discount of each count.
-DEPTH, LEAST_COUNT, LEAST_GAIN, DISCOUNT = 3, 16, 1.0, 0.75
-#: Bits of a bit map; rows of a table in one broadcast part; windows a task counts at a
-#: time and holds; bytes of text hashed at once.
-MAP_BITS, PART_ROWS, COUNT_ROWS, BATCH_BYTES = 26, 8_000_000, 2_500_000, 1 << 21
+from .common import bit_map, cut, drop_cut, in_map, release, text_of, written
+from .words import look_up, place, slices, words_of
+
+#: Words of the longest context; the least gain in nats for each symbol that a node gives
+#: its own probability; the discount of each count.
+DEPTH, LEAST_GAIN, DISCOUNT = 2, 1.0, 0.75
+#: Least occurrences of a context, and of a symbol with its own probability in one: so many,
+#: or so much of the root of all occurrences, so that tree and work grow as the corpus does.
+LEAST_COUNT, ROOT_SHARE = 8, 0.009
+#: Rows of a table in one part; windows a task counts at a time and holds; bytes
+#: of text hashed at once.
+PART_ROWS, COUNT_ROWS, BATCH_BYTES = 8_000_000, 1_200_000, 1 << 20
 #: Symbols that are no words, as hashes.
 BEGIN, END = np.uint64(0x0B), np.uint64(0x0E)
 
@@ -45,8 +52,15 @@ def held_out() -> Column:
 
 
 def extend(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    """The hash of a context and a symbol after it: Spark's xxhash64(context, symbol)."""
-    return hash_long(symbol, hash_long(context, np.uint64(42)))
+    """The hash of a context and a symbol after it: as the symbols' hashes are uniform, the
+    context's turned by 23 bits and the symbol's, added without carry; the root's is 0."""
+    return ((context << np.uint64(23)) | (context >> np.uint64(41))) ^ symbol
+
+
+def extended(context: str, symbol: str) -> Column:
+    """The same on columns."""
+    turned = F.shiftleft(context, 23).bitwiseOR(F.shiftrightunsigned(context, 41))
+    return turned.bitwiseXOR(F.col(symbol))
 
 
 def laid_out(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,25 +84,6 @@ def contexts(symbols: np.ndarray, depth: int) -> list[np.ndarray]:
     return out
 
 
-# ---- bit maps and tables -----------------------------------------------------------
-
-
-def bit_map(keys: DataFrame) -> np.ndarray:
-    """A bit map of MAP_BITS bits of the longs `key`: at most 2 ** (MAP_BITS - 6) rows
-    come to the driver, whatever the number of keys."""
-    bit = F.col("key").bitwiseAND(F.lit((1 << MAP_BITS) - 1).cast("long"))
-    one = F.expr(f"shiftleft(1L, cast(key & 63 as int))")
-    rows = keys.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()
-    out = np.zeros(1 << (MAP_BITS - 6), np.uint64)
-    out[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
-    return out
-
-
-def in_map(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys & np.uint64((1 << MAP_BITS) - 1)
-    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-
-
 # ---- counting ----------------------------------------------------------------------
 
 
@@ -152,30 +147,35 @@ def _level(train: DataFrame, d: int, ctx_map, sym_map, suffix_map) -> DataFrame:
         if sym_map is not None:
             keep &= in_map(sym_map.value, sym)
         ctx, suffix, sym = ctx[keep], suffix[keep], sym[keep]
-        return [extend(ctx, sym), ctx, sym, suffix]
+        return [extend(ctx, sym), ctx, sym, *([suffix] if d > 1 else [])]
+
+    return _counted(train, ["ctx", "sym", *(["suffix"] if d > 1 else [])], windows).filter("n >= 2")
+
 
-    return _counted(train, ["ctx", "sym", "suffix"], windows).filter("n >= 2")
+def least_count(total: int) -> int:
+    return max(LEAST_COUNT, int(np.ceil(ROOT_SHARE * np.sqrt(total))))
 
 
 def grow(train: DataFrame, words: DataFrame, total: int, kinds: int) -> tuple[DataFrame, DataFrame]:
-    """The tree: nodes (key: the context, value: log10 of the mass left to its suffix) and
+    """The tree: nodes (key: the context, value: log10 of the factor of its suffix's
+    probabilities, for symbols without one of their own) and
     rows (key: the hash of context and symbol, value: log10 of the probability). tail, the
     context of a node's last word alone, tells where it is held if the tree is in parts."""
     spark = train.sparkSession
     share = lambda name, keys: spark.sparkContext.broadcast(bit_map(keys))  # noqa: E731, ARG005
     root_p = (F.col("c") + 1) / F.lit(float(total + kinds + 1))
-    nodes, rows = [], []
+    nodes, rows, least = [], [], least_count(total)
     n_texts = train.count()
     begin = spark.createDataFrame([(int(BEGIN), n_texts)], "sym long, n long")
     firsts = words.filter(F.col("sym") != int(END)).union(begin)
     # contexts (as hashes) with their totals: a window's occurrences are its followers'
-    totals = firsts.filter(F.col("n") >= LEAST_COUNT).select(F.xxhash64(F.lit(0).cast("long"), "sym").alias("ctx"), F.col("n").alias("total"))
+    totals = firsts.filter(F.col("n") >= least).select(F.col("sym").alias("ctx"), F.col("n").alias("total"))
     totals = cut(totals, "totals")
-    twice = share("twice", words.filter("n >= 2").select(F.col("sym").alias("key")))
+    frequent = share("symbols", words.filter(F.col("n") >= least).select(F.col("sym").alias("key")))
     suffix_map, shorter = None, None
     for d in range(1, DEPTH + 1):
         ctx_map = share("contexts", totals.select(F.col("ctx").alias("key")))
-        level = cut(_level(train, d, ctx_map, twice if d == 1 else None, suffix_map), f"windows-{d}")
+        level = cut(_level(train, d, ctx_map, frequent if d == 1 else None, suffix_map), f"windows-{d}")
         release(spark)
         joined = level.join(totals, "ctx")
         if shorter is None:
@@ -190,54 +190,79 @@ def grow(train: DataFrame, words: DataFrame, total: int, kinds: int) -> tuple[Da
             F.first("total").alias("total"),
             F.first("tail").alias("tail"),
             F.sum(own).alias("mass"),
+            F.sum("below").alias("mass_below"),
             F.sum("n").alias("seen"),
             F.count(F.lit(1)).alias("kinds"),
             F.sum(F.col("n") * F.log(own / F.col("below"))).alias("gain"),
         )
-        left = 1 - F.col("mass")
+        left = (1 - F.col("mass")) / F.greatest(1 - F.col("mass_below"), F.lit(1e-9))
         gain = F.col("gain") + (F.col("total") - F.col("seen")) * F.log(left)
         kept = sums.filter(gain >= LEAST_GAIN * F.col("kinds")).select("ctx", "tail", left.alias("left"))
         kept = cut(kept, f"nodes-{d}")
-        prob = own + F.col("left") * F.col("below")
-        shorter = joined.drop("tail").join(kept, "ctx").select("ctx", "sym", "tail", "n", prob.alias("prob"))
+        shorter = joined.drop("tail").join(kept, "ctx").select("ctx", "sym", "tail", "n", own.alias("prob"))
         shorter = cut(shorter, f"tree-{d}")
         drop_cut(joined)
         release(spark)
         nodes.append(kept.select(F.col("ctx").alias("key"), "tail", F.log10("left").cast("float").alias("value")))
-        rows.append(shorter.select(F.xxhash64("ctx", "sym").alias("key"), "tail", F.log10("prob").cast("float").alias("value")))
+        rows.append(shorter.select(extended("ctx", "sym").alias("key"), "tail", F.log10("prob").cast("float").alias("value")))
         if d < DEPTH:
             # longer contexts: windows that are frequent; their suffixes must be nodes
-            more = shorter.filter((F.col("n") >= LEAST_COUNT) & (F.col("sym") != int(END)))
-            totals = cut(more.select(F.xxhash64("ctx", "sym").alias("ctx"), F.col("n").alias("total")), "totals")
+            more = shorter.filter((F.col("n") >= least) & (F.col("sym") != int(END)))
+            totals = cut(more.select(extended("ctx", "sym").alias("ctx"), F.col("n").alias("total")), "totals")
             suffix_map = share("nodes", kept.select(F.col("ctx").alias("key")))
             if totals.isEmpty():
                 break
     all_nodes, all_rows = nodes[0], rows[0]
     for n, r in zip(nodes[1:], rows[1:]):
         all_nodes, all_rows = all_nodes.union(n), all_rows.union(r)
-    return cut(all_nodes, "tree-nodes"), cut(all_rows, "tree-rows")
+    return all_nodes, all_rows
 
 
 # ---- scoring -----------------------------------------------------------------------
 
 
-def _part(rows: DataFrame, by: str, part: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """A hash table of the rows (key, value) of one part, by the column `by`."""
-    mine = rows.filter(F.pmod(F.col(by), F.lit(parts)) == part) if parts > 1 else rows
-    got = mine.select("key", "value").toArrow()
-    return hash_table(got["key"].to_numpy().view(np.uint64), got["value"].to_numpy())
+_loaded: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _load(folder: str, by: str, part: int, parts: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash table of the n rows (key, value) of a folder that are of one part by the
+    column `by`, filled batch by batch; a worker keeps those of the pass at hand."""
+    of = (folder, by, part, parts, n)
+    if of not in _loaded:
+        fs, path = pa.fs.FileSystem.from_uri(folder)
+        source = pa.dataset.dataset(path, filesystem=fs, format="parquet")
+        kind = source.schema.field("value").type.to_pandas_dtype()
+        slots, held = np.zeros(n * 10 // 7 + 1, np.uint64), np.zeros(n * 10 // 7 + 1, kind)
+        columns = list(dict.fromkeys(["key", "value", by]))
+        for piece in source.get_fragments():
+            for batch in piece.to_batches(columns=columns, batch_size=1 << 16, batch_readahead=0, use_threads=False):
+                mine = _owned(batch.column(by).to_numpy(), part, parts)
+                keys = batch.column("key").to_numpy().view(np.uint64)[mine]
+                place(slots, held, keys, batch.column("value").to_numpy()[mine])
+        pa.default_memory_pool().release_unused()
+        _loaded[of] = slots, held
+    return _loaded[of]
+
+
+def _sizes(rows: DataFrame, by: str, parts: int) -> list[int]:
+    """How many rows each part has."""
+    found = rows.groupBy(F.pmod(F.col(by), F.lit(parts)).alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()
+    return [{r["part"]: r["n"] for r in found}.get(i, 0) for i in range(parts)]
 
 
 def _owned(keys: np.ndarray, part: int, parts: int) -> np.ndarray:
     return keys.view(np.int64) % parts == part if parts > 1 else np.ones(len(keys), bool)
 
 
-def _scored(docs: DataFrame, shared, total: int, kinds: int) -> DataFrame:
-    """Adds the columns of one pass to rows (row key columns, text)."""
+def _scored(docs: DataFrame, m: dict, total: int, kinds: int) -> DataFrame:
+    """What one pass adds to the sums of rows (doc_id, text_hash, text); m: its part."""
     missing = -np.log10(total + kinds + 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        here = [m["counts"], m["nodes"], m["rows"]]
+        for of in [of for of in _loaded if of not in here]:
+            del _loaded[of]
+        word_counts, nodes, rows = (_load(*of) for of in here)
         for batch in batches:
             for part in slices(batch, BATCH_BYTES):
                 symbols, places, counts = laid_out(part.column("text"))
@@ -245,19 +270,19 @@ def _scored(docs: DataFrame, shared, total: int, kinds: int) -> DataFrame:
                 sym = symbols[places]
                 mine = _owned(sym, m["word"], m["words"])
                 c = np.zeros(len(sym), np.int64)
-                c[mine] = look_up(m["counts"], sym[mine], 0)
+                c[mine] = look_up(word_counts, sym[mine], 0)
                 base = np.where(mine, np.log10(c + 1.0) + missing, 0.0)
                 mine &= _owned(ends[1][places - 1], m["tree"], m["trees"])
                 # the longest node first: its row has the probability; without one, its
-                # mass for others goes on to the next shorter node, at last to the root
+                # factor goes on to the next shorter node, at last to the root
                 logs, open_ = np.where(mine, base, 0.0), mine
                 for d in range(DEPTH, 0, -1):
                     who = np.flatnonzero(open_)
                     ctx = ends[d][places[who] - 1]
-                    left = look_up(m["nodes"], ctx, np.nan)
+                    left = look_up(nodes, ctx, np.nan)
                     node = ~np.isnan(left)
                     who, ctx, left = who[node], ctx[node], left[node]
-                    p = look_up(m["rows"], extend(ctx, sym[who]), np.nan)
+                    p = look_up(rows, extend(ctx, sym[who]), np.nan)
                     hit = ~np.isnan(p)
                     logs[who[hit]] += p[hit].astype(float) - base[who[hit]]
                     open_[who[hit]] = False
@@ -288,23 +313,23 @@ def scores(docs: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     nodes, rows = grow(train, words, total, kinds)
     release(spark)
-    counts = words.select(F.col("sym").alias("key"), F.col("n").alias("value"))
+    short = (words.agg(F.max("n")).first()[0] or 0) < 1 << 31
+    counts = words.select(F.col("sym").alias("key"), F.col("n").cast("int" if short else "long").alias("value"))
+    tables = {"counts": counts, "nodes": nodes, "rows": rows}
+    at = {name: written(df, f"tree-{name}") for name, df in tables.items()}
+    tables = {name: spark.read.schema(df.schema).parquet(at[name]) for name, df in tables.items()}
     word_parts = max(1, -(-kinds // part_rows))
-    tree_parts = max(1, -(-rows.count() // part_rows))
+    tree_parts = max(1, -(-tables["rows"].count() // part_rows))
+    by = {"counts": ("key", word_parts), "nodes": ("tail", tree_parts), "rows": ("tail", tree_parts)}
+    sizes = {name: _sizes(tables[name], *by[name]) for name in tables}
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), text_of().alias("text"))
     found = None
     passes = [(i, j) for i in range(word_parts) for j in range(tree_parts)]
     for i, j in passes:
-        model = {
-            "word": i,
-            "words": word_parts,
-            "counts": _part(counts, "key", i, word_parts),
-            "tree": j,
-            "trees": tree_parts,
-            "nodes": _part(nodes, "tail", j, tree_parts),
-            "rows": _part(rows, "tail", j, tree_parts),
-        }
-        sums = _scored(texts, spark.sparkContext.broadcast(model), total, kinds)
+        model: dict = {"word": i, "words": word_parts, "tree": j, "trees": tree_parts}
+        for name, part in (("counts", i), ("nodes", j), ("rows", j)):
+            model[name] = (at[name], by[name][0], part, by[name][1], sizes[name][part])
+        sums = _scored(texts, model, total, kinds)
         sums = cut(sums, "partial-scores") if len(passes) > 1 else sums
         found = sums if found is None else found.union(sums)
     if len(passes) > 1:
