@@ -5,16 +5,18 @@ of learned vectors of its character n-grams, and how much the word and its n-gra
 for either label in training. A text is cut into overlapping windows; its score is the
 calibrated score of its most toxic window, so long texts hide nothing.
 
-Training takes a bounded sample of labelled rows to the driver and is done in numpy; the
+Training takes a bounded sample of labelled rows to one task and is done in numpy; the
 model has a fixed size and is broadcast. All windows of all texts are scored, by arrays.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
@@ -320,14 +322,23 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
     chosen = first(1).union(first(0)).toPandas()
     sample = spark.createDataFrame(chosen) if len(chosen) else known
     rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("text").alias("text"))
-    rows = rows.withColumn("size", F.octet_length("text")).select("doc_id", "toxic", "text", "size").toArrow().sort_by("doc_id")
-    order = np.argsort(rows["size"].to_numpy(), kind="stable")
-    fits = np.sort(order[np.cumsum(rows["size"].to_numpy()[order]) <= SAMPLE_BYTES])
-    rows = rows.take(fits)
-    label = rows["toxic"].to_numpy().astype(float)
-    if not 0 < label.sum() < len(label):
-        return None
-    return train(rows["text"].to_pylist(), label, n_toxic / n)
+    share = n_toxic / n
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = [pa.Table.from_batches([b]) for b in batches]
+        if not tables:
+            return
+        rows = pa.concat_tables(tables).sort_by("doc_id")
+        size = pa.compute.binary_length(rows.column("text")).to_numpy()
+        order = np.argsort(size, kind="stable")
+        rows = rows.take(np.sort(order[np.cumsum(size[order]) <= SAMPLE_BYTES]))
+        label = rows.column("toxic").to_numpy().astype(float)
+        if 0 < label.sum() < len(label):
+            yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(train(rows.column("text").to_pylist(), label, share))]})
+
+    # one task trains, on an executor: the sample is bounded, and the driver stays small
+    found = rows.repartition(1).mapInArrow(learn, "model binary").first()
+    return pickle.loads(found["model"]) if found else None
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
