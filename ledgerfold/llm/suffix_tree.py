@@ -5,7 +5,7 @@ symbol. Contexts are the last 1 to DEPTH words (begin marks stand before a text)
 tree grows from the root: a context becomes a node if its suffix is one, it is frequent
 enough, and its next-symbol distribution diverges from its suffix's by more than a
 threshold (summed log-likelihood gain for each distinct next symbol). Distributions are
-smoothed: symbols that are frequent and seen more than once in a context have a
+smoothed: symbols that are seen more than once in a context have a
 discounted frequency, all others share the rest as the suffix's distribution has them,
 down to the root's, which adds one to each count. A text is scored from the longest suffix of
 each position's history that is a node.
@@ -34,12 +34,11 @@ from .words import look_up, place, slices, words_of
 #: Words of the longest context; the least gain in nats for each symbol that a node gives
 #: its own probability; the discount of each count.
 DEPTH, LEAST_GAIN, DISCOUNT = 2, 1.0, 0.75
-#: Least occurrences of a context, and of a symbol with its own probability in one: so many,
-#: or so much of the root of all occurrences, so that tree and work grow as the corpus does.
-LEAST_COUNT, ROOT_SHARE = 8, 0.009
+#: Least occurrences of a context, whatever the size of the corpus; symbols of one need two.
+LEAST_COUNT = 8
 #: Rows of a table in one part; windows a task counts at a time and holds; bytes
 #: of text hashed at once.
-PART_ROWS, COUNT_ROWS, BATCH_BYTES = 8_000_000, 1_200_000, 1 << 20
+PART_ROWS, COUNT_ROWS, BATCH_BYTES = 8_000_000, 800_000, 1 << 20
 #: Symbols that are no words, as hashes.
 BEGIN, END = np.uint64(0x0B), np.uint64(0x0E)
 
@@ -152,10 +151,6 @@ def _level(train: DataFrame, d: int, ctx_map, sym_map, suffix_map) -> DataFrame:
     return _counted(train, ["ctx", "sym", *(["suffix"] if d > 1 else [])], windows).filter("n >= 2")
 
 
-def least_count(total: int) -> int:
-    return max(LEAST_COUNT, int(np.ceil(ROOT_SHARE * np.sqrt(total))))
-
-
 def grow(train: DataFrame, words: DataFrame, total: int, kinds: int) -> tuple[DataFrame, DataFrame]:
     """The tree: nodes (key: the context, value: log10 of the factor of its suffix's
     probabilities, for symbols without one of their own) and
@@ -164,18 +159,18 @@ def grow(train: DataFrame, words: DataFrame, total: int, kinds: int) -> tuple[Da
     spark = train.sparkSession
     share = lambda name, keys: spark.sparkContext.broadcast(bit_map(keys))  # noqa: E731, ARG005
     root_p = (F.col("c") + 1) / F.lit(float(total + kinds + 1))
-    nodes, rows, least = [], [], least_count(total)
+    nodes, rows, least = [], [], LEAST_COUNT
     n_texts = train.count()
     begin = spark.createDataFrame([(int(BEGIN), n_texts)], "sym long, n long")
     firsts = words.filter(F.col("sym") != int(END)).union(begin)
     # contexts (as hashes) with their totals: a window's occurrences are its followers'
     totals = firsts.filter(F.col("n") >= least).select(F.col("sym").alias("ctx"), F.col("n").alias("total"))
     totals = cut(totals, "totals")
-    frequent = share("symbols", words.filter(F.col("n") >= least).select(F.col("sym").alias("key")))
+    twice = share("symbols", words.filter("n >= 2").select(F.col("sym").alias("key")))
     suffix_map, shorter = None, None
     for d in range(1, DEPTH + 1):
         ctx_map = share("contexts", totals.select(F.col("ctx").alias("key")))
-        level = cut(_level(train, d, ctx_map, frequent if d == 1 else None, suffix_map), f"windows-{d}")
+        level = cut(_level(train, d, ctx_map, twice if d == 1 else None, suffix_map), f"windows-{d}")
         release(spark)
         joined = level.join(totals, "ctx")
         if shorter is None:

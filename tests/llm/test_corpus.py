@@ -126,6 +126,17 @@ def test_suffix_tree_in_parts_and_awkward(awkward, empty, docs, monkeypatch):
     assert suffix_tree.scores(empty).count() == 0
 
 
+def test_suffix_tree_learns_rare_contexts_of_large_corpora(spark):
+    """A context that comes 8 times is a node, and its symbol has a probability, at any size."""
+    texts = [" ".join(f"w{(i * 7 + j * j) % 50}" for j in range(40)) for i in range(50)] + ["rare word"] * 8
+    train = spark.createDataFrame([(t,) for t in texts], "text string")
+    vocabulary = suffix_tree.vocabulary(train)
+    nodes, rows = (x.toPandas() for x in suffix_tree.grow(train, vocabulary, 10**9, 51))
+    rare, word = np.where((h := words.words_of(pa.array(["rare word"])).hashes) <= suffix_tree.END, h + np.uint64(99), h)
+    assert int(rare.view(np.int64)) in set(nodes["key"])
+    assert int(suffix_tree.extend(np.array([rare]), word).view(np.int64)[0]) in set(rows["key"])
+
+
 # ---- 2: Order MinHash ----------------------------------------------------------------
 
 
