@@ -33,7 +33,7 @@ from .words import look_up, place, slices, words_of
 
 #: Words of the longest context; the least gain in nats for each symbol that a node gives
 #: its own probability; the discount of each count.
-DEPTH, LEAST_GAIN, DISCOUNT = 2, 1.0, 0.75
+DEPTH, LEAST_GAIN, DISCOUNT = 3, 1.0, 0.75
 #: Least occurrences of a context, whatever the size of the corpus; symbols of one need two.
 LEAST_COUNT = 8
 #: Rows of a table in one part; windows a task counts at a time and holds; bytes
@@ -179,6 +179,11 @@ def grow(train: DataFrame, words: DataFrame, total: int, kinds: int) -> tuple[Da
             held = shorter.select(F.col("ctx").alias("suffix"), "sym", F.col("prob").alias("below"), "tail")
             joined = joined.join(held, ["suffix", "sym"])
         joined = cut(joined.select("ctx", "sym", "tail", "n", "total", "below"), f"joined-{d}")
+        drop_cut(totals)
+        if d < DEPTH:
+            # longer contexts: windows that are frequent, also those of contexts that become no nodes
+            more = level.filter((F.col("n") >= least) & (F.col("sym") != int(END)))
+            totals = cut(more.select(extended("ctx", "sym").alias("ctx"), F.col("n").alias("total")), "totals")
         drop_cut(level)
         own = (F.col("n") - DISCOUNT) / F.col("total")
         sums = joined.groupBy("ctx").agg(
@@ -201,10 +206,8 @@ def grow(train: DataFrame, words: DataFrame, total: int, kinds: int) -> tuple[Da
         nodes.append(kept.select(F.col("ctx").alias("key"), "tail", F.log10("left").cast("float").alias("value")))
         rows.append(shorter.select(extended("ctx", "sym").alias("key"), "tail", F.log10("prob").cast("float").alias("value")))
         if d < DEPTH:
-            # longer contexts: windows that are frequent; their suffixes must be nodes
-            more = shorter.filter((F.col("n") >= least) & (F.col("sym") != int(END)))
-            totals = cut(more.select(extended("ctx", "sym").alias("ctx"), F.col("n").alias("total")), "totals")
-            suffix_map = share("nodes", kept.select(F.col("ctx").alias("key")))
+            # suffixes must be nodes, which the join sees to; the last level's windows needn't be counted else
+            suffix_map = share("nodes", kept.select(F.col("ctx").alias("key"))) if d == DEPTH - 1 else None
             if totals.isEmpty():
                 break
     all_nodes, all_rows = nodes[0], rows[0]

@@ -137,6 +137,20 @@ def test_suffix_tree_learns_rare_contexts_of_large_corpora(spark):
     assert int(suffix_tree.extend(np.array([rare]), word).view(np.int64)[0]) in set(rows["key"])
 
 
+def test_suffix_tree_grows_contexts_of_three_words(spark):
+    """What follows x y depends on the word before, though a x and b x say no more than x."""
+    texts = ["a x y p", "b x y q", "z y r"] * 30
+    train = spark.createDataFrame([(t,) for t in texts], "text string")
+    vocabulary = suffix_tree.vocabulary(train)
+    nodes, rows = (x.toPandas() for x in suffix_tree.grow(train, vocabulary, 420, 9))
+    symbols, _, _ = suffix_tree.laid_out(pa.array(["a x y p"]))
+    ends = suffix_tree.contexts(symbols, 3)
+    at = len(symbols) - 3  # of y
+    assert symbols[-1] == suffix_tree.END and int(ends[3][at].view(np.int64)) in set(nodes["key"])
+    key = suffix_tree.extend(ends[3][at : at + 1], symbols[at + 1 : at + 2]).view(np.int64)[0]
+    assert 10 ** rows.set_index("key")["value"][key] > 0.9
+
+
 # ---- 2: Order MinHash ----------------------------------------------------------------
 
 
