@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import bit_map, cut, drop_cut, fresh_name, in_map, let, release
 from .graph import components
 
-#: Characters of a shingle; the least similarity; words a line needs to be compared.
-SHINGLE, SIMILARITY, LEAST_WORDS = 8, 0.8, 5
+#: Characters of a shingle; the least similarity.
+SHINGLE, SIMILARITY = 8, 0.8
 #: 12 bands of 5 find a pair of similarity 0.8 with probability 0.991, of 0.9 with 0.99999.
 BANDS, ROWS = 12, 5
 #: Lines of a bucket that meet in a cell, at most about.
@@ -116,9 +116,9 @@ def _ids(lines: list[str]) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in lines], np.uint64).view(np.int64)
 
 
-def line_table(docs: DataFrame, least_words: int = LEAST_WORDS, k: int = SHINGLE) -> DataFrame:
-    """id (a 64-bit hash of the line), doc_id, text_hash, line_no of every line of at least
-    least_words words, and its bands the first time (or more often) that a task meets it."""
+def line_table(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """id (a 64-bit hash of the line), doc_id, text_hash, line_no of every line that isn't
+    blank, and its bands the first time (or more often) that a task meets it."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
@@ -128,7 +128,7 @@ def line_table(docs: DataFrame, least_words: int = LEAST_WORDS, k: int = SHINGLE
                 rows, numbers, lines = [], [], []
                 for row, text in enumerate(part.column("text").to_pylist()):
                     for number, line in enumerate(split_lines(text)):
-                        if len(line.encode().split(None, least_words - 1)) >= least_words:
+                        if line.strip():
                             rows.append(row)
                             numbers.append(number)
                             lines.append(line)
@@ -341,13 +341,11 @@ def _across(labelled: DataFrame, texts: DataFrame, k: int, similarity: float) ->
     return cut(ordered.mapInArrow(cells, "a long, b long"), "similar")
 
 
-def drop_lists(
-    docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, least_words: int = LEAST_WORDS
-) -> DataFrame:
+def drop_lists(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE) -> DataFrame:
     """doc_id, text_hash, dropped: the sorted numbers of the lines to drop."""
     spark = docs.sparkSession
     place = F.struct(F.col("doc_id"), F.col("text_hash"), F.col("line_no"))
-    full = cut(line_table(docs, least_words, k), "lines-bands")
+    full = cut(line_table(docs, k), "lines-bands")
     lines = cut(full.drop("bands"), "lines")
     turn = F.element_at(F.array(*(F.lit(int(t)) for t in TURNS)), (F.col("band").bitwiseAND(3) + 1).cast("int"))
     members = full.select("id", F.explode("bands").alias("band")).select("band", F.col("id").bitwiseXOR(turn).alias("key"))
@@ -389,9 +387,8 @@ def deduplicate(docs: DataFrame, kept: str = "kept", dropped: str = "dropped", *
     lines, and the numbers of those (null: none).
 
     A component of similar lines keeps the line that comes first by doc_id (null first),
-    the hash of its text, and line number. Lines are told apart by 64-bit hashes. Lines of
-    fewer than least_words words always stay. Null and empty texts have no lines and stay
-    as they are. Rows that repeat both doc_id and text count as one document and all keep
+    the hash of its text, and line number. Lines are told apart by 64-bit hashes. Blank
+    lines always stay. Null and empty texts have no lines and stay as they are. Rows that repeat both doc_id and text count as one document and all keep
     its lines. An empty table gives an empty result. docs: doc_id, text and any other
     columns.
     """
@@ -409,9 +406,9 @@ def deduplicate(docs: DataFrame, kept: str = "kept", dropped: str = "dropped", *
 
 def cleaned(docs: DataFrame, **kinds) -> DataFrame:
     """docs with texts (and n_chars, where there is one) after deduplication; documents of
-    which no line is left go."""
+    which no line, or only blank ones, are left go."""
     kept, dropped = fresh_name(docs, "_kept"), fresh_name(docs, "_dropped")
-    found = deduplicate(docs, kept, dropped, **kinds).filter(F.col(dropped).isNull() | (F.trim(kept) != ""))
+    found = deduplicate(docs, kept, dropped, **kinds).filter(F.col(dropped).isNull() | F.col(kept).rlike(r"(?U)[^\s\x1c-\x1f]"))
     n_chars = F.coalesce(F.length(kept), F.lit(0)).cast("long")
     fresh = {"text": F.col(kept), "n_chars": F.when(F.col(dropped).isNull(), F.col("n_chars")).otherwise(n_chars) if "n_chars" in docs.columns else None}
     return found.select(*(fresh[c].alias(c) if c in fresh else F.col(f"`{c}`") for c in docs.columns))

@@ -444,6 +444,16 @@ def test_lines_awkward(awkward, empty):
     assert lines.cleaned(empty).count() == 0
 
 
+def test_short_lines_are_compared(spark):
+    """Exact copies of lines of few words, or without spaces, and similar ones of the latter go."""
+    chinese = "這是一行沒有空格的文字而且它相當長所以可以用字元片段來比較看看結果如何".ljust(80, "甲")
+    rows = [(0, "Les.\nAll rights reserved.\n\none"), (1, f"Les.\n\n{chinese}\nLes."), (2, f"All rights reserved.\n{chinese}乙"), (3, "Les.\n\n \u3000")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r["doc_id"], n) for r in lines.deduplicate(df).collect() for n in r["dropped"] or []}
+    assert found == slow_drops(rows, least=1) == {(1, 0), (1, 3), (2, 0), (2, 1), (3, 0)}
+    assert {r["doc_id"]: r["text"] for r in lines.cleaned(df).collect()} == {0: rows[0][1], 1: f"\n{chinese}"}
+
+
 # ---- 9: token files ------------------------------------------------------------------
 
 
