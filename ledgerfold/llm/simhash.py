@@ -49,15 +49,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (as a signed 64-bit number) of every whole text."""
+    """doc_id, text_hash and fp (as a signed 64-bit number) of every whole text."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column("text")], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(fps.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "fp"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(of, f"doc_id {kind}, fp long")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return texts.mapInArrow(of, f"doc_id {kind}, text_hash long, fp long")
 
 
 def _apart(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
@@ -200,6 +202,14 @@ def links(fps: DataFrame, reach: int = RADIUS) -> DataFrame:
     return as_home.union(as_asker).groupBy("shard", "h", "a").applyInPandas(cell, "a long, b long")
 
 
+def _rooted(fps: DataFrame, reach: int) -> DataFrame:
+    """fp, its least doc_id and the root of its component, of every fingerprint."""
+    unique = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-unique")
+    rooted = components(links(unique, reach))
+    joined = unique.join(rooted, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return cut(joined, "simhash-roots")
+
+
 def classes(docs: DataFrame, shingle: int = SHINGLE, reach: int = RADIUS) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable) of every row.
 
@@ -207,20 +217,21 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, reach: int = RADIUS) -> Dat
     0 and link like any other; repeated rows are rows of one class; a null doc_id is
     never the smallest unless there is no other; an empty table gives an empty result.
     """
-    fps = cut(fingerprints(docs, shingle), "simhash")
-    unique = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-unique")
-    rooted = components(links(unique, reach))
-    joined = unique.join(rooted, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    joined = cut(joined, "simhash-roots")
+    fps = cut(fingerprints(docs, shingle).drop("text_hash"), "simhash")
+    joined = _rooted(fps, reach)
     smallest = cut(joined.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-smallest")
     of = cut(joined.join(smallest, "root").select("fp", "component_id"), "simhash-classes")
     return fps.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, **kinds) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its class; where rows repeat that
-    doc_id, one of them."""
-    found, name = classes(docs, **kinds), fresh_name(docs, "_keep")
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
-    met = docs.join(cut(keep, "simhash-kept"), F.col("doc_id").eqNullSafe(F.col(name)))
-    return met.drop(name).dropDuplicates(["doc_id"])
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, reach: int = RADIUS) -> DataFrame:
+    """One row of docs for each class: that with the smallest doc_id (null last), then the
+    smallest hash of its text; of rows that repeat both, one."""
+    fps = cut(fingerprints(docs, shingle), "simhash")
+    # rows of one doc_id and text are of one class, so the two tell which rows stay
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_hash"))
+    first = fps.join(_rooted(fps, reach).select("fp", "root"), "fp").groupBy("root").agg(F.min(place).alias("first"))
+    d, h = fresh_name(docs, "_keep"), fresh_name(docs, "_hash")
+    keep = cut(first.select(F.col("first.doc_id").alias(d), F.col("first.text_hash").alias(h)), "simhash-kept")
+    met = docs.withColumn(h, F.xxhash64("text")).join(keep.withColumnRenamed(h, f"{h}_kept"), F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(h) == F.col(f"{h}_kept")))
+    return met.dropDuplicates(["doc_id", h]).select(*(f"`{c}`" for c in docs.columns))

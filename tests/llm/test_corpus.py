@@ -362,6 +362,19 @@ def test_simhash_awkward(awkward, empty):
     assert simhash.classes(empty).count() == 0
 
 
+def test_one_row_of_each_class_stays(spark, awkward):
+    """Also of classes whose rows share a doc_id, or have none."""
+    component = lambda rows: {r["component_id"] for r in simhash.classes(rows).collect()}
+    numbered = awkward.select(F.monotonically_increasing_id().alias("doc_id"), "text")
+    texts = [r["text"] for r in simhash.one_of_each(awkward).collect()]
+    fps = {r["doc_id"]: r["component_id"] for r in simhash.classes(numbered).collect()}
+    of = {r["text"]: fps[r["doc_id"]] for r in numbered.collect()}
+    assert sorted(of[t] for t in texts) == sorted(component(numbered)) and "no id" in texts
+    rows = [(None, "one two three four"), (None, "five six seven eight"), (None, "a b c d"), (3, "a b c d"), (3, "e f g h"), (4, "e f g h")]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["text"]) for r in kept} == {*rows[:2], rows[3], rows[4]} and len(kept) == 4
+
+
 # ---- 7: sharding ---------------------------------------------------------------------
 
 
