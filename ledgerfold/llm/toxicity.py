@@ -25,8 +25,8 @@ from . import gru
 from .common import fresh_name, seeded_key, text_of
 from .words import Spans, Words, hash_table, look_up, slices, words_of
 
-#: Labelled rows of each label that training takes at most (in seeded order), and bytes of
-#: text of them altogether.
+#: Labelled rows of each label that training takes at most, and bytes of text of them
+#: altogether, both filled in seeded order.
 SAMPLE_ROWS, SAMPLE_BYTES = 1000, 12_000_000
 #: Words of a window and from one window's start to the next's.
 WINDOW, STRIDE = 48, 32
@@ -306,11 +306,26 @@ def text_scores(model: dict, texts: pa.Array) -> np.ndarray:
 # ---- on tables ---------------------------------------------------------------------
 
 
+def within(size: np.ndarray, label: np.ndarray, turn: np.ndarray, most: int | None = None) -> np.ndarray:
+    """Places, ascending, of the rows that fit in `most` bytes (SAMPLE_BYTES): of each label
+    the first by turn. A label may fill half of them and what the other leaves; a text that
+    is longer than that by itself is passed over."""
+    most, out = SAMPLE_BYTES if most is None else most, []
+    for k in (0, 1):
+        mine = np.flatnonzero(label == k)
+        mine = mine[np.argsort(turn[mine], kind="stable")]
+        part = max(most // 2, most - int(size[label != k].sum()))
+        mine = mine[size[mine] <= part]
+        out.append(mine[np.cumsum(size[mine]) <= part])
+    return np.sort(np.concatenate(out))
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
     """A model from the labelled rows that are not held out; none without both labels.
 
     labels: doc_id, toxic; a doc_id labelled more than once is toxic if one label says so;
-    nulls are no labels. The sample: of each label the first SAMPLE_ROWS by seeded order.
+    nulls are no labels. The sample: of each label the first SAMPLE_ROWS by seeded order,
+    as far as their texts fit in the label's part of SAMPLE_BYTES (see `within`).
     """
     spark = docs.sparkSession
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out())
@@ -318,10 +333,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
     n, n_toxic = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < n_toxic < n:
         return None
-    first = lambda k: known.filter(F.col("toxic") == k).orderBy(seeded_key(SEED, F.col("doc_id")), "doc_id").limit(SAMPLE_ROWS)
+    keyed = known.withColumn("turn", seeded_key(SEED, F.col("doc_id")))
+    first = lambda k: keyed.filter(F.col("toxic") == k).orderBy("turn", "doc_id").limit(SAMPLE_ROWS)
     chosen = first(1).union(first(0)).toPandas()
-    sample = spark.createDataFrame(chosen) if len(chosen) else known
-    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("text").alias("text"))
+    sample = spark.createDataFrame(chosen) if len(chosen) else keyed
+    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("turn").alias("turn"), F.min("text").alias("text"))
     share = n_toxic / n
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,8 +346,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
             return
         rows = pa.concat_tables(tables).sort_by("doc_id")
         size = pa.compute.binary_length(rows.column("text")).to_numpy()
-        order = np.argsort(size, kind="stable")
-        rows = rows.take(np.sort(order[np.cumsum(size[order]) <= SAMPLE_BYTES]))
+        rows = rows.take(within(size, rows.column("toxic").to_numpy(), rows.column("turn").to_numpy()))
         label = rows.column("toxic").to_numpy().astype(float)
         if 0 < label.sum() < len(label):
             yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(train(rows.column("text").to_pylist(), label, share))]})

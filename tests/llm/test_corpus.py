@@ -224,6 +224,13 @@ def test_toxicity_on_held_out_rows(spark):
     assert caught.sum() > 0.7 * (found.toxic == 1).sum() and wrong.sum() < 0.03 * (found.toxic == 0).sum()
 
 
+def test_training_bytes_are_filled_in_seeded_order():
+    """Long texts are learned from as short ones are."""
+    size, label, turn = np.array([9, 1, 9, 1, 9, 1, 90, 2]), np.array([1, 1, 1, 1, 0, 0, 0, 0]), np.array([0, 3, 1, 2, 0, 1, 2, 3])
+    assert toxicity.within(size, label, turn, 1000).tolist() == list(range(8))
+    assert toxicity.within(size, label, turn, 38).tolist() == [0, 2, 3, 4, 5, 7]
+
+
 def test_a_long_text_hides_nothing():
     start, size, of = toxicity.windows_of(np.array([0, 10, 48, 49, 500]))
     for text, n in enumerate([0, 10, 48, 49, 500]):
