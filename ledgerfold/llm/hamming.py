@@ -28,9 +28,12 @@ QUERY_BLOCK, CODE_SHARD, PAIRS, SALTS = 4000, 50_000, 1 << 21, 64
 
 
 def sign_code(vector: Column) -> Column:
-    """The signs of a vector's first 64 entries as bits (1: above 0; NaN counts so)."""
+    """The signs of a vector's at most 64 entries as bits (1: above 0; NaN counts so). A wider
+    vector is refused: its first entries alone would not find its nearest."""
     bit = lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
-    return F.aggregate(F.transform(F.slice(vector, 1, 64), bit), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    wide = F.raise_error(F.concat(F.lit("vector of more than 64 entries: "), F.size(vector).cast("string")))
+    held = F.when(F.size(vector) > 64, wide.cast("array<double>")).otherwise(vector.cast("array<double>"))
+    return F.aggregate(F.transform(held, bit), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
 
 
 def nearest(codes: np.ndarray, weight: np.ndarray, asked: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

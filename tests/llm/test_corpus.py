@@ -552,3 +552,10 @@ def test_search_awkward(spark):
     found = hamming.search(rows, F.col("id") % 20 == 0, 3).collect()
     assert {(r["query_id"], r["neighbor_id"], r["distance"]) for r in found} == {(0, 40, 0), (0, 3, 1), (40, 0, 0), (40, 3, 1)}
     assert hamming.search(rows.limit(0), F.col("id") % 20 == 0).count() == 0
+
+
+def test_wide_vectors_are_refused(spark):
+    code = lambda n: spark.createDataFrame([([1.0, -1.0] * (n // 2),), (None,)], "v array<float>").select(hamming.sign_code(F.col("v")).alias("c")).collect()
+    assert [r["c"] for r in code(64)] == [0x5555555555555555, None]
+    with pytest.raises(Exception, match="more than 64 entries"):
+        code(66)
