@@ -36,10 +36,10 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str) -> str:
-    """The folder, in the shared one, to which df was written."""
+def written(df: DataFrame, what: str, *by: str) -> str:
+    """The folder, in the shared one, to which df was written (with a folder for each value of `by`)."""
     path = new_folder(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return path
 
 

@@ -10,11 +10,14 @@ discounted frequency, all others share the rest as the suffix's distribution has
 down to the root's, which adds one to each count. A text is scored from the longest suffix of
 each position's history that is a node.
 
-Everything is counted over the whole training corpus, level by level: tasks turn text
-into hashes with numpy and count, Spark adds up. Two bit maps of fixed size, broadcast,
-keep most hopeless windows from being shuffled. The finished tree and the vocabulary are
-tables in the shared folder, which each worker loads, in parts of a checked size: each
-part takes one pass over the texts.
+Everything is counted over the whole training corpus, level by level. A window (a context
+and a symbol after it) is known by a 64-bit hash; windows, nodes, questions for them and
+answers are packed into chunks that are dealt by ranges of the hash (chunks.py), so no
+worker ever holds more than the entries of one range. A node's total is the count of its
+words as a window, so one table of windows with their counts, and the nodes' factors, are
+the whole model. To score, texts are put into blocks that are written down; each block asks
+for its distinct windows, once each, and what comes back meets the block again. That takes
+the same few passes whatever the size of vocabulary and tree.
 """
 
 from __future__ import annotations
@@ -23,25 +26,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.dataset  # noqa: F401  pa.dataset
-import pyarrow.fs  # noqa: F401  pa.fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bit_map, cut, drop_cut, in_map, release, text_of, written
-from .words import look_up, place, slices, words_of
+from .chunks import (
+    ANSWER, ASK, CHUNK, HELD, MORE, SUMS, Table, arrow, batches, by_part, cut_by_kind, dealt, distinct, made, narrow, of_kind, pack, places_of, small_batches,
+    stacked, summed, unpack,
+)
+from .common import bit_map, cut, drop_cut, in_map, release, text_of
+from .words import slices, words_of
 
 #: Words of the longest context; the least gain in nats for each symbol that a node gives
 #: its own probability; the discount of each count.
 DEPTH, LEAST_GAIN, DISCOUNT = 3, 1.0, 0.75
 #: Least occurrences of a context, whatever the size of the corpus; symbols of one need two.
-LEAST_COUNT = 8
-#: Rows of a table in one part; windows a task counts at a time and holds; bytes
-#: of text hashed at once.
-PART_ROWS, COUNT_ROWS, BATCH_BYTES = 8_000_000, 800_000, 1 << 20
+LEAST_COUNT, LEAST_SYMBOL = 8, 2
+#: Bytes of training text for each part of the windows; windows that a task holds before it
+#: passes them on; bytes of text hashed at once, and of a block's texts.
+PART_BYTES, HELD_ROWS, BATCH_BYTES, BLOCK_BYTES = 4 << 20, 400_000, 1 << 20, 2 << 20
+#: Texts are scored in rounds, each of at least so many bytes, so that questions and
+#: answers of all texts are never on disk at once.
+ROUNDS, ROUND_BYTES = 4, 128 << 20
 #: Symbols that are no words, as hashes.
 BEGIN, END = np.uint64(0x0B), np.uint64(0x0E)
 
+
 def held_out() -> Column:
     """Whether a document is not learned from: crc32 of its id as text, modulo 7, is 2."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
@@ -50,16 +60,15 @@ def held_out() -> Column:
 # ---- symbols and contexts -----------------------------------------------------------
 
 
-def extend(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    """The hash of a context and a symbol after it: as the symbols' hashes are uniform, the
-    context's turned by 23 bits and the symbol's, added without carry; the root's is 0."""
-    return ((context << np.uint64(23)) | (context >> np.uint64(41))) ^ symbol
+def turned(context: np.ndarray, by: int = 23) -> np.ndarray:
+    return (context << np.uint64(by)) | (context >> np.uint64(64 - by))
 
 
-def extended(context: str, symbol: str) -> Column:
-    """The same on columns."""
-    turned = F.shiftleft(context, 23).bitwiseOR(F.shiftrightunsigned(context, 41))
-    return turned.bitwiseXOR(F.col(symbol))
+def extend(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """The hash of a context and a symbol after it: as the symbols' hashes are uniform, the
+    context's turned by 23 bits and the symbol's, added without carry; the root's is 0. So
+    any two of context, symbol and window give the third."""
+    return turned(context) ^ symbol
 
 
 def laid_out(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,269 +92,387 @@ def contexts(symbols: np.ndarray, depth: int) -> list[np.ndarray]:
     return out
 
 
-# ---- counting ----------------------------------------------------------------------
+def before_texts() -> list[np.ndarray]:
+    """The contexts of 1 to DEPTH begin marks."""
+    return [x[-1:] for x in contexts(np.full(DEPTH, BEGIN), DEPTH)[1:]]
 
 
-def _counted(train: DataFrame, columns: list[str], windows) -> DataFrame:
-    """`columns` and n: how often each row of windows(symbols, places) occurs."""
-
-    def merge(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
-        """Sums up rows: a hash of the columns first, n last."""
-        rows = [np.concatenate(x) for x in zip(*parts)]
-        order = np.argsort(rows[0])
-        rows = [x[order] for x in rows]
-        at = np.flatnonzero(np.r_[True, rows[0][1:] != rows[0][:-1]]) if len(order) else np.zeros(0, int)
-        return [x[at] for x in rows[:-1]] + [np.add.reduceat(rows[-1], at) if len(at) else rows[-1]]
-
-    def out(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for at in range(0, len(rows[0]), 1 << 16):
-            part = [pa.array(x[at : at + (1 << 16)].view(np.int64)) for x in rows[1:]]
-            yield pa.RecordBatch.from_arrays(part, [*columns, "n"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[list[np.ndarray]] = []
-        size = 0
-        for batch in batches:
-            for part in slices(batch, BATCH_BYTES):
-                symbols, places, _ = laid_out(part.column("text"))
-                found = windows(symbols, places)
-                parts.append(merge([[*found, np.ones(len(found[0]), np.int64)]]))
-                size += len(parts[-1][0])
-                if size > COUNT_ROWS:
-                    parts = [merge(parts)]
-                    size = len(parts[0][0])
-                    if size > COUNT_ROWS // 2:
-                        yield from out(parts[0])
-                        parts, size = [], 0
-        if parts:
-            yield from out(merge(parts))
-
-    rows = train.mapInArrow(count, ", ".join(f"{c} long" for c in [*columns, "n"]))
-    return rows.groupBy(*columns[:2]).agg(*(F.first(c).alias(c) for c in columns[2:]), F.sum("n").alias("n"))
-
-
-def vocabulary(train: DataFrame) -> DataFrame:
-    """sym and n of every symbol (end marks included) of the training texts."""
-
-    def windows(symbols: np.ndarray, places: np.ndarray) -> list[np.ndarray]:
-        return [symbols[places], symbols[places], np.zeros(len(places), np.uint64)]
-
-    return _counted(train, ["sym", "root"], windows).select("sym", "n")
-
-
-def _level(train: DataFrame, d: int, ctx_map, sym_map, suffix_map) -> DataFrame:
-    """ctx, sym, suffix (the context without its first word), n of the windows of d words
-    and a symbol that may be frequent enough."""
-
-    def windows(symbols: np.ndarray, places: np.ndarray) -> list[np.ndarray]:
-        ends = contexts(symbols, d)
-        ctx, suffix, sym = ends[d][places - 1], ends[d - 1][places - 1], symbols[places]
-        keep = in_map(ctx_map.value, ctx)
-        if suffix_map is not None:
-            keep &= in_map(suffix_map.value, suffix)
-        if sym_map is not None:
-            keep &= in_map(sym_map.value, sym)
-        ctx, suffix, sym = ctx[keep], suffix[keep], sym[keep]
-        return [extend(ctx, sym), ctx, sym, *([suffix] if d > 1 else [])]
-
-    return _counted(train, ["ctx", "sym", *(["suffix"] if d > 1 else [])], windows).filter("n >= 2")
-
-
-def grow(train: DataFrame, words: DataFrame, total: int, kinds: int) -> tuple[DataFrame, DataFrame]:
-    """The tree: nodes (key: the context, value: log10 of the factor of its suffix's
-    probabilities, for symbols without one of their own) and
-    rows (key: the hash of context and symbol, value: log10 of the probability). tail, the
-    context of a node's last word alone, tells where it is held if the tree is in parts."""
-    spark = train.sparkSession
-    share = lambda name, keys: spark.sparkContext.broadcast(bit_map(keys))  # noqa: E731, ARG005
-    root_p = (F.col("c") + 1) / F.lit(float(total + kinds + 1))
-    nodes, rows, least = [], [], LEAST_COUNT
-    n_texts = train.count()
-    begin = spark.createDataFrame([(int(BEGIN), n_texts)], "sym long, n long")
-    firsts = words.filter(F.col("sym") != int(END)).union(begin)
-    # contexts (as hashes) with their totals: a window's occurrences are its followers'
-    totals = firsts.filter(F.col("n") >= least).select(F.col("sym").alias("ctx"), F.col("n").alias("total"))
-    totals = cut(totals, "totals")
-    twice = share("symbols", words.filter("n >= 2").select(F.col("sym").alias("key")))
-    suffix_map, shorter = None, None
-    for d in range(1, DEPTH + 1):
-        ctx_map = share("contexts", totals.select(F.col("ctx").alias("key")))
-        level = cut(_level(train, d, ctx_map, twice if d == 1 else None, suffix_map), f"windows-{d}")
-        release(spark)
-        joined = level.join(totals, "ctx")
-        if shorter is None:
-            joined = joined.join(words.select("sym", F.col("n").alias("c")), "sym").withColumns({"below": root_p, "tail": F.col("ctx")})
-        else:
-            held = shorter.select(F.col("ctx").alias("suffix"), "sym", F.col("prob").alias("below"), "tail")
-            joined = joined.join(held, ["suffix", "sym"])
-        joined = cut(joined.select("ctx", "sym", "tail", "n", "total", "below"), f"joined-{d}")
-        drop_cut(totals)
-        if d < DEPTH:
-            # longer contexts: windows that are frequent, also those of contexts that become no nodes
-            more = level.filter((F.col("n") >= least) & (F.col("sym") != int(END)))
-            totals = cut(more.select(extended("ctx", "sym").alias("ctx"), F.col("n").alias("total")), "totals")
-        drop_cut(level)
-        own = (F.col("n") - DISCOUNT) / F.col("total")
-        sums = joined.groupBy("ctx").agg(
-            F.first("total").alias("total"),
-            F.first("tail").alias("tail"),
-            F.sum(own).alias("mass"),
-            F.sum("below").alias("mass_below"),
-            F.sum("n").alias("seen"),
-            F.count(F.lit(1)).alias("kinds"),
-            F.sum(F.col("n") * F.log(own / F.col("below"))).alias("gain"),
-        )
-        left = (1 - F.col("mass")) / F.greatest(1 - F.col("mass_below"), F.lit(1e-9))
-        gain = F.col("gain") + (F.col("total") - F.col("seen")) * F.log(left)
-        kept = sums.filter(gain >= LEAST_GAIN * F.col("kinds")).select("ctx", "tail", left.alias("left"))
-        kept = cut(kept, f"nodes-{d}")
-        shorter = joined.drop("tail").join(kept, "ctx").select("ctx", "sym", "tail", "n", own.alias("prob"))
-        shorter = cut(shorter, f"tree-{d}")
-        drop_cut(joined)
-        release(spark)
-        nodes.append(kept.select(F.col("ctx").alias("key"), "tail", F.log10("left").cast("float").alias("value")))
-        rows.append(shorter.select(extended("ctx", "sym").alias("key"), "tail", F.log10("prob").cast("float").alias("value")))
-        if d < DEPTH:
-            # suffixes must be nodes, which the join sees to; the last level's windows needn't be counted else
-            suffix_map = share("nodes", kept.select(F.col("ctx").alias("key"))) if d == DEPTH - 1 else None
-            if totals.isEmpty():
-                break
-    all_nodes, all_rows = nodes[0], rows[0]
-    for n, r in zip(nodes[1:], rows[1:]):
-        all_nodes, all_rows = all_nodes.union(n), all_rows.union(r)
-    return all_nodes, all_rows
+# ---- counting ----------------------------------------------------------------------
 
 
-# ---- scoring -----------------------------------------------------------------------
+def windows(train: DataFrame, d: int, parts: int, ctx_map=None, suffix_map=None) -> DataFrame:
+    """Chunks of the windows of d words and a symbol whose contexts (and their suffixes)
+    the maps hold, added up within a task: HELD has keys and counts, MORE the contexts and,
+    for d > 1, the windows without their first word."""
+
+    def out(rows: list[np.ndarray]) -> Iterator[tuple]:
+        for part, at in by_part(rows[0], parts):
+            yield part, HELD, 0, pack(narrow(rows[-1][at]), *(x[at] for x in rows[:-1]))
+
+    def count(found: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        held, size = [], 0
+        for batch in found:
+            for piece in slices(batch, BATCH_BYTES):
+                symbols, places, _ = laid_out(piece.column("text"))
+                ends = contexts(symbols, d + 1)
+                rows = [ends[d + 1][places], *([ends[d][places - 1]] if d else []), *([ends[d][places]] if d > 1 else [])]
+                if d:
+                    keep = in_map(ctx_map.value, rows[1])
+                    if suffix_map is not None:
+                        keep &= in_map(suffix_map.value, ends[d - 1][places - 1])
+                    rows = [x[keep] for x in rows]
+                held.append(summed([*rows, np.ones(len(rows[0]), np.int64)]))
+                size += len(held[-1][0])
+                if size > HELD_ROWS:
+                    held = [summed(stacked(held))]
+                    size = len(held[0][0])
+                    if size > HELD_ROWS // 2:
+                        yield from out(held[0])
+                        held, size = [], 0
+        if held:
+            yield from out(summed(stacked(held)))
+
+    def total(part: int, chunks) -> Iterator[tuple]:
+        held, size = [], 0
+        for _, _, (n, *rows), _ in chunks:
+            held.append([*rows, n.astype(np.int64)])
+            size += len(n)
+            if size > 2 * HELD_ROWS:
+                held = [summed(stacked(held))]
+                size = len(held[0][0])
+        key, *more, n = summed(stacked(held))
+        if d:
+            often = n >= LEAST_SYMBOL
+            key, more, n = key[often], [x[often] for x in more], n[often]
+        if len(key):
+            yield part, HELD, part, pack(key, narrow(n))
+        if len(key) and d:
+            yield part, MORE, part, pack(*more)
+            low = distinct(more[1] if d > 1 else turned(more[0]) ^ key)
+            for target, at in by_part(low, parts):
+                yield target, ASK, part, pack(low[at])
+
+    kinds = arrow(CHUNK)
+    return dealt(train.mapInArrow(lambda found: batches(count(found), kinds), CHUNK), total)
+
+
+def begins(spark: SparkSession, d: int, n_texts: int, parts: int) -> DataFrame:
+    """The context of d begin marks, as a window that comes once a text."""
+    key = before_texts()[d - 1]
+    part, _ = next(by_part(key, parts))
+    return spark.createDataFrame([(part, HELD, -1, pack(key, np.array([n_texts], np.int64)))], CHUNK)
+
+
+def keys_from(chunks: DataFrame, least: int | None = None) -> DataFrame:
+    """The keys of HELD chunks, with at least so many occurrences, as rows."""
+    kinds = arrow("key long")
+
+    def rows(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            for data in batch.column("data"):
+                key, n, *_ = unpack(data.as_buffer())
+                key = key if least is None else key[n >= least]
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], schema=kinds)
+
+    return chunks.select("data").mapInArrow(rows, "key long")
+
+
+# ---- the tree ------------------------------------------------------------------------
+
+
+def told(part: int, chunks) -> Iterator[tuple]:
+    """The value of each key that is asked for, 0 where there is none."""
+    pieces, table = [], None
+    for kind, block, arrays, _ in chunks:
+        if kind == HELD:
+            pieces.append([arrays[0], arrays[1].astype(np.int64)])
+            continue
+        table = table or Table(pieces)
+        yield block, ANSWER, part, pack(narrow(table.get(arrays[0], 1, 0)))
+
+
+def diverging(level: DataFrame, d: int, lower: DataFrame, totals: DataFrame, nodes: DataFrame | None, root: int, parts: int) -> DataFrame:
+    """The nodes of level d as chunks of keys, totals and factors (the share that is left
+    for symbols without a probability of their own, over that which the suffix gives these).
+
+    lower: the windows one word shorter; totals: those and the begin marks; nodes: those of
+    level d - 1; root: what a count plus one is divided by in the root."""
+
+    def judged(ctx, total, below_total, seen, kinds, gain, lower_sum) -> Iterator[tuple]:
+        """gain: sum of n * log((n - DISCOUNT) / the suffix's count for the symbol)."""
+        mass = (seen - DISCOUNT * kinds) / total
+        left = (1 - mass) / np.maximum(1 - lower_sum / below_total, 1e-9)
+        gain = gain + seen * np.log(below_total / total) + (total - seen) * np.log(left)
+        kept = gain >= LEAST_GAIN * kinds
+        if kept.any():
+            part = next(by_part(ctx[:1], parts))[0]
+            yield part, HELD, part, pack(ctx[kept], total[kept].astype(np.int64), left[kept])
+
+    def sums(part: int, chunks) -> Iterator[tuple]:
+        """Of each context, what its windows in a part add to the sums."""
+        of = {HELD: [], MORE: [], ANSWER: []}
+        for kind, _, arrays, _ in chunks:
+            of[kind].append(arrays)
+        if not of[HELD]:
+            return
+        (key, n), more = of[HELD][0], of[MORE][0]
+        ctx, symbol = more[0], turned(more[0]) ^ key
+        low = more[1] if d > 1 else symbol
+        below = np.concatenate([x[0] for x in of[ANSWER]]).astype(np.int64)[places_of(low)]
+        there = below > 0
+        key, n, ctx, symbol, low, below = (x[there] for x in (key, n.astype(np.int64), ctx, symbol, low, below))
+        ctx, first, at = np.unique(ctx, return_index=True, return_inverse=True)
+        counted = below - DISCOUNT if d > 1 else below + 1.0
+        seen, kinds = np.bincount(at, n), np.bincount(at).astype(np.float64)
+        rows = [ctx, turned(low ^ symbol, 41)[first], seen, kinds, np.bincount(at, n * np.log((n - DISCOUNT) / counted)), np.bincount(at, counted)]
+        for target, some in by_part(ctx, parts):
+            yield target, SUMS, part, pack(*(x[some] for x in rows))
+
+    def together(part: int, chunks) -> Iterator[tuple]:
+        """The sums of frequent contexts; those of level 1 are judged at once."""
+        pieces, rows = [], []
+        for kind, _, arrays, _ in chunks:
+            pieces.append([arrays[0], arrays[1].astype(np.int64)]) if kind == HELD else rows.append(arrays)
+        if not rows:
+            return
+        ctx, suffix, *values = stacked(rows)
+        ctx, first, at = np.unique(ctx, return_index=True, return_inverse=True)
+        suffix, values = suffix[first], [np.bincount(at, x) for x in values]
+        total = Table(pieces).get(ctx, 1, 0).astype(np.float64)
+        often = total >= LEAST_COUNT
+        ctx, suffix, total, *values = (x[often] for x in (ctx, suffix, total, *values))
+        if not len(ctx):
+            return
+        if d == 1:
+            yield from judged(ctx, total, float(root), *values)
+            return
+        yield part, MORE, part, pack(ctx, suffix, total, *values)
+        asked = distinct(suffix)
+        for target, some in by_part(asked, parts):
+            yield target, ASK, part, pack(asked[some])
+
+    def last(part: int, chunks) -> Iterator[tuple]:
+        rows, answers = None, []
+        for kind, _, arrays, _ in chunks:
+            if kind == MORE:
+                rows = arrays
+            else:
+                answers.append(arrays[0])
+        if rows is None:
+            return
+        ctx, suffix, total, *values = rows
+        below_total = np.concatenate(answers).astype(np.float64)[places_of(suffix)]
+        node = below_total > 0
+        if node.any():
+            yield from judged(*(x[node] for x in (ctx, total, below_total, *values)))
+
+    below = dealt(of_kind(lower, HELD).union(of_kind(level, ASK)), told)
+    parted = dealt(of_kind(level, HELD, MORE).union(below), sums)
+    met = dealt(totals.union(parted), together)
+    if d == 1:
+        return cut(met, "nodes-1")
+    met = cut_by_kind(met, f"contexts-{d}")
+    answers = dealt(nodes.union(of_kind(met, ASK)), told)
+    found = cut(dealt(of_kind(met, MORE).union(answers), last), f"nodes-{d}")
+    drop_cut(met)
+    return found
+
+
+class Tree:
+    """levels: chunks of the windows of 0 to DEPTH words and a symbol; marks: the contexts
+    of begin marks; nodes: chunks of keys, totals and factors, by length; kinds and total:
+    distinct symbols and all."""
+
+    def __init__(self, levels: list[DataFrame], marks: list[DataFrame], nodes: list[DataFrame], total: int, kinds: int, parts: int):
+        self.levels, self.marks, self.nodes, self.total, self.kinds, self.parts = levels, marks, nodes, total, kinds, parts
+
+    def windows(self) -> DataFrame:
+        out = of_kind(self.levels[0], HELD)
+        for more in [*(of_kind(x, HELD) for x in self.levels[1:]), *self.marks]:
+            out = out.union(more)
+        return out
+
+    def factors(self) -> DataFrame:
+        out = self.nodes[0]
+        for more in self.nodes[1:]:
+            out = out.union(more)
+        return out
+
+
+def grow(train: DataFrame, n_texts: int, n_bytes: int) -> Tree:
+    """The tree of the rows (text); n_texts and n_bytes: how many there are."""
+    spark = train.sparkSession
+    parts = max(1, -(-n_bytes // PART_BYTES))
+    share = lambda keys: spark.sparkContext.broadcast(bit_map(keys))
 
+    def counted(d: int, *maps) -> DataFrame:
+        found = cut_by_kind(windows(train, d, parts, *maps), f"windows-{d}")
+        release(spark)
+        return found
 
-_loaded: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+    levels, nodes, suffix_map = [counted(0)], [], None
+    sums = made(of_kind(levels[0], HELD), _sizes, "n long, kinds long")
+    total, kinds = sums.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    marks = [begins(spark, d, n_texts, parts) for d in range(1, DEPTH + 1)]
+    for d in range(1, DEPTH + 1):
+        totals = of_kind(levels[-1], HELD).union(marks[d - 1])
+        ctx_map = share(keys_from(totals, LEAST_COUNT))
+        levels.append(counted(d, ctx_map, suffix_map))
+        nodes.append(diverging(levels[d], d, levels[d - 1], totals, nodes[-1] if nodes else None, total + kinds + 1, parts))
+        release(spark)
+        # a node's suffix is one; shorter windows than the last are also counted to find frequent contexts
+        suffix_map = share(keys_from(nodes[-1])) if d == DEPTH - 1 else None
+    return Tree(levels, marks, nodes, total, kinds, parts)
 
 
-def _load(folder: str, by: str, part: int, parts: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """A hash table of the n rows (key, value) of a folder that are of one part by the
-    column `by`, filled batch by batch; a worker keeps those of the pass at hand."""
-    of = (folder, by, part, parts, n)
-    if of not in _loaded:
-        fs, path = pa.fs.FileSystem.from_uri(folder)
-        source = pa.dataset.dataset(path, filesystem=fs, format="parquet")
-        kind = source.schema.field("value").type.to_pandas_dtype()
-        slots, held = np.zeros(n * 10 // 7 + 1, np.uint64), np.zeros(n * 10 // 7 + 1, kind)
-        columns = list(dict.fromkeys(["key", "value", by]))
-        for piece in source.get_fragments():
-            for batch in piece.to_batches(columns=columns, batch_size=1 << 16, batch_readahead=0, use_threads=False):
-                mine = _owned(batch.column(by).to_numpy(), part, parts)
-                keys = batch.column("key").to_numpy().view(np.uint64)[mine]
-                place(slots, held, keys, batch.column("value").to_numpy()[mine])
-        pa.default_memory_pool().release_unused()
-        _loaded[of] = slots, held
-    return _loaded[of]
+def _sizes(batch: pa.RecordBatch) -> Iterator[tuple]:
+    for data in batch.column("data"):
+        n = unpack(data.as_buffer())[1]
+        yield int(n.sum()), len(n)
 
 
-def _sizes(rows: DataFrame, by: str, parts: int) -> list[int]:
-    """How many rows each part has."""
-    found = rows.groupBy(F.pmod(F.col(by), F.lit(parts)).alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()
-    return [{r["part"]: r["n"] for r in found}.get(i, 0) for i in range(parts)]
+# ---- scoring -----------------------------------------------------------------------
 
 
-def _owned(keys: np.ndarray, part: int, parts: int) -> np.ndarray:
-    return keys.view(np.int64) % parts == part if parts > 1 else np.ones(len(keys), bool)
+def blocks(docs: DataFrame) -> DataFrame:
+    """part (the block's number), ids and texts: rows (doc_id, text) in blocks of some
+    BLOCK_BYTES, or one longer text."""
+    kind = dict(docs.dtypes)["doc_id"]
+    schema = f"part long, ids array<{kind}>, texts array<string>"
+    kinds = arrow(schema)
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def block() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows.column(c).combine_chunks()) for c in ("doc_id", "text")]
+            return pa.RecordBatch.from_arrays([pa.array([at]), *(x.cast(t) for x, t in zip(lists, kinds.types[1:]))], schema=kinds)
+
+        for batch in found:
+            for piece in slices(batch, BATCH_BYTES):
+                if held and size + piece.nbytes > BLOCK_BYTES:
+                    yield block()
+                    at, held, size = at + 1, [], 0
+                held.append(piece)
+                size += piece.nbytes
+        if held:
+            yield block()
+
+    return cut(docs.select("doc_id", "text").mapInArrow(run, schema), "blocks")
+
+
+def wanted(texts: pa.Array, nodes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """The number of symbols of each text; at which of the symbols' places the context of
+    each length may be a node; and the hashes that matter: of all symbols, then for each
+    length of those contexts and of their windows."""
+    symbols, places, counts = laid_out(texts)
+    ends = contexts(symbols, DEPTH + 1)
+    may, keys = [], [symbols[places]]
+    for d in range(1, DEPTH + 1):
+        ctx = ends[d][places - 1]
+        may.append(np.flatnonzero(in_map(nodes, ctx)))
+        keys += [ctx[may[-1]], ends[d + 1][places[may[-1]]]]
+    return counts, may, keys
 
 
-def _scored(docs: DataFrame, m: dict, total: int, kinds: int) -> DataFrame:
-    """What one pass adds to the sums of rows (doc_id, text_hash, text); m: its part."""
+def _scored(docs: DataFrame, tree: Tree, node_map) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score, score of every row (doc_id, text)."""
+    parts, total, kinds = tree.parts, tree.total, tree.kinds
     missing = -np.log10(total + kinds + 1)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here = [m["counts"], m["nodes"], m["rows"]]
-        for of in [of for of in _loaded if of not in here]:
-            del _loaded[of]
-        word_counts, nodes, rows = (_load(*of) for of in here)
-        for batch in batches:
-            for part in slices(batch, BATCH_BYTES):
-                symbols, places, counts = laid_out(part.column("text"))
-                ends = contexts(symbols, DEPTH)
-                sym = symbols[places]
-                mine = _owned(sym, m["word"], m["words"])
-                c = np.zeros(len(sym), np.int64)
-                c[mine] = look_up(word_counts, sym[mine], 0)
-                base = np.where(mine, np.log10(c + 1.0) + missing, 0.0)
-                mine &= _owned(ends[1][places - 1], m["tree"], m["trees"])
-                # the longest node first: its row has the probability; without one, its
-                # factor goes on to the next shorter node, at last to the root
-                logs, open_ = np.where(mine, base, 0.0), mine
-                for d in range(DEPTH, 0, -1):
-                    who = np.flatnonzero(open_)
-                    ctx = ends[d][places[who] - 1]
-                    left = look_up(nodes, ctx, np.nan)
-                    node = ~np.isnan(left)
-                    who, ctx, left = who[node], ctx[node], left[node]
-                    p = look_up(rows, extend(ctx, sym[who]), np.nan)
-                    hit = ~np.isnan(p)
-                    logs[who[hit]] += p[hit].astype(float) - base[who[hit]]
-                    open_[who[hit]] = False
-                    logs[who[~hit]] += left[~hit]
-                at = np.cumsum(counts) - counts
-                once = m["tree"] == 0  # every part of the tree sees the words of its part of the vocabulary
-                sums = [counts, np.add.reduceat((c > 0).astype(np.int64), at) * once, np.add.reduceat(base, at) * once, np.add.reduceat(logs, at)]
-                columns = [part.column("doc_id"), part.column("text_hash"), *map(pa.array, sums)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_tokens", "n_known", "base_score", "score"])
-
+    at_rest = blocks(docs)
+
+    def asks(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for part, texts in zip(batch.column("part").to_pylist(), batch.column("texts")):
+            keys = distinct(np.concatenate(wanted(texts.values, node_map.value)[-1]))
+            for target, at in by_part(keys, parts):
+                yield target, ASK, part, pack(keys[at])
+
+    def answer(part: int, chunks) -> Iterator[tuple]:
+        pieces, factors, tables = [], [], None
+        for kind, block, arrays, _ in chunks:
+            if kind == HELD:
+                pieces.append([arrays[0], arrays[1].astype(np.int64)])
+            elif kind == MORE:
+                factors.append([arrays[0], arrays[2]])
+            else:
+                tables = tables or (Table(pieces), Table(factors))
+                keys = arrays[0]
+                node, at = tables[1].find(keys)
+                left = tables[1].columns[1][at[node]] if node.any() else np.zeros(0)
+                yield block, ANSWER, part, pack(narrow(tables[0].get(keys, 1, 0)), np.flatnonzero(node).astype(np.uint32), left)
+
+    def score(part: int, chunks) -> Iterator[tuple]:
+        texts, counts_of, left_of = None, [], []
+        for kind, _, arrays, more in chunks:
+            if kind == HELD:
+                ids, texts = more[0].as_py(), more[1].values
+            else:
+                n, node, left = arrays
+                counts_of.append(n.astype(np.int64))
+                left_of.append(np.full(len(n), np.nan))
+                left_of[-1][node] = left
+        counts, may, keys = wanted(texts, node_map.value)
+        n_of, left_of = np.concatenate(counts_of), np.concatenate(left_of)
+        found = np.split(places_of(np.concatenate(keys)), np.cumsum([len(x) for x in keys])[:-1])
+        c = n_of[found[0]]
+        base = np.log10(c + 1.0) + missing
+        # the longest node first: its window has the probability; without one, its factor
+        # goes on to the next shorter node, at last to the root
+        logs, opened = base.copy(), np.ones(len(base), bool)
+        for d in range(DEPTH, 0, -1):
+            who, ctx, window = may[d - 1], found[2 * d - 1], found[2 * d]
+            left = left_of[ctx]
+            node = opened[who] & ~np.isnan(left)
+            who, ctx, left, n = who[node], ctx[node], left[node], n_of[window[node]]
+            hit = n > 0
+            logs[who[hit]] += np.log10((n[hit] - DISCOUNT) / n_of[ctx[hit]]) - base[who[hit]]
+            opened[who[hit]] = False
+            logs[who[~hit]] += np.log10(left[~hit])
+        at = np.cumsum(counts) - counts
+        sums = [counts, np.add.reduceat((c > 0).astype(np.int64), at), np.add.reduceat(base, at), np.add.reduceat(logs, at)]
+        yield from zip(ids, *(x.tolist() for x in sums))
+
+    empty = F.lit(None).cast("binary").alias("data")
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.mapInArrow(
-        score, f"doc_id {kind}, text_hash long, n_tokens long, n_known long, base_score double, score double"
-    )
+    model = tree.windows().union(tree.factors().withColumn("kind", F.lit(MORE)))
+    told_ = dealt(model.union(made(at_rest, asks)), answer)
+    no_text = [F.lit(None).cast(t).alias(c) for c, t in (("ids", f"array<{kind}>"), ("texts", "array<string>"))]
+    both = at_rest.select("part", F.lit(HELD).alias("kind"), F.lit(0).cast("long").alias("block"), empty, "ids", "texts").union(told_.select("*", *no_text))
+    found = cut(dealt(both, score, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double"), "scores")
+    drop_cut(at_rest)
+    return found
 
 
-def scores(docs: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+def scores(docs: DataFrame, round_bytes: int = ROUND_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     docs: doc_id, text; other columns are ignored. A null text is empty: one token, its
     end. A null doc_id is learned from. Repeated rows are counted and scored as often as
-    they come. An empty table gives an empty result.
+    they come. An empty table gives an empty result. A text is hashed in one piece: a
+    worker needs some 150 bytes for each of a text's words.
     """
     spark: SparkSession = docs.sparkSession
-    train = docs.filter(~held_out()).select(text_of().alias("text"))
-    words = cut(vocabulary(train), "vocabulary")
-    release(spark)
-    total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    nodes, rows = grow(train, words, total, kinds)
-    release(spark)
-    short = (words.agg(F.max("n")).first()[0] or 0) < 1 << 31
-    counts = words.select(F.col("sym").alias("key"), F.col("n").cast("int" if short else "long").alias("value"))
-    tables = {"counts": counts, "nodes": nodes, "rows": rows}
-    at = {name: written(df, f"tree-{name}") for name, df in tables.items()}
-    tables = {name: spark.read.schema(df.schema).parquet(at[name]) for name, df in tables.items()}
-    word_parts = max(1, -(-kinds // part_rows))
-    tree_parts = max(1, -(-tables["rows"].count() // part_rows))
-    by = {"counts": ("key", word_parts), "nodes": ("tail", tree_parts), "rows": ("tail", tree_parts)}
-    sizes = {name: _sizes(tables[name], *by[name]) for name in tables}
-    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), text_of().alias("text"))
-    found = None
-    passes = [(i, j) for i in range(word_parts) for j in range(tree_parts)]
-    for i, j in passes:
-        model: dict = {"word": i, "words": word_parts, "tree": j, "trees": tree_parts}
-        for name, part in (("counts", i), ("nodes", j), ("rows", j)):
-            model[name] = (at[name], by[name][0], part, by[name][1], sizes[name][part])
-        sums = _scored(texts, model, total, kinds)
-        sums = cut(sums, "partial-scores") if len(passes) > 1 else sums
-        found = sums if found is None else found.union(sums)
-    if len(passes) > 1:
-        # n rows that repeat a doc_id and text come n times from each pass
-        copies = (F.count(F.lit(1)) / len(passes)).cast("int")
-        kinds_of = {"n_known": "long", "base_score": "double", "score": "double"}
-        found = found.groupBy("doc_id", "text_hash").agg(
-            F.max("n_tokens").alias("n_tokens"),
-            *((F.sum(c) / copies).cast(t).alias(c) for c, t in kinds_of.items()),
-            copies.alias("copies"),
-        )
-        found = found.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies"))))
+    with small_batches(spark):
+        texts = docs.select("doc_id", text_of().alias("text"))
+        train = texts.filter(~held_out())
+        size = lambda of: of.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+        tree = grow(train.select("text"), *size(train))
+        node_map = spark.sparkContext.broadcast(bit_map(keys_from(tree.factors())))
+        rounds = max(1, min(ROUNDS, -(-size(texts)[1] // round_bytes)))
+        found = None
+        for i in range(rounds):
+            part = _scored(texts.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == i), tree, node_map)
+            found = part if found is None else found.union(part)
+            release(spark)
+        for table in (*tree.levels, *tree.nodes):
+            drop_cut(table)
     return found.select(
         "doc_id",
         held_out().alias("held_out"),
         "n_tokens",
         "n_known",
-        F.lit(total).cast("long").alias("train_tokens"),
+        F.lit(tree.total).cast("long").alias("train_tokens"),
         "base_score",
         "score",
     )

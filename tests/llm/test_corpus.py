@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from ledgerfold.llm import gru, hamming, lines, mixing, order_minhash, packing, queries, sharding, simhash, suffix_tree, tokenfile, toxicity, words
+from ledgerfold.llm import chunks, gru, hamming, lines, mixing, order_minhash, packing, queries, sharding, simhash, suffix_tree, tokenfile, toxicity, words
 from ledgerfold.llm.graph import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -50,12 +50,27 @@ def lowered(text):
 # ---- pieces --------------------------------------------------------------------------
 
 
-def test_hashes_of_contexts_are_sparks(spark):
-    values = [0, 1, -5, 2**62, -(2**63)]
-    rows = spark.createDataFrame([(v, w) for v in values for w in values], "a long, b long")
-    rows = rows.select("a", "b", suffix_tree.extended("a", "b").alias("h")).collect()
-    mine = suffix_tree.extend(np.array([r["a"] for r in rows], np.int64).view(np.uint64), np.array([r["b"] for r in rows], np.int64).view(np.uint64))
-    assert mine.view(np.int64).tolist() == [r["h"] for r in rows]
+def test_windows_contexts_and_symbols_give_each_other():
+    rng = np.random.default_rng(5)
+    ctx, symbol = (rng.integers(0, 2**64, 50, np.uint64) for _ in range(2))
+    window = suffix_tree.extend(ctx, symbol)
+    assert (window ^ suffix_tree.turned(ctx) == symbol).all() and (suffix_tree.turned(window ^ symbol, 41) == ctx).all()
+
+
+def test_chunks_come_back_by_part(spark):
+    rng = np.random.default_rng(6)
+    keys = np.sort(rng.integers(0, 2**64, 500, np.uint64))
+    pieces = [(part, chunks.HELD, i, chunks.pack(keys[at], chunks.narrow(np.arange(500)[at]))) for i in (1, 2) for part, at in chunks.by_part(keys, 7)]
+
+    def work(part, found):
+        for kind, block, (mine, n), _ in found:
+            yield part, int(block), int(len(mine)), int(n.astype(np.int64).sum()), bool((np.diff(mine.astype(float)) >= 0).all())
+
+    found = chunks.dealt(spark.createDataFrame(pieces, chunks.CHUNK), work, "part long, block long, n long, total long, ascends boolean").toPandas()
+    assert len(found) == 14 and found.n.sum() == 1000 and found.total.sum() == 500 * 499 and found.ascends.all()
+    assert found.part.nunique() == 7 and (chunks.places_of(keys[::-1]) == np.arange(500)[::-1]).all()
+    table = chunks.Table([[keys[1::2], np.arange(250)], [keys[::2], np.arange(250)]])
+    assert (table.get(keys, 1, -1) == np.arange(500) // 2).all() and (table.get(keys + np.uint64(1), 1, -1) == -1).all()
 
 
 def test_words_of():
@@ -98,29 +113,70 @@ def test_suffix_tree_scores(spark, sf, table):
     assert found.score[found.held_out].sum() > found.base_score[found.held_out].sum()
 
 
-def test_suffix_tree_is_a_distribution(spark, docs, monkeypatch):
-    """After a context, the probabilities of all known symbols and the unknown one add up to 1."""
-    monkeypatch.setattr(suffix_tree, "LEAST_COUNT", 5)
-    train = docs.selectExpr("text")
-    vocabulary = suffix_tree.vocabulary(train).cache()
-    total, kinds = vocabulary.selectExpr("sum(n)", "count(1)").first()
-    nodes, rows = (x.toPandas() for x in suffix_tree.grow(train, vocabulary, total, kinds))
-    known = vocabulary.toPandas()
-    root = dict(zip(known["sym"], (known["n"] + 1) / (total + kinds + 1)))
-    left, prob = dict(zip(nodes["key"], 10.0 ** nodes["value"])), dict(zip(rows["key"], 10.0 ** rows["value"]))
-    symbols = known["sym"].to_numpy().view(np.uint64)
-    assert len(left) > 20
-    for ctx in nodes["key"][nodes["key"] == nodes["tail"]][:20]:
-        keys = suffix_tree.extend(np.full(len(symbols), ctx, np.int64).view(np.uint64), symbols).view(np.int64)
-        mass = sum(prob.get(k, left[ctx] * root[s]) for k, s in zip(keys, known["sym"])) + left[ctx] / (total + kinds + 1)
-        assert abs(mass - 1) < 1e-4
-
-
-def test_suffix_tree_in_parts_and_awkward(awkward, empty, docs, monkeypatch):
-    monkeypatch.setattr(suffix_tree, "LEAST_COUNT", 8)
+class BruteTree:
+    """The tree by its definition, with words as strings and counts in dictionaries."""
+
+    def __init__(self, texts, depth=suffix_tree.DEPTH, least=8):
+        self.depth, counts = depth, Counter()
+        for t in texts:
+            line = self.line(t)
+            counts.update(line[i - d : i + 1] for i in range(depth, len(line)) for d in range(depth + 1))
+            counts.update({("^",) * d: 1 for d in range(1, depth + 1)})
+        self.counts = counts
+        words = {k[0]: n for k, n in counts.items() if len(k) == 1 and k != ("^",)}
+        self.total, self.kinds, self.words, self.left = sum(words.values()), len(words), words, {(): 1.0}
+        for d in range(1, depth + 1):
+            after = defaultdict(dict)
+            for k, n in counts.items():
+                if len(k) == d + 1 and n >= 2 and k[-1] != "^":
+                    after[k[:-1]][k[-1]] = n
+            for ctx, follow in after.items():
+                if counts[ctx] >= least and ctx[1:] in self.left:
+                    own = {s: (n - 0.75) / counts[ctx] for s, n in follow.items()}
+                    below = {s: self.own(ctx[1:], s) for s in follow}
+                    left = (1 - sum(own.values())) / max(1 - sum(below.values()), 1e-9)
+                    gain = sum(n * np.log(own[s] / below[s]) for s, n in follow.items())
+                    if gain + (counts[ctx] - sum(follow.values())) * np.log(left) >= len(follow):
+                        self.left[ctx] = left
+
+    def line(self, text):
+        return (*["^"] * self.depth, *WORD.findall(lowered(text)), "$")
+
+    def own(self, ctx, s):
+        return (self.counts[(*ctx, s)] - 0.75) / self.counts[ctx] if ctx else (self.words.get(s, 0) + 1) / (self.total + self.kinds + 1)
+
+    def prob(self, history, s):
+        ctx = next(history[i:] for i in range(len(history) + 1) if history[i:] in self.left)
+        factor = 1.0
+        while ctx and self.counts[(*ctx, s)] < 2:
+            factor, ctx = factor * self.left[ctx], ctx[1:]
+        return factor * self.own(ctx, s)
+
+    def score(self, text):
+        line = self.line(text)
+        return sum(np.log10(self.prob(line[i - self.depth : i], line[i])) for i in range(self.depth, len(line)))
+
+
+def test_suffix_tree_scores_as_by_definition(spark, docs, table):
+    texts = table.head(60)
+    brute = BruteTree([t for i, t in zip(texts.doc_id, texts.text) if zlib.crc32(str(i).encode()) % 7 != 2])
+    assert {len(x) for x in brute.left} == {0, 1, 2, 3}
+    found = suffix_tree.scores(docs.filter(F.col("doc_id").isin(texts.doc_id.tolist()))).toPandas().set_index("doc_id")
+    for i, t in zip(texts.doc_id, texts.text):
+        assert abs(found.score[i] - brute.score(t)) < 1e-6 * abs(brute.score(t))
+    # after a context, the probabilities of all known symbols and the unknown one add up to 1
+    for ctx in list(brute.left)[:40]:
+        assert abs(sum(brute.prob(ctx, s) for s in [*brute.words, "no such word"]) - 1) < 1e-6
+
+
+def test_suffix_tree_in_parts_and_awkward(spark, awkward, empty, docs, monkeypatch):
     some = docs.select("doc_id", "text").union(docs.filter("doc_id < 9").select("doc_id", "text"))
-    whole, parts = (suffix_tree.scores(some, n).toPandas().sort_values(["doc_id", "score"]).reset_index(drop=True) for n in (10**6, 3000))
-    assert np.allclose(whole[["n_known", "base_score", "score"]], parts[["n_known", "base_score", "score"]])
+    whole = suffix_tree.scores(some).toPandas().sort_values(["doc_id", "score"]).reset_index(drop=True)
+    for name, value in {"PART_BYTES": 20_000, "HELD_ROWS": 2_000, "BATCH_BYTES": 9_000, "BLOCK_BYTES": 30_000, "ROUNDS": 2}.items():
+        monkeypatch.setattr(suffix_tree, name, value)
+    parts = suffix_tree.scores(some, 1000).toPandas().sort_values(["doc_id", "score"]).reset_index(drop=True)
+    assert np.allclose(whole[["n_known", "base_score", "score"]], parts[["n_known", "base_score", "score"]], rtol=1e-12)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, "64MB", "67108864")
     found = suffix_tree.scores(awkward).toPandas()
     assert len(found) == awkward.count() and found.score.notna().all() and (found.n_tokens >= 1).all()
     assert suffix_tree.scores(empty).count() == 0
@@ -128,27 +184,18 @@ def test_suffix_tree_in_parts_and_awkward(awkward, empty, docs, monkeypatch):
 
 def test_suffix_tree_learns_rare_contexts_of_large_corpora(spark):
     """A context that comes 8 times is a node, and its symbol has a probability, at any size."""
-    texts = [" ".join(f"w{(i * 7 + j * j) % 50}" for j in range(40)) for i in range(50)] + ["rare word"] * 8
-    train = spark.createDataFrame([(t,) for t in texts], "text string")
-    vocabulary = suffix_tree.vocabulary(train)
-    nodes, rows = (x.toPandas() for x in suffix_tree.grow(train, vocabulary, 10**9, 51))
-    rare, word = np.where((h := words.words_of(pa.array(["rare word"])).hashes) <= suffix_tree.END, h + np.uint64(99), h)
-    assert int(rare.view(np.int64)) in set(nodes["key"])
-    assert int(suffix_tree.extend(np.array([rare]), word).view(np.int64)[0]) in set(rows["key"])
+    texts = [" ".join(f"w{(i * 7 + j * j) % 50}" for j in range(40)) for i in range(2000)] + ["rare word"] * 10 + ["scarce word"]
+    found = suffix_tree.scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas().set_index("doc_id")
+    assert found.held_out[2000:2010].sum() <= 2
+    assert (found.score[2000:2010] > -5).all() and found.score[2010] < -7
 
 
 def test_suffix_tree_grows_contexts_of_three_words(spark):
     """What follows x y depends on the word before, though a x and b x say no more than x."""
     texts = ["a x y p", "b x y q", "z y r"] * 30
-    train = spark.createDataFrame([(t,) for t in texts], "text string")
-    vocabulary = suffix_tree.vocabulary(train)
-    nodes, rows = (x.toPandas() for x in suffix_tree.grow(train, vocabulary, 420, 9))
-    symbols, _, _ = suffix_tree.laid_out(pa.array(["a x y p"]))
-    ends = suffix_tree.contexts(symbols, 3)
-    at = len(symbols) - 3  # of y
-    assert symbols[-1] == suffix_tree.END and int(ends[3][at].view(np.int64)) in set(nodes["key"])
-    key = suffix_tree.extend(ends[3][at : at + 1], symbols[at + 1 : at + 2]).view(np.int64)[0]
-    assert 10 ** rows.set_index("key")["value"][key] > 0.9
+    rows = spark.createDataFrame(list(enumerate([*texts, "a x y q"])), "doc_id long, text string")
+    found = suffix_tree.scores(rows).toPandas().set_index("doc_id")
+    assert found.score[90] < found.score[0] - 1
 
 
 # ---- 2: Order MinHash ----------------------------------------------------------------
