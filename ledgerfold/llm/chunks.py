@@ -10,7 +10,6 @@ row, as in any shuffle by key.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 from itertools import groupby
 
 import numpy as np
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import written
+from .common import setting, written
 
 CHUNK = "part long, kind int, block long, data binary"
 #: Kinds of chunks, in the order in which a part reads them: a table's keys and values,
@@ -162,14 +161,7 @@ def of_kind(chunks: DataFrame, *kinds: int) -> DataFrame:
     return chunks.filter(F.col("kind").isin(*kinds))
 
 
-@contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
+def small_batches(spark: SparkSession):
     """While it lasts, Arrow batches of some BATCH bytes: chunks and texts are long, and
     Spark's own limit counts rows first."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, str(BATCH))
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    return setting(spark, spark__sql__execution__arrow__maxBytesPerBatch=str(BATCH))

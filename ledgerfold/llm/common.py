@@ -3,9 +3,10 @@ the cluster's shared folder, seeded order keys and distributed prefix sums."""
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -22,12 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir). Where the
-    session names none, as in tests, a temporary folder is set for this context."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where a local
+    session names none, as in tests, a temporary folder is set for this context; on a
+    cluster that would be another folder on each machine, so there the setting is needed."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -36,10 +40,31 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def setting(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Settings of the session (dots as __) while it lasts."""
+    names = {name.replace("__", "."): value for name, value in values.items()}
+    before = {name: spark.conf.get(name, None) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def lean(spark: SparkSession):
+    """While it lasts, jobs delete their shuffle files when they end: what they made is
+    written by then."""
+    return setting(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true")
+
+
 def written(df: DataFrame, what: str, *by: str) -> str:
     """The folder, in the shared one, to which df was written (with a folder for each value of `by`)."""
     path = new_folder(df.sparkSession, what)
-    df.write.partitionBy(*by).parquet(path)
+    with lean(df.sparkSession):
+        df.write.partitionBy(*by).parquet(path)
     return path
 
 
@@ -57,13 +82,6 @@ def drop_cut(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets go of shuffle files that nothing refers to any more: Spark deletes them when
-    the driver collects its garbage, which by itself may be long after."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def let(value: Column, use) -> Column:
     """use(value), with value computed once however often `use` names it, also in lambdas
     (where the optimizer would put the expression itself)."""

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_map, cut, drop_cut, fresh_name, in_map, let, release
+from .common import bit_map, cut, drop_cut, fresh_name, in_map, let
 from .graph import components
 
 #: Characters of a shingle; the least similarity.
@@ -343,7 +343,6 @@ def _across(labelled: DataFrame, texts: DataFrame, k: int, similarity: float) ->
 
 def drop_lists(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE) -> DataFrame:
     """doc_id, text_hash, dropped: the sorted numbers of the lines to drop."""
-    spark = docs.sparkSession
     place = F.struct(F.col("doc_id"), F.col("text_hash"), F.col("line_no"))
     full = cut(line_table(docs, k), "lines-bands")
     lines = cut(full.drop("bands"), "lines")
@@ -351,11 +350,9 @@ def drop_lists(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE
     members = full.select("id", F.explode("bands").alias("band")).select("band", F.col("id").bitwiseXOR(turn).alias("key"))
     crowded = _crowded(members)
     drop_cut(full)
-    release(spark)
     star = crowded.filter("head <> id").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     star = cut(star, "candidates")
     texts = _texts(docs, crowded.select("id").distinct())
-    release(spark)
     linked = _verified(star, texts, k, similarity)
     rooted = cut(components(linked), "line-components")
     of = lambda c, name: rooted.select(F.col("node").alias(c), F.col("root").alias(name))
@@ -366,7 +363,6 @@ def drop_lists(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE
         "labelled",
     )
     more = _across(labelled, texts, k, similarity)
-    release(spark)
     if not more.isEmpty():
         rooted = cut(components(linked.union(more)), "line-components")
     # of lines that come more than once, or are like others, all but the first go
@@ -378,7 +374,6 @@ def drop_lists(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE
     gone = named.join(first, "component").filter(~place.eqNullSafe(F.col("first")))
     lists = gone.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line_no")).alias("dropped"))
     lists = cut(lists, "dropped-lines")
-    release(spark)
     return lists
 
 

@@ -34,7 +34,7 @@ from .chunks import (
     ANSWER, ASK, CHUNK, HELD, MORE, SUMS, Table, arrow, batches, by_part, cut_by_kind, dealt, distinct, made, narrow, of_kind, pack, places_of, small_batches,
     stacked, summed, unpack,
 )
-from .common import bit_map, cut, drop_cut, in_map, release, text_of
+from .common import bit_map, cut, drop_cut, in_map, lean, text_of
 from .words import slices, words_of
 
 #: Words of the longest context; the least gain in nats for each symbol that a node gives
@@ -47,7 +47,7 @@ LEAST_COUNT, LEAST_SYMBOL = 8, 2
 PART_BYTES, HELD_ROWS, BATCH_BYTES, BLOCK_BYTES = 4 << 20, 400_000, 1 << 20, 2 << 20
 #: Texts are scored in rounds, each of at least so many bytes, so that questions and
 #: answers of all texts are never on disk at once.
-ROUNDS, ROUND_BYTES = 4, 128 << 20
+ROUNDS, ROUND_BYTES = 8, 64 << 20
 #: Symbols that are no words, as hashes.
 BEGIN, END = np.uint64(0x0B), np.uint64(0x0E)
 
@@ -306,9 +306,7 @@ def grow(train: DataFrame, n_texts: int, n_bytes: int) -> Tree:
     share = lambda keys: spark.sparkContext.broadcast(bit_map(keys))
 
     def counted(d: int, *maps) -> DataFrame:
-        found = cut_by_kind(windows(train, d, parts, *maps), f"windows-{d}")
-        release(spark)
-        return found
+        return cut_by_kind(windows(train, d, parts, *maps), f"windows-{d}")
 
     levels, nodes, suffix_map = [counted(0)], [], None
     sums = made(of_kind(levels[0], HELD), _sizes, "n long, kinds long")
@@ -319,7 +317,6 @@ def grow(train: DataFrame, n_texts: int, n_bytes: int) -> Tree:
         ctx_map = share(keys_from(totals, LEAST_COUNT))
         levels.append(counted(d, ctx_map, suffix_map))
         nodes.append(diverging(levels[d], d, levels[d - 1], totals, nodes[-1] if nodes else None, total + kinds + 1, parts))
-        release(spark)
         # a node's suffix is one; shorter windows than the last are also counted to find frequent contexts
         suffix_map = share(keys_from(nodes[-1])) if d == DEPTH - 1 else None
     return Tree(levels, marks, nodes, total, kinds, parts)
@@ -453,7 +450,7 @@ def scores(docs: DataFrame, round_bytes: int = ROUND_BYTES) -> DataFrame:
     worker needs some 150 bytes for each of a text's words.
     """
     spark: SparkSession = docs.sparkSession
-    with small_batches(spark):
+    with small_batches(spark), lean(spark):
         texts = docs.select("doc_id", text_of().alias("text"))
         train = texts.filter(~held_out())
         size = lambda of: of.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
@@ -464,7 +461,6 @@ def scores(docs: DataFrame, round_bytes: int = ROUND_BYTES) -> DataFrame:
         for i in range(rounds):
             part = _scored(texts.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == i), tree, node_map)
             found = part if found is None else found.union(part)
-            release(spark)
         for table in (*tree.levels, *tree.nodes):
             drop_cut(table)
     return found.select(
