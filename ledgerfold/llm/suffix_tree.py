@@ -44,10 +44,10 @@ DEPTH, LEAST_GAIN, DISCOUNT = 3, 1.0, 0.75
 LEAST_COUNT, LEAST_SYMBOL = 8, 2
 #: Bytes of training text for each part of the windows; windows that a task holds before it
 #: passes them on; bytes of text hashed at once, and of a block's texts.
-PART_BYTES, HELD_ROWS, BATCH_BYTES, BLOCK_BYTES = 4 << 20, 400_000, 1 << 20, 2 << 20
-#: Texts are scored in rounds, each of at least so many bytes, so that questions and
-#: answers of all texts are never on disk at once.
-ROUNDS, ROUND_BYTES = 8, 64 << 20
+PART_BYTES, HELD_ROWS, BATCH_BYTES, BLOCK_BYTES = 2 << 20, 400_000, 1 << 20, 2 << 20
+#: Texts are scored in so many rounds (fewer if one would have less than some bytes), so that
+#: questions and answers of all texts are never on disk at once.
+ROUNDS, ROUND_BYTES = 4, 4 << 20
 #: Symbols that are no words, as hashes.
 BEGIN, END = np.uint64(0x0B), np.uint64(0x0E)
 
