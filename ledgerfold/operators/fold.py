@@ -25,54 +25,50 @@ def of_runs(entries: DataFrame) -> DataFrame:
     return mine.withColumn("base", long(base))
 
 
+def _run_columns() -> list:
+    return [
+        F.count(F.lit(1)).alias("mutations"),
+        F.min("seqno").alias("head"),
+        F.max("seqno").alias("tail"),
+        F.min_by("base", "seqno").alias("base"),
+        F.max("version").alias("version"),
+        F.max_by("kind", "seqno").alias("last_kind"),
+        F.coalesce(F.max(F.when(F.col("kind") == "snapshot", F.col("seqno"))), long(0)).alias("barrier"),
+    ]
+
+
+def _shaped(folded: DataFrame) -> DataFrame:
+    shape = F.when(F.col("last_kind") == "delete", "tombstone").when(F.col("barrier") > 0, "snapshot").otherwise("delta")
+    return folded.withColumn("shape", shape).drop("last_kind")
+
+
 def runs(entries: DataFrame) -> DataFrame:
     """One row for each run that a window touches."""
-    return (
-        of_runs(entries)
-        .groupBy(*RUN)
-        .agg(
-            F.count(F.lit(1)).alias("mutations"),
-            F.min("seqno").alias("head"),
-            F.max("seqno").alias("tail"),
-            F.min_by("base", "seqno").alias("base"),
-            F.max("version").alias("version"),
-            F.max_by("kind", "seqno").alias("last_kind"),
-            F.coalesce(F.max(F.when(F.col("kind") == "snapshot", F.col("seqno"))), long(0)).alias("barrier"),
-        )
-        .withColumn(
-            "shape",
-            F.when(F.col("last_kind") == "delete", "tombstone").when(F.col("barrier") > 0, "snapshot").otherwise("delta"),
-        )
-        .drop("last_kind")
-    )
+    return _shaped(of_runs(entries).groupBy(*RUN).agg(*_run_columns()))
 
 
-def items(entries: DataFrame) -> DataFrame:
-    """The last operation on each key since the run's last snapshot in the window; runs that
-    the window deletes have none."""
+def _ranked(entries: DataFrame) -> DataFrame:
+    """The entries that touch a run; live: an operation on a key since the run's last
+    snapshot in the window, of a run that the window doesn't delete; nth: 1 for the last
+    of a key. All windows and what groups by run share one partitioning."""
     of_run = Window.partitionBy(*RUN)
     barrier = F.max(F.when(F.col("kind") == "snapshot", F.col("seqno"))).over(of_run)
     gone = F.max(long(F.col("kind") == "delete")).over(of_run)
-    last = Window.partitionBy(*RUN, "key").orderBy(F.col("seqno").desc(), F.col("op").desc())
-    return (
-        of_runs(entries)
-        .withColumns({"barrier": F.coalesce(barrier, long(0)), "gone": gone})
-        .filter("op IS NOT NULL AND seqno > barrier AND gone = 0")
-        .withColumn("nth", F.row_number().over(last))
-        .filter("nth = 1")
-        .select(*RUN, "key", "op", "value", "seqno")
-    )
+    live = F.col("op").isNotNull() & (F.col("seqno") > F.coalesce(barrier, long(0))) & (gone == 0)
+    last = Window.partitionBy(*RUN, "key").orderBy(F.col("live").desc(), F.col("seqno").desc(), F.col("op").desc())
+    return of_runs(entries).withColumn("live", live).withColumn("nth", F.row_number().over(last))
+
+
+def items(entries: DataFrame) -> DataFrame:
+    """The last operation on each key since the run's last snapshot in the window; runs that
+    the window deletes have none."""
+    return _ranked(entries).filter("live AND nth = 1").select(*RUN, "key", "op", "value", "seqno")
 
 
 def shapes(entries: DataFrame) -> DataFrame:
     """Runs with how many keys they leave written and removed."""
-    counts = items(entries).groupBy(*RUN).agg(F.count_if(F.col("op") == "U").alias("upserts"), F.count_if(F.col("op") == "D").alias("deletes"))
-    none = long(0)
-    return (
-        runs(entries)
-        .join(counts, RUN, "left")
-        .withColumns({"upserts": F.coalesce("upserts", none), "deletes": F.coalesce("deletes", none)})
-    )
+    left = lambda op: F.count_if(F.col("live") & (F.col("nth") == 1) & (F.col("op") == op))
+    return _shaped(_ranked(entries).groupBy(*RUN).agg(*_run_columns(), left("U").alias("upserts"), left("D").alias("deletes")))
 
 
 def current(entries: DataFrame) -> DataFrame:
@@ -113,15 +109,25 @@ def tombstones(entries: DataFrame) -> DataFrame:
     return gone.join(own, RUN, "left").withColumn("orphans", F.coalesce("orphans", long(0)))
 
 
-def buffered(entries: DataFrame) -> DataFrame:
-    """Buffered batches of a run (updates with k of 90 and more) since its last snapshot of
-    the window, in order; and whether the window clears what was there before it."""
+def _buffering(entries: DataFrame) -> DataFrame:
+    """Buffered batches (updates with k of 90 and more) since a run's last snapshot of the
+    window; gone: the window deletes the run."""
     of_run = Window.partitionBy(*RUN)
     barrier = F.coalesce(F.max(F.when(F.col("kind") == "snapshot", F.col("seqno"))).over(of_run), long(0))
+    gone = F.max(long(F.col("kind") == "delete")).over(of_run)
+    return of_runs(entries).withColumns({"barrier": barrier, "gone": gone}).filter("kind = 'update' AND k >= 90 AND seqno > barrier")
+
+
+def buffered_batches(entries: DataFrame) -> DataFrame:
+    """The batches that a store keeps, a row each."""
+    return _buffering(entries).filter("gone = 0").select(*RUN, "seqno")
+
+
+def buffered(entries: DataFrame) -> DataFrame:
+    """Buffered batches of a run in order, and whether the window clears what was there
+    before it."""
     return (
-        of_runs(entries)
-        .withColumn("barrier", barrier)
-        .filter("kind = 'update' AND k >= 90 AND seqno > barrier")
+        _buffering(entries)
         .groupBy(*RUN)
         .agg(
             F.count(F.lit(1)).alias("batches"),

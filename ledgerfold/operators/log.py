@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.views import cuts, div, long
+from ..functions.running import before
+from ..sources.parquet_log import acknowledged
+from ..sources.views import BUCKET, cuts, div, long
 
 #: An append is refused for the first of these that holds; the order is part of the contract.
 REFUSALS = ("zero_epoch", "bad_seqno", "unfenced", "fenced", "already_written", "gap")
@@ -39,17 +41,21 @@ def append_verdicts(entries: DataFrame) -> DataFrame:
     return attempts(entries).select("shard", "seqno", "epoch", "tried", verdict.alias("verdict"))
 
 
+def _bucket() -> Column:
+    return F.shiftright("seqno", BUCKET.bit_length() - 1)
+
+
 def audit(entries: DataFrame) -> DataFrame:
     """The entries of a log whose seqno isn't one above the one before, or whose epoch is
-    below one before: shard, seqno, tried, finding, stale."""
-    order = Window.partitionBy("shard").orderBy("seqno")
-    step = F.col("tried") - F.lag("tried").over(order)
-    behind = F.col("epoch") < F.max("epoch").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    below one before: shard, seqno, tried, finding, stale. What came before is a bucketed
+    total, so no task reads a shard."""
+    last = F.struct("seqno", "tried")
+    seen = before(attempts(entries), ["shard"], _bucket(), [F.col("seqno")], maxima={"last": last, "top": F.col("epoch")})
+    step = F.col("tried") - F.col("last.tried")
+    behind = F.col("epoch") < F.col("top")
     found = F.when(step < 1, "duplicate").when(step > 1, "gap").otherwise("next")
-    return (
-        attempts(entries)
-        .select("shard", "seqno", "tried", found.alias("finding"), long(F.coalesce(behind, F.lit(False))).alias("stale"))
-        .filter("finding <> 'next' OR stale = 1")
+    return seen.select("shard", "seqno", "tried", found.alias("finding"), long(F.coalesce(behind, F.lit(False))).alias("stale")).filter(
+        "finding <> 'next' OR stale = 1"
     )
 
 
@@ -116,9 +122,19 @@ def positions(entries: DataFrame) -> DataFrame:
 
 def running_tail(entries: DataFrame) -> DataFrame:
     """Entries and bytes of the tail after each acknowledged entry above the applied position."""
-    order = Window.partitionBy("shard").orderBy("seqno").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        entries.join(F.broadcast(cuts(entries)), "shard")
-        .filter(F.col("seqno") > F.col("applied"))
-        .select("shard", "seqno", F.count(F.lit(1)).over(order).alias("entries"), F.sum("size").over(order).alias("bytes"))
-    )
+    tail = entries.join(F.broadcast(cuts(entries)), "shard").filter(F.col("seqno") > F.col("applied")).select("shard", "seqno", "applied", "size")
+    summed = before(tail, ["shard"], _bucket(), [F.col("seqno")], {"earlier": F.col("size")})
+    return summed.select("shard", "seqno", (F.col("seqno") - F.col("applied")).alias("entries"), (F.col("earlier") + F.col("size")).alias("bytes"))
+
+
+def read_back(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A log as it is read back, and what writers hold acknowledged, as after faults: of the
+    log every entry with k = 9 is lost and with k = 8 another's; k = 12 was never
+    acknowledged."""
+    held = entries.filter("k <> 9").select("shard", "seqno", F.when(F.col("k") == 8, "other").otherwise(F.col("kind")).alias("payload"))
+    return held, entries.filter("k <> 12").select("shard", "seqno", F.col("kind").alias("payload"))
+
+
+def acked_audit(entries: DataFrame) -> DataFrame:
+    """Acknowledged appends against the log: shard, lost, other, unacknowledged, missing."""
+    return acknowledged(*read_back(entries))

@@ -109,25 +109,28 @@ def final_current(entries: DataFrame) -> DataFrame:
 def final_tasks(entries: DataFrame) -> DataFrame:
     """Tasks after every window: each window's surviving tasks, less what ranges of later
     windows delete (a window's own ranges run before its inserts)."""
-    t, r = queues.swept(entries).alias("t"), queues.spread(queues.ranges(entries)).alias("r")
-    hit = queues.hit(queues.same("shard"), False) & (F.col("r.win") > F.col("t.win"))
-    return t.join(r, hit, "left_anti").select("shard", "category", "task_id", "slot", "workflow", long(F.unix_micros("fire_time")).alias("fire_us"))
+    left = queues.without(queues.swept(entries), queues.ranges(entries), ["shard"], "win")
+    return left.select("shard", "category", "task_id", "slot", "workflow", long(F.unix_micros("fire_time")).alias("fire_us"))
 
 
 def equivalence(entries: DataFrame) -> DataFrame:
-    """Differences, both ways, between folding by windows and one mutation at a time: rows of
-    items, runs, current rows and tasks. All are 0 if folding changes nothing."""
+    """Rows that folding by windows and applying one mutation at a time leave of items, runs,
+    current rows and tasks, and differences both ways: 0 if folding changes nothing."""
     single = entries.withColumn("win", F.col("seqno"))
 
     def differ(name: str, a: DataFrame, b: DataFrame) -> DataFrame:
         b = b.select(*a.columns)
-        return (
-            a.exceptAll(b)
-            .select(F.lit("window").alias("arm"))
-            .unionByName(b.exceptAll(a).select(F.lit("single").alias("arm")))
-            .agg(F.count_if(F.col("arm") == "window").alias("only_folded"), F.count_if(F.col("arm") == "single").alias("only_single"))
-            .select(F.lit(name).alias("tables"), "only_folded", "only_single")
-        )
+        marked = a.withColumn("arm", F.lit(1)).unionByName(b.withColumn("arm", F.lit(-1)))
+        folded, single = F.col("arm") == 1, F.col("arm") == -1
+        # rows by value: how many each arm has, so that copies count
+        met = marked.groupBy(*a.columns).agg(F.count_if(folded).alias("f"), F.count_if(single).alias("s"))
+        total = lambda c: F.coalesce(F.sum(c), long(0)).cast("long")
+        return met.agg(
+            total("f").alias("folded"),
+            total("s").alias("single"),
+            total(F.greatest(F.col("f") - F.col("s"), long(0))).alias("only_folded"),
+            total(F.greatest(F.col("s") - F.col("f"), long(0))).alias("only_single"),
+        ).select(F.lit(name).alias("tables"), "folded", "single", "only_folded", "only_single")
 
     keep = [*KEY, "version", "last_seqno"]
     return (

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.running import before
 from ..sources.views import cuts, long, ranges, tasks
 
 
@@ -17,33 +18,57 @@ def covers(category: Column, task_id: Column, fire_time: Column, lo_id: Column,
     return F.when(category == 1, by_id).otherwise(by_time)
 
 
-#: Ids of a bucket, for joins of ids with ranges.
-BUCKET = 128
+#: Buckets of the axis of a category (ids, microseconds) are 2 ** bits wide; so many of
+#: them make one of the next level, up to the last level.
+ID_BITS, TIME_BITS, STEP_BITS, LEVELS = 7, 26, 10, 5
 
 
-def spread(ranges: DataFrame) -> DataFrame:
-    """Ranges, once for each bucket of ids that they reach into: range joins then have equal
-    keys, and a task meets only the ranges near it."""
-    return ranges.withColumn("bucket", F.explode(F.sequence(F.expr(f"lo div {BUCKET}"), F.expr(f"(hi - 1) div {BUCKET}"))))
-
-
-def hit(own: list[Column], later: bool) -> Column:
-    cover = (F.col("t.task_id") >= F.col("r.lo")) & (F.col("t.task_id") < F.col("r.hi"))
-    out = cover & (F.expr(f"t.task_id div {BUCKET}") == F.col("r.bucket")) & (F.col("t.category") == F.col("r.category"))
-    for c in own:
-        out &= c
-    return out & (F.col("t.seqno") < F.col("r.seqno")) if later else out
+def _unit(category: Column, at: Column) -> Column:
+    return F.when(category == 1, F.shiftright(at, ID_BITS)).otherwise(F.shiftright(at, TIME_BITS))
 
 
-def same(*columns: str) -> list[Column]:
-    return [F.col(f"t.{c}") == F.col(f"r.{c}") for c in columns]
+def spread(ranges: DataFrame) -> DataFrame:
+    """Ranges, once for each bucket that they reach into, of levels as high as they are
+    wide: a range has a few buckets a level, however wide it is. Empty ranges have none."""
+    df = ranges.filter("hi > lo").withColumns({"_a": _unit(F.col("category"), F.col("lo")), "_b": _unit(F.col("category"), F.col("hi") - 1) + 1})
+    names = []
+    for level in range(LEVELS):
+        a, b = F.col("_a"), F.col("_b")
+        up, down = F.shiftright(a + (1 << STEP_BITS) - 1, STEP_BITS), F.shiftright(b, STEP_BITS)
+        higher = (up < down) if level < LEVELS - 1 else F.lit(False)
+        none = F.array().cast("array<long>")
+        several = lambda x, y: F.when(x < y, F.sequence(x, y - 1)).otherwise(none)  # noqa: E731, B023
+        low = several(a, F.when(higher, F.shiftleft(up, STEP_BITS)).otherwise(b))
+        high = F.when(higher, several(F.shiftleft(down, STEP_BITS), b)).otherwise(none)
+        level_ = F.lit(level)
+        found = F.transform(F.concat(low, high), lambda x: F.struct(level_.alias("level"), x.alias("bucket")))  # noqa: B023
+        df = df.withColumns({f"_{level}": found, "_up": F.when(higher, up).otherwise(0), "_down": F.when(higher, down).otherwise(0)})
+        df = df.drop("_a", "_b").withColumnsRenamed({"_up": "_a", "_down": "_b"})
+        names.append(f"_{level}")
+    return df.withColumn("_at", F.explode(F.concat(*names))).select(*ranges.columns, "_at.level", "_at.bucket")
+
+
+def without(tasks: DataFrame, ranges: DataFrame, own: list[str], after: str | None = None) -> DataFrame:
+    """The tasks that no range of their category covers; own: columns in which a range is
+    like its tasks; after: a column in which it is higher. An anti join for each level that
+    ranges have, with equal buckets, so that a task meets only the ranges around it."""
+    pieces = spread(ranges)
+    levels = sorted(r["level"] for r in pieces.select("level").distinct().collect())  # LEVELS at most
+    for level in levels:
+        t, r = tasks.alias("t"), pieces.filter(F.col("level") == level).alias("r")
+        bucket = F.shiftright(_unit(F.col("t.category"), F.col("t.at")), STEP_BITS * level)
+        hit = (bucket == F.col("r.bucket")) & (F.col("t.at") >= F.col("r.lo")) & (F.col("t.at") < F.col("r.hi"))
+        for c in ("category", *own):
+            hit &= F.col(f"t.{c}") == F.col(f"r.{c}")
+        if after:
+            hit &= F.col(f"t.{after}") < F.col(f"r.{after}")
+        tasks = t.join(r, hit, "left_anti")
+    return tasks
 
 
 def swept(entries: DataFrame) -> DataFrame:
-    """Tasks that no range folded after them in their window deletes. The anti join has
-    equal shard, window and category, so a task meets a window's ranges at most."""
-    t, r = tasks(entries).alias("t"), spread(ranges(entries)).alias("r")
-    return t.join(r, hit(same("shard", "win"), True), "left_anti")
+    """Tasks that no range folded after them in their window deletes."""
+    return without(tasks(entries), ranges(entries), ["shard", "win"], "seqno")
 
 
 def sweep_counts(entries: DataFrame) -> DataFrame:
@@ -55,35 +80,30 @@ def sweep_counts(entries: DataFrame) -> DataFrame:
 
 
 def islands(entries: DataFrame) -> DataFrame:
-    """Each shard's ranges merged where they join or overlap; gaps stay."""
-    order = Window.partitionBy("shard", "category").orderBy("lo", "hi", "seqno")
-    reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opens = long(F.coalesce(F.col("lo") > reach, F.lit(True)))
-    numbered = ranges(entries).withColumn("opens", opens)
-    island = F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return (
-        numbered.withColumn("island", island)
-        .groupBy("shard", "category", "island")
-        .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count(F.lit(1)).alias("ranges"))
-    )
+    """Each shard's ranges of a category merged where they join or overlap; gaps stay. How
+    far the ranges before reach, and how many gaps they leave, are bucketed totals."""
+    group, order = ["shard", "category"], [F.col(c) for c in ("lo", "hi", "seqno")]
+    bucket = F.shiftright(_unit(F.col("category"), F.col("lo")), STEP_BITS)
+    reached = before(ranges(entries), group, bucket, order, maxima={"reach": F.col("hi")})
+    opens = reached.withColumn("opens", long(F.coalesce(F.col("lo") > F.col("reach"), F.lit(True))))
+    numbered = before(opens, group, bucket, order, {"island": F.col("opens")}).withColumn("island", F.col("island") + F.col("opens"))
+    return numbered.groupBy(*group, "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count(F.lit(1)).alias("ranges"))
 
 
 def base_tasks(entries: DataFrame) -> DataFrame:
     """Tasks at rest at the applied position: written up to it, and deleted by no range
     after them up to it."""
     at = F.broadcast(cuts(entries).select("shard", "applied"))
-    t = tasks(entries).join(at, "shard").filter("seqno <= applied").alias("t")
-    r = spread(ranges(entries)).join(at, "shard").filter("seqno <= applied").alias("r")
-    return t.join(r, hit(same("shard"), True), "left_anti").drop("applied")
+    done = lambda df: df.join(at, "shard").filter("seqno <= applied").drop("applied")
+    return without(done(tasks(entries)), done(ranges(entries)), ["shard"], "seqno")
 
 
 def tail_tasks(entries: DataFrame, overlap: int = 0) -> DataFrame:
     """Tasks of the tail, in order of which ranges sweep them; with `overlap`, as many
     entries below the applied position are held by both sides."""
     at = F.broadcast(cuts(entries).select("shard", "applied"))
-    t = tasks(entries).join(at, "shard").filter(F.col("seqno") > F.col("applied") - overlap).alias("t")
-    r = spread(ranges(entries)).join(at, "shard").filter("seqno > applied").alias("r")
-    return t.join(r, hit(same("shard"), True), "left_anti").drop("applied")
+    held = tasks(entries).join(at, "shard").filter(F.col("seqno") > F.col("applied") - overlap).drop("applied")
+    return without(held, tail_ranges(entries), ["shard"], "seqno")
 
 
 def tail_ranges(entries: DataFrame) -> DataFrame:
@@ -101,12 +121,16 @@ def hidden(entries: DataFrame) -> DataFrame:
 
 
 def visible_base(entries: DataFrame) -> DataFrame:
-    return base_tasks(entries).alias("t").join(spread(tail_ranges(entries)).alias("r"), hit(same("shard"), False), "left_anti")
+    return without(base_tasks(entries), tail_ranges(entries), ["shard"])
+
 
+#: Entries below the applied position that the window still holds.
+OVERLAP = 10
 
-def merged(entries: DataFrame, overlap: int = 10) -> DataFrame:
+
+def merged(entries: DataFrame, overlap: int = OVERLAP) -> DataFrame:
     """Tasks of both sides, each key once: what is at rest wins, ties are counted."""
-    key = ["shard", "category", "fire_time", "task_id"]
+    key = ["shard", "category", "fire_time", "at", "task_id"]
     both = (
         visible_base(entries)
         .select(*key, "workflow", "slot", long(0).alias("side"))
@@ -131,25 +155,94 @@ def page(entries: DataFrame, batch: int = 50) -> DataFrame:
     )
 
 
-def next_page(entries: DataFrame, after: int, batch: int = 50) -> DataFrame:
-    """The page of immediate tasks above a key: keyset pagination, so pages join without gaps."""
-    order = Window.partitionBy("shard").orderBy("task_id")
+def next_page(entries: DataFrame, after: int, after_us: int, batch: int = 50) -> DataFrame:
+    """The page of each queue above a key: immediate tasks above an id, scheduled ones above
+    a fire time and id. Keyset pagination, so pages join without gaps."""
+    order = Window.partitionBy("shard", "category").orderBy(F.col("fire_time").asc_nulls_first(), "task_id")
+    above = F.when(F.col("category") == 1, F.col("task_id") > after).otherwise(
+        (F.col("at") > after_us) | ((F.col("at") == after_us) & (F.col("task_id") > after))
+    )
     return (
         merged(entries)
-        .filter((F.col("category") == 1) & (F.col("task_id") > after))
+        .filter(above)
         .withColumn("ord", long(F.row_number().over(order)))
         .filter(F.col("ord") <= max(batch, 1))
-        .select("shard", "ord", "task_id", "side")
+        .select("shard", "category", "ord", "task_id", long(F.unix_micros("fire_time")).alias("fire_us"), "side")
+    )
+
+
+def base_pages(entries: DataFrame, size: int = 20) -> DataFrame:
+    """Pages as a store may answer, right and wrong: the base's tasks of a category, `size` a
+    page, with faults planted by the page's number. shard, category, page, ord, key, lo, hi,
+    asked, token."""
+    order = Window.partitionBy("shard", "category").orderBy("at", "task_id")
+    rows = base_tasks(entries).withColumn("n", long(F.row_number().over(order)) - 1)
+    page, ord_ = F.floor(F.col("n") / size).cast("long"), F.col("n") % size
+    fault = page % 6
+    return rows.select(
+        "shard",
+        "category",
+        page.alias("page"),
+        F.when(fault == 1, size - 1 - ord_).otherwise(ord_).alias("ord"),  # descends
+        (F.col("at") + F.when((fault == 2) & (ord_ == 3), -(1 << 60)).otherwise(0)).alias("key"),  # below the range
+        long(-(1 << 50)).alias("lo"),
+        long(1 << 60).alias("hi"),
+        F.when(fault == 3, long(size // 2)).otherwise(long(size)).alias("asked"),  # more than was asked for
+        long(fault != 5).alias("token"),
+    )
+
+
+def page_audit(pages: DataFrame) -> DataFrame:
+    """What is wrong with a store's pages, by shard, category and page (none is left out):
+    rows outside of the range, rows that don't ascend from the one before, in the page or
+    the pages before, rows beyond those asked for, and a token beside an empty page."""
+    in_page = Window.partitionBy("shard", "category", "page").orderBy("ord")
+    up_to = Window.partitionBy("shard", "category").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    found = (
+        pages.withColumn("earlier", F.lag("key").over(in_page))
+        .groupBy("shard", "category", "page")
+        .agg(
+            F.count("key").alias("n"),
+            F.count_if((F.col("key") < F.col("lo")) | (F.col("key") >= F.col("hi"))).alias("outside"),
+            F.count_if(F.col("key") <= F.col("earlier")).alias("descends"),
+            F.min("key").alias("lowest"),
+            F.max("key").alias("highest"),
+            F.max("asked").alias("asked"),
+            F.max("token").alias("token"),
+        )
+    )
+    passed = long(F.coalesce(F.col("lowest") <= F.max("highest").over(up_to), F.lit(False)))
+    return found.withColumn("passed", passed).select(
+        "shard",
+        "category",
+        "page",
+        "n",
+        "outside",
+        "descends",
+        "passed",
+        long(F.col("n") > F.col("asked")).alias("too_large"),
+        long((F.col("n") == 0) & (F.col("token") == 1)).alias("empty_beside_token"),
     )
 
 
 def collisions(entries: DataFrame) -> DataFrame:
-    """Page statistics: keys of both sides, and keys that both hold."""
-    return merged(entries).groupBy("shard", "category").agg(
-        F.count(F.lit(1)).alias("keys"),
+    """Statistics of reading the whole queue: rows of the base, those of them that ranges
+    hide, tasks of the window, keys of both sides, keys that both hold, and where the
+    merged ones come from."""
+    keys = ["shard", "category"]
+    n = F.count(F.lit(1))
+    met = merged(entries).groupBy(*keys).agg(
+        n.alias("keys"),
         F.count_if(F.col("copies") > 1).alias("collisions"),
         F.count_if(F.col("side") == 0).alias("from_base"),
+        F.count_if(F.col("side") == 1).alias("from_window"),
     )
+    base = base_tasks(entries).groupBy(*keys).agg(n.alias("base_rows"))
+    window = tail_tasks(entries, OVERLAP).groupBy(*keys).agg(n.alias("window_touched"))
+    none = lambda c: F.coalesce(c, long(0)).alias(c)
+    columns = ("base_rows", "window_touched", "keys", "collisions", "from_base", "from_window")
+    joined = base.join(window, keys, "full_outer").join(met, keys, "full_outer").select(*keys, *map(none, columns))
+    return joined.withColumn("base_discarded", F.col("base_rows") - F.col("from_base"))
 
 
 def scheduled_cover(timers: DataFrame, lo: str, hi: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions import conditions as c
-from ..sources.views import EPOCH, SHARDS, WINDOW
+from ..sources.views import EPOCH, PAGE_AFTER, SHARDS, WINDOW
 
 _LOG = f"""
 e0 AS (
@@ -32,13 +32,17 @@ log AS (
   FROM e2),
 cuts AS (SELECT shard, max(seqno) AS last, max(seqno) * 3 // 5 AS applied FROM log GROUP BY shard),
 tasks AS (
-  SELECT shard, win, seqno, workflow, run, 0::BIGINT AS slot, 1::BIGINT AS category, NULL::TIMESTAMP AS fire_time, seqno AS task_id
-  FROM log WHERE kind = 'add_tasks'
-  UNION ALL
-  SELECT shard, win, seqno, workflow, run, 1, 2, ts + to_minutes(k), seqno FROM log WHERE kind = 'add_tasks' AND k % 2 = 0),
+  SELECT *, CASE WHEN category = 1 THEN task_id ELSE CAST(epoch_us(fire_time) AS BIGINT) END AS "at" FROM (
+    SELECT shard, win, seqno, workflow, run, 0::BIGINT AS slot, 1::BIGINT AS category, NULL::TIMESTAMP AS fire_time, seqno AS task_id
+    FROM log WHERE kind = 'add_tasks'
+    UNION ALL
+    SELECT shard, win, seqno, workflow, run, 1, 2, ts + to_minutes(k), seqno FROM log WHERE kind = 'add_tasks' AND k % 2 = 0)),
 ranges AS (
   SELECT shard, win, seqno, 1::BIGINT AS category, seqno - 64 AS lo, seqno + CASE WHEN k >= 90 THEN 32 ELSE 0 END AS hi
-  FROM log WHERE kind = 'range_complete'),
+  FROM log WHERE kind = 'range_complete'
+  UNION ALL
+  SELECT shard, win, seqno, 2, CAST(epoch_us(ts) AS BIGINT) - 5400000000, CAST(epoch_us(ts) AS BIGINT) + CASE WHEN k >= 90 THEN 1800000000 ELSE 0 END
+  FROM log WHERE kind = 'range_complete' AND k % 2 = 0),
 mine AS (
   SELECT *, CASE WHEN kind = 'delete' THEN -2 WHEN version = 1 THEN -1 ELSE version - 1 END AS base
   FROM log WHERE kind IN ('update', 'snapshot', 'delete'))
@@ -78,21 +82,21 @@ _QUEUES = """
 swept AS (
   SELECT t.* FROM tasks t WHERE NOT EXISTS (
     SELECT 1 FROM ranges r WHERE r.shard = t.shard AND r.win = t.win AND r.category = t.category
-      AND t.task_id >= r.lo AND t.task_id < r.hi AND t.seqno < r.seqno)),
+      AND t."at" >= r.lo AND t."at" < r.hi AND t.seqno < r.seqno)),
 base_tasks AS (
   SELECT t.* FROM tasks t JOIN cuts c ON c.shard = t.shard AND t.seqno <= c.applied WHERE NOT EXISTS (
     SELECT 1 FROM ranges r WHERE r.shard = t.shard AND r.seqno <= c.applied AND r.category = t.category
-      AND t.task_id >= r.lo AND t.task_id < r.hi AND t.seqno < r.seqno)),
+      AND t."at" >= r.lo AND t."at" < r.hi AND t.seqno < r.seqno)),
 tail_ranges AS (SELECT r.* FROM ranges r JOIN cuts c ON c.shard = r.shard AND r.seqno > c.applied),
 visible AS (
   SELECT t.* FROM base_tasks t WHERE NOT EXISTS (
-    SELECT 1 FROM tail_ranges r WHERE r.shard = t.shard AND r.category = t.category AND t.task_id >= r.lo AND t.task_id < r.hi)),
+    SELECT 1 FROM tail_ranges r WHERE r.shard = t.shard AND r.category = t.category AND t."at" >= r.lo AND t."at" < r.hi)),
 tail_tasks AS (
   SELECT t.* FROM tasks t JOIN cuts c ON c.shard = t.shard AND t.seqno > c.applied - 10 WHERE NOT EXISTS (
     SELECT 1 FROM tail_ranges r WHERE r.shard = t.shard AND r.category = t.category
-      AND t.task_id >= r.lo AND t.task_id < r.hi AND t.seqno < r.seqno)),
+      AND t."at" >= r.lo AND t."at" < r.hi AND t.seqno < r.seqno)),
 merged AS (
-  SELECT shard, category, fire_time, task_id, min(side) AS side, count(*) AS copies, arg_min(workflow, side) AS workflow
+  SELECT shard, category, fire_time, "at", task_id, min(side) AS side, count(*) AS copies, arg_min(workflow, side) AS workflow
   FROM (SELECT *, 0::BIGINT AS side FROM visible UNION ALL SELECT *, 1 FROM tail_tasks) GROUP BY ALL)"""
 
 _NODES = """nodes AS (
@@ -129,6 +133,40 @@ _FINAL_CURRENT = f"""(SELECT shard, workflow, run, version FROM (
     SELECT *, row_number() OVER (PARTITION BY shard, workflow ORDER BY win DESC) AS nth FROM {_current("mine")})
   WHERE nth = 1 AND removed = 0)"""
 
+_FINAL_TASKS = """(SELECT t.* FROM tasks t WHERE NOT EXISTS (
+    SELECT 1 FROM ranges r WHERE r.shard = t.shard AND r.category = t.category AND t."at" >= r.lo AND t."at" < r.hi AND t.seqno < r.seqno))"""
+
+_FINAL_BUFFERED = """(SELECT * FROM (SELECT *, coalesce(max(CASE WHEN kind = 'snapshot' THEN seqno END) OVER w, 0) AS barrier,
+      max((kind = 'delete')::BIGINT) OVER w AS gone FROM mine WINDOW w AS (PARTITION BY shard, workflow, run))
+    WHERE kind = 'update' AND k >= 90 AND seqno > barrier AND gone = 0)"""
+
+_BATCHES = """batches AS (
+  SELECT shard, win, seqno, ordinal, workflow AS tree, run % 2 AS branch, version + ordinal AS node, seqno AS txn,
+    CASE ordinal WHEN 0 THEN 'e' ELSE 'n' END || k::VARCHAR AS events
+  FROM log CROSS JOIN (SELECT unnest([0::BIGINT, 1::BIGINT]) AS ordinal)
+  WHERE kind = 'update' AND k % 5 = 0 AND (ordinal = 0 OR k % 10 = 0))"""
+
+_REPLAY = """marked AS (
+  SELECT log.*, applied, CASE WHEN kind = 'update' AND k = 33 THEN 'undecodable' WHEN kind = 'update' AND k = 34 THEN 'foreign_shard' END AS fault
+  FROM log JOIN cuts USING (shard) WHERE seqno > applied),
+replayed AS (
+  SELECT m.*, CASE WHEN seqno > halt_at THEN 'unreached' WHEN seqno = halt_at THEN 'stranded'
+    WHEN epoch < owner AND workflow % 13 = 0 THEN 'dropped' WHEN epoch < owner THEN 'alone' ELSE 'folded' END AS outcome
+  FROM marked m LEFT JOIN (SELECT shard, min(seqno) AS halt_at FROM marked WHERE fault IS NOT NULL GROUP BY shard) USING (shard)),
+reports AS (
+  SELECT shard, count(*) FILTER (outcome = 'folded') AS folded, count(*) FILTER (outcome = 'alone') AS alone,
+    count(*) FILTER (outcome = 'dropped') AS dropped, count(*) FILTER (outcome = 'stranded') AS stranded,
+    count(*) FILTER (outcome = 'unreached') AS unreached,
+    coalesce(min(seqno) FILTER (outcome = 'stranded'), 0) AS halted_at, coalesce(min(fault) FILTER (outcome = 'stranded'), 'none') AS why,
+    coalesce(max(seqno) FILTER (outcome IN ('folded', 'alone')), min(applied)) AS applied,
+    CAST(coalesce(sum(size) FILTER (outcome = 'stranded'), 0) AS BIGINT) AS tail_bytes
+  FROM replayed GROUP BY shard),
+ended AS (
+  SELECT shard, coalesce(halted_at, 0) AS halted_at, coalesce(state, 'running') AS state, coalesce(later, 0) AS later
+  FROM (SELECT DISTINCT shard FROM log) LEFT JOIN (
+    SELECT shard, min(seqno) AS halted_at, arg_min(CASE k WHEN 97 THEN 'halted_lost' ELSE 'halted_invariant' END, seqno) AS state, count(*) - 1 AS later
+    FROM log WHERE kind = 'update' AND k IN (97, 98) GROUP BY shard) USING (shard))"""
+
 _OVERLAY_ITEMS = f"""
 reset AS (SELECT shard, workflow, run FROM {_runs("after_cut", "0")} WHERE shape <> 'delta'),
 upper_items AS (SELECT * FROM {_items("after_cut", "0")}),
@@ -150,6 +188,10 @@ def _log(body: str, *more: str) -> str:
     return f"WITH {', '.join([_LOG, *more])} {body}"
 
 
+def _recursive(body: str, *more: str) -> str:
+    return _log(body, *more).replace("WITH", "WITH RECURSIVE", 1)
+
+
 _ENTRY = "shard, seqno, epoch, win, workflow, run, version, kind, size"
 _PAGE = "shard, category, ord, CAST(epoch_us(fire_time) AS BIGINT) AS fire_us, task_id, workflow, side"
 
@@ -181,7 +223,16 @@ def _series() -> str:
             of("tail", "tail_entries", "'-'", "entries"),
             of("tail", "tail_bytes", "'-'", "bytes"),
             of("tail", "unapplied_entries", "'-'", "last - applied"),
+            of("tail", "backpressure_refusals", "'entries'", "greatest(entries - 8192, 0)"),
             of("(SELECT shard, category, count(*) FILTER (copies > 1) AS n FROM merged GROUP BY ALL)", "merged_task_collisions", "category::VARCHAR", "n"),
+            of("(SELECT shard, category, count(*) AS n FROM merged GROUP BY ALL)", "merged_task_pages", "category::VARCHAR", "ceil(n / 50)"),
+            of("(SELECT shard, count(*) // 16 AS n FROM stats GROUP BY ALL)", "trims", "'-'", "n"),
+            of("(SELECT shard, sum(us) AS n FROM (SELECT shard, epoch_us(max(ts)) - epoch_us(min(ts)) AS us FROM log GROUP BY shard, win) GROUP BY shard)", "window_age", "'-'", "n"),
+            of("(SELECT shard, count(*) FILTER (k = 1 AND epoch >= owner) AS n FROM log GROUP BY shard)", "answered_condition_failures", "'-'", "n"),
+            of("(SELECT shard, count(*) FILTER (kind = 'update' AND k % 4 = 1) AS n FROM log JOIN cuts USING (shard) WHERE seqno > applied GROUP BY shard)", "overlaid_reads", "'-'", "n"),
+            of("(SELECT * FROM ended WHERE state <> 'running')", "halts", "state", "1"),
+            of("reports", "replayed_entries", "'-'", "folded + alone + dropped"),
+            of("reports", "replay_dropped_entries", "'-'", "dropped"),
         ]
     )
 
@@ -309,15 +360,15 @@ ORACLES: dict[str, str] = {
     ),
     "oracle_window_equivalence": _log(
         " UNION ALL ".join(
-            f"SELECT '{t}' AS tables, 0::BIGINT AS only_folded, 0::BIGINT AS only_single" for t in ("items", "runs", "current", "tasks")
+            f"SELECT '{t}' AS tables, n AS folded, n AS single, 0::BIGINT AS only_folded, 0::BIGINT AS only_single FROM (SELECT count(*) AS n FROM {rows})"
+            for t, rows in {"items": f"(SELECT * FROM {_items('mine', '0')} WHERE op = 'U')", "runs": _FINAL_RUNS, "current": _FINAL_CURRENT, "tasks": _FINAL_TASKS}.items()
         )
     ),
     "apply_runs_final": _log(f"SELECT * FROM {_FINAL_RUNS}"),
     "apply_items_final": _log(f"SELECT shard, workflow, run, key, value FROM {_items('mine', '0')} WHERE op = 'U'"),
     "apply_current_final": _log(f"SELECT * FROM {_FINAL_CURRENT}"),
     "apply_tasks_final": _log(
-        """SELECT shard, category, task_id, slot, workflow, CAST(epoch_us(fire_time) AS BIGINT) AS fire_us FROM tasks t WHERE NOT EXISTS (
-          SELECT 1 FROM ranges r WHERE r.shard = t.shard AND r.category = t.category AND t.task_id >= r.lo AND t.task_id < r.hi AND t.seqno < r.seqno)"""
+        f"SELECT shard, category, task_id, slot, workflow, CAST(epoch_us(fire_time) AS BIGINT) AS fire_us FROM {_FINAL_TASKS}"
     ),
     "apply_guarded_deletes": _log(
         f"""SELECT * FROM {_FINAL_CURRENT} c WHERE NOT EXISTS (
@@ -343,15 +394,73 @@ ORACLES: dict[str, str] = {
         _QUEUES,
     ),
     "task_page_next": _log(
-        """SELECT shard, ord, task_id, side FROM (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY task_id) AS ord FROM merged
-          WHERE category = 1 AND task_id > 200) WHERE ord <= 50""",
+        f"""SELECT shard, category, ord, task_id, CAST(epoch_us(fire_time) AS BIGINT) AS fire_us, side FROM (
+          SELECT *, row_number() OVER (PARTITION BY shard, category ORDER BY fire_time NULLS FIRST, task_id) AS ord FROM merged
+          WHERE CASE WHEN category = 1 THEN task_id > 200 ELSE ("at", task_id) > ({PAGE_AFTER}, 200) END) WHERE ord <= 50""",
         _QUEUES,
     ),
     "task_collisions": _log(
-        """SELECT shard, category, count(*) AS keys, count(*) FILTER (copies > 1) AS collisions, count(*) FILTER (side = 0) AS from_base
-        FROM merged GROUP BY ALL""",
+        """SELECT shard, category, coalesce(base_rows, 0) AS base_rows, coalesce(window_touched, 0) AS window_touched, coalesce(keys, 0) AS keys,
+          coalesce(collisions, 0) AS collisions, coalesce(from_base, 0) AS from_base, coalesce(from_window, 0) AS from_window,
+          coalesce(base_rows, 0) - coalesce(from_base, 0) AS base_discarded
+        FROM (SELECT shard, category, count(*) AS base_rows FROM base_tasks GROUP BY ALL)
+        FULL JOIN (SELECT shard, category, count(*) AS window_touched FROM tail_tasks GROUP BY ALL) USING (shard, category)
+        FULL JOIN (SELECT shard, category, count(*) AS keys, count(*) FILTER (copies > 1) AS collisions, count(*) FILTER (side = 0) AS from_base,
+          count(*) FILTER (side = 1) AS from_window FROM merged GROUP BY ALL) USING (shard, category)""",
+        _QUEUES,
+    ),
+    "base_page_audit": _log(
+        """SELECT shard, category, page, n, outside, descends,
+          coalesce(lowest <= max(highest) OVER (PARTITION BY shard, category ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE)::BIGINT AS passed,
+          (n > asked)::BIGINT AS too_large, (n = 0 AND token = 1)::BIGINT AS empty_beside_token
+        FROM (SELECT shard, category, page, count(*) AS n, count(*) FILTER (key < -1125899906842624 OR key >= 1152921504606846976) AS outside,
+            count(*) FILTER (key <= earlier) AS descends, min(key) AS lowest, max(key) AS highest,
+            CASE WHEN page % 6 = 3 THEN 10 ELSE 20 END AS asked, (page % 6 <> 5)::BIGINT AS token
+          FROM (SELECT *, lag(key) OVER (PARTITION BY shard, category, page ORDER BY ord) AS earlier
+            FROM (SELECT shard, category, n // 20 AS page, CASE WHEN n // 20 % 6 = 1 THEN 19 - n % 20 ELSE n % 20 END AS ord,
+                "at" - CASE WHEN n // 20 % 6 = 2 AND n % 20 = 3 THEN 1152921504606846976 ELSE 0 END AS key
+              FROM (SELECT *, row_number() OVER (PARTITION BY shard, category ORDER BY "at", task_id) - 1 AS n FROM base_tasks)))
+          GROUP BY shard, category, page)""",
         _QUEUES,
     ),
+    "history_batch_order": _log(
+        """SELECT shard, win, count(*) AS batches, string_agg(concat_ws('.', seqno, ordinal, node), ',' ORDER BY seqno, ordinal) AS in_order,
+          max(seqno) AS tail FROM batches GROUP BY ALL""",
+        _BATCHES,
+    ),
+    "history_branch_nodes": _log(
+        """SELECT shard, tree, branch, ord, node, txn, events FROM (
+          SELECT *, row_number() OVER (PARTITION BY shard, tree ORDER BY node, txn DESC, ordinal) AS ord FROM batches WHERE branch = 1) WHERE ord <= 3""",
+        _BATCHES,
+    ),
+    "history_event_slots": _log(
+        """SELECT shard, count(*) AS batches, CAST(sum(length(events)) AS BIGINT) AS batches_chars, count(*) AS stripped, 0::BIGINT AS stripped_chars
+        FROM batches GROUP BY shard""",
+        _BATCHES,
+    ),
+    "acked_read_back": _log(
+        """SELECT shard, count(*) FILTER (k = 9) AS lost, count(*) FILTER (k = 8) AS other, count(*) FILTER (k = 12) AS unacknowledged,
+          max(seqno) - min(seqno) + 1 - count(*) AS missing FROM log GROUP BY shard"""
+    ),
+    "replay_report": _log("SELECT * FROM reports", _REPLAY),
+    "halts_first": _log("SELECT * FROM ended", _REPLAY),
+    "tail_account": _log(
+        """SELECT shard, win, action, "end" AS acknowledged, CASE WHEN action = 'stall' THEN last_end ELSE "end" END AS resolved,
+          CASE WHEN action = 'move' THEN "end" ELSE last_moved END AS applied,
+          "end" - CASE WHEN action = 'stall' THEN last_end ELSE "end" END AS entries,
+          CASE WHEN action = 'stall' THEN bytes ELSE 0 END AS bytes, CASE WHEN action = 'stall' THEN "end" ELSE 0 END AS stalled
+        FROM (SELECT *, coalesce(max("end") OVER w, 0) AS last_end, coalesce(max(CASE WHEN action <> 'keep' THEN "end" END) OVER w, 0) AS last_moved
+          FROM (SELECT shard, win, max(seqno) AS "end", CAST(sum(size) AS BIGINT) AS bytes,
+              CASE WHEN win % 7 = 5 THEN 'stall' WHEN win % 5 = 3 THEN 'keep' ELSE 'move' END AS action FROM log GROUP BY shard, win)
+          WINDOW w AS (PARTITION BY shard ORDER BY win ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+    ),
+    "start_gate": f"""SELECT *, CASE WHEN readable = 0 THEN 'retry' WHEN replay = 'ok' THEN 'serve' WHEN replay = 'lost' THEN 'halt_lost'
+      WHEN replay = 'stranded' THEN 'halt_invariant' ELSE 'retry' END AS action
+      FROM {_values(readable=[0, 1], replay=["ok", "lost", "stranded", "log_error"])}""",
+    "write_path": f"""SELECT *, CASE WHEN halted = 1 THEN 'halted' WHEN own_shard = 0 THEN 'foreign_shard' WHEN started = 0 THEN 'not_started'
+      WHEN refusal <> 'accept' THEN refusal WHEN holds = 0 THEN 'condition_failed' WHEN append <> 'accept' THEN append
+      WHEN fold = 'ok' THEN 'folded' WHEN fold = 'refused' THEN 'drained_and_folded' ELSE 'halt_invariant' END AS ends
+      FROM {_values(halted=[0, 1], own_shard=[0, 1], started=[0, 1], refusal=["accept", "bytes"], holds=[0, 1], append=["accept", "halt_lost"], fold=["ok", "refused", "refused_twice"])}""",
     "task_cursors": _log(
         """SELECT shard, category, arg_max(task_id, ord) AS task_id, CAST(epoch_us(max(fire_time)) AS BIGINT) AS fire_us, 1::BIGINT AS foreign_refused
         FROM (SELECT *, row_number() OVER (PARTITION BY shard, category ORDER BY fire_time NULLS FIRST, task_id) AS ord FROM merged)
@@ -422,23 +531,34 @@ ORACLES: dict[str, str] = {
         """SELECT shard, CASE WHEN kind IN ('update', 'snapshot') THEN 'exists' WHEN kind = 'delete' THEN 'removed' ELSE 'no_claim' END AS effect,
           count(*) AS n FROM log GROUP BY ALL"""
     ),
-    "drain_metrics": _log(_series(), _QUEUES, _STATS, _SWEEPS, _TAIL),
+    "drain_metrics": _log(_series(), _QUEUES, _STATS, _SWEEPS, _TAIL, _REPLAY),
     "witness_claims": _log(
         " UNION ALL ".join(
             f"SELECT '{claim}' AS claim, ({holds})::BIGINT AS holds"
             for claim, holds in {
+                "every acknowledged entry names a kind": "(SELECT count(*) FROM log WHERE kind IS NULL) = 0",
+                "every kind is there": "(SELECT count(DISTINCT kind) FROM log) = 5",
+                "something was acknowledged": "(SELECT count(*) FROM log) > 0",
+                "something was written": "(SELECT sum(written) FROM sweeps) > 0",
+                "something was applied": "(SELECT sum(applied) FROM cuts) > 0",
                 "every shard has a tail": "(SELECT sum(entries) FROM tail) > 0",
+                "reads met the window": "(SELECT count(*) FROM log JOIN cuts USING (shard) WHERE seqno > applied AND kind = 'update' AND k % 4 = 1) > 0",
+                "pages were merged": "(SELECT count(*) FROM merged) > 0",
                 "ranges and tasks reached the log": "(SELECT count(*) FROM tasks) > 0",
                 "some task was dropped": "(SELECT sum(dropped) FROM sweeps) > 0",
                 "something collapsed": "(SELECT sum(mutations) > sum(workflows) FROM stats)",
                 "a page met both sides": "(SELECT count(*) FROM merged WHERE copies > 1) > 0",
                 "all writes were drained": "(SELECT sum(mutations) FROM stats) = (SELECT count(*) FROM log)",
+                "nothing halted": "(SELECT count(*) FROM ended WHERE state <> 'running') = 0",
+                "no condition reached a drain": "(SELECT count(*) FROM log WHERE k = 1 AND epoch >= owner) = 0",
+                "replays dropped no more than they read": "(SELECT sum(dropped) <= sum(folded + alone + dropped) FROM reports)",
             }.items()
         ),
         _QUEUES,
         _STATS,
         _SWEEPS,
         _TAIL,
+        _REPLAY,
     ),
     "backpressure_decision": f"""SELECT *, CASE WHEN stalled = 1 THEN 'unresolved' WHEN pressure >= 2 THEN 'storage_pressure'
       WHEN bytes >= 8388608 THEN 'bytes' WHEN entries >= 8192 THEN 'entries' ELSE 'accept' END AS verdict
@@ -474,5 +594,49 @@ ORACLES: dict[str, str] = {
       WHEN error = 'ownership_lost' THEN 'shard_lost' WHEN error LIKE '%condition' THEN 'invariant_violated' ELSE 'unknown' END AS class,
       CASE WHEN error = 'halted_lost' THEN 'ownership_lost' ELSE error END AS at_store
       FROM {_values(error=["none", "refused", "ownership_lost", "current_condition", "workflow_condition", "condition", "timeout", "halted_lost"])}""",
+    "fold_exact_cycle": _recursive(
+        """SELECT shard, win, min(seqno) AS first, max(seqno) AS last, count(*) AS mutations, CAST(sum(size) AS BIGINT) AS bytes,
+          count(DISTINCT workflow) AS workflows, coalesce(max(closed), max(next_opened), 'explicit') AS cause, ((win + 1) % 16 = 0)::BIGINT AS trims
+        FROM (SELECT *, lead(opened) OVER (PARTITION BY shard ORDER BY seqno) AS next_opened FROM step) GROUP BY shard, win""",
+        """e AS MATERIALIZED (SELECT shard, seqno, workflow, run, kind, size, epoch_us(ts) AS us, workflow || ':' || run AS of FROM log),
+step AS (
+  SELECT shard, seqno, workflow, size, 0::BIGINT AS win, 1::BIGINT AS n, size AS held, us AS since,
+    CASE WHEN kind = 'snapshot' THEN [of] ELSE []::VARCHAR[] END AS resets,
+    CASE WHEN size >= 262144 THEN 'bytes' END AS closed, NULL::VARCHAR AS opened FROM e WHERE seqno = 1
+  UNION ALL
+  SELECT shard, seqno, workflow, size, win, n, held, since, CASE WHEN kind = 'snapshot' THEN list_append(resets, of) ELSE resets END,
+    CASE WHEN n >= 256 THEN 'mutations' WHEN held >= 262144 THEN 'bytes' END, opened
+  FROM (SELECT shard, seqno, workflow, kind, of, size, opened, win + fresh::BIGINT AS win, CASE WHEN fresh THEN 1 ELSE n + 1 END AS n,
+      CASE WHEN fresh THEN size ELSE held + size END AS held, CASE WHEN fresh THEN us ELSE since END AS since,
+      CASE WHEN fresh THEN []::VARCHAR[] ELSE resets END AS resets
+    FROM (SELECT *, closed IS NOT NULL OR opened IS NOT NULL AS fresh
+      FROM (SELECT e.*, s.win, s.n, s.held, s.since, s.resets, s.closed,
+          CASE WHEN s.closed IS NULL AND e.us - s.since >= 5000000 THEN 'age'
+            WHEN s.closed IS NULL AND e.kind = 'snapshot' AND list_contains(s.resets, e.of) THEN 'refusal' END AS opened
+        FROM step s JOIN e ON e.shard = s.shard AND e.seqno = s.seqno + 1))))""",
+    ),
+    "trim_points": _recursive(
+        """SELECT shard, win, "end" AS up_to, win - before AS drains FROM step WHERE fires""",
+        """d AS MATERIALIZED (SELECT shard, win, max(seqno) AS "end", epoch_us(max(ts)) AS us FROM log GROUP BY shard, win),
+step AS (
+  SELECT shard, win, "end", -1::BIGINT AS before, us AS since, FALSE AS fires, us FROM d WHERE win = 0
+  UNION ALL
+  SELECT shard, win, "end", before, since, win - before >= 16 OR us - since >= 60000000, us
+  FROM (SELECT d.*, CASE WHEN s.fires THEN s.win ELSE s.before END AS before, CASE WHEN s.fires THEN s.us ELSE s.since END AS since
+    FROM step s JOIN d ON d.shard = s.shard AND d.win = s.win + 1))""",
+    ),
     "stream_fold_state": _log(f"SELECT shard, workflow, run, key, value FROM {_items('mine', '0')} WHERE op = 'U'"),
+    "stream_tables_state": _log(
+        " UNION ALL ".join(
+            f"SELECT '{t}' AS tables, shard, count(*) AS n, CAST(sum({of}) AS BIGINT) AS told FROM {rows} GROUP BY shard"
+            for t, of, rows in (
+                ("runs", "version * 7 + last_seqno", _FINAL_RUNS),
+                ("current", "run * 13 + version", _FINAL_CURRENT),
+                ("buffered", "seqno", _FINAL_BUFFERED),
+                ("tasks", "category * 3 + task_id * 5 + slot + workflow", _FINAL_TASKS),
+                ("history", "node * 3 + txn + branch", "batches"),
+            )
+        ),
+        _BATCHES,
+    ),
 }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codec
 from ..functions.conditions import verdict_class
-from ..operators import authority, decide, fold, log, metrics, overlay, queues
+from ..operators import authority, decide, fold, history, life, log, metrics, overlay, queues
 from ..sources import views
 from ..sources.views import long, read
 
@@ -20,6 +20,11 @@ def on_log(operator: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: operator(views.log(read(spark, sf_dir, "events")))
 
 
+def at_rest(operator: Callable[[DataFrame], DataFrame]) -> Query:
+    """For operators that read the log several times: it is written first."""
+    return lambda spark, sf_dir: operator(views.at_rest(views.log(read(spark, sf_dir, "events"))))
+
+
 def on_nodes(operator: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: operator(views.history_nodes(read(spark, sf_dir, "conversations")))
 
@@ -53,12 +58,25 @@ def set_changes(df: DataFrame) -> DataFrame:
 
 
 def codec_round_trip(df: DataFrame) -> DataFrame:
-    """Records that come back as they were, by kind."""
+    """Records that come back as they were, by kind: the arm, its parts with their versions,
+    keys and values, tasks, ranges and events."""
     back = codec.decode(codec.encode(df))
-    same = df.select("shard", "seqno", F.col("kind").alias("k0"), F.col("version").alias("v0"), "key", "op")
-    ok = F.col("reason").isNull() & (F.col("kind") == F.col("k0")) & (F.col("version") == F.col("v0"))
-    ok &= (F.size("upserts") == long(F.coalesce(F.col("op") == "U", F.lit(False)))) & (F.size("deletes") == long(F.coalesce(F.col("op") == "D", F.lit(False))))
-    return back.join(same, ["shard", "seqno"]).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("same"))
+    same = df.select("shard", "seqno", F.col("kind").alias("k0"), F.col("version").alias("v0"), F.col("run").alias("r0"), F.col("workflow").alias("w0"), "key", "op", "value", "k")
+    c = F.col
+    part = F.when(c("kind") == "set", c("set.parts")[0]).otherwise(c("update.parts")[0])
+    written = F.when(c("op") == "U", F.concat(c("key").cast("string"), F.lit("="), c("value").cast("string")))
+    held = F.array_join(F.transform(part["upserts"], lambda u: F.concat(u["key"].cast("string"), F.lit("="), u["value"].cast("string"))), ",")
+    gone = F.coalesce(c("op") == "D", F.lit(False))
+    parts = (part["version"] == c("v0")) & (part["run"] == c("r0")) & (held == F.coalesce(written, F.lit(""))) & (F.size(part["deletes"]) == gone.cast("int"))
+    ok = (
+        F.when(c("k0") == "update", (c("kind") == "update") & parts & (F.size("update.events") == (c("k") % 5 == 0).cast("int")))
+        .when(c("k0") == "snapshot", (c("kind") == "set") & parts)
+        .when(c("k0") == "delete", (c("delete.workflow") == c("w0")) & (c("delete.run") == c("r0")))
+        .when(c("k0") == "add_tasks", (F.size("add_tasks.tasks") == 1 + (c("k") % 2 == 0).cast("int")) & (c("add_tasks.tasks")[0]["task_id"] == c("seqno")))
+        .otherwise((c("kind") == "range_complete") & (c("range_complete.ranges")[0]["hi"] == c("seqno")))
+    )
+    ok &= c("reason").isNull() & (c("of_shard") == c("shard"))
+    return back.join(same, ["shard", "seqno"]).groupBy(c("k0").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("same"))
 
 
 def history_validity(nodes: DataFrame) -> DataFrame:
@@ -148,9 +166,35 @@ def exact_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_drains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..streaming.drain import drained_tables
+    from ..streaming.drain import drained_items
+
+    return drained_items(spark, views.log(read(spark, sf_dir, "events")))
+
+
+def stream_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming.drain import drained_sums
 
-    return drained_tables(spark, views.log(read(spark, sf_dir, "events")))
+    return drained_sums(spark, views.log(read(spark, sf_dir, "events")))
+
+
+def starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = decide.domain(spark, readable=[0, 1], replay=["ok", "lost", "stranded", "log_error"])
+    return d.withColumn("action", life.start_gate(F.col("readable"), F.col("replay")))
+
+
+def writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("halted", "own_shard", "started", "refusal", "holds", "append", "fold")
+    d = decide.domain(
+        spark,
+        halted=[0, 1],
+        own_shard=[0, 1],
+        started=[0, 1],
+        refusal=["accept", "bytes"],
+        holds=[0, 1],
+        append=["accept", "halt_lost"],
+        fold=["ok", "refused", "refused_twice"],
+    )
+    return d.withColumn("ends", life.write_path(*map(F.col, names)))
 
 
 QUERIES: dict[str, Query] = {
@@ -158,13 +202,18 @@ QUERIES: dict[str, Query] = {
     "log_read_from": on_log(lambda df: entries(log.read_from(df, 1, 100, 50))),
     "log_point_read": on_log(lambda df: entries(log.entry_at(df, 42))),
     "log_append_verdict": on_log(log.append_verdicts),
-    "log_gap_dup_audit": on_log(log.audit),
-    "log_trim": on_log(log.trim),
-    "replay_tail": on_log(log.replay),
+    "log_gap_dup_audit": at_rest(log.audit),
+    "log_trim": at_rest(log.trim),
+    "replay_tail": at_rest(log.replay),
     "kind_counts": on_log(log.totals),
     "stream_report": on_log(log.stream_report),
-    "positions_lag": on_log(log.positions),
-    "running_tail": on_log(log.running_tail),
+    "positions_lag": at_rest(log.positions),
+    "acked_read_back": at_rest(log.acked_audit),
+    "replay_report": at_rest(life.replay_report),
+    "halts_first": at_rest(life.halts),
+    "tail_account": at_rest(life.tail_account),
+    "trim_points": on_log(life.trim_points),
+    "running_tail": at_rest(log.running_tail),
     "shutdown_residue": on_log(metrics.lag),
     "task_slots_flat": on_log(task_slots),
     "window_stats": on_log(fold.windows),
@@ -172,29 +221,33 @@ QUERIES: dict[str, Query] = {
     "fold_items_lww": on_log(fold.items),
     "fold_current_row": on_log(fold.current),
     "fold_requests_emitted": on_log(fold.requests),
-    "fold_tombstones": on_log(fold.tombstones),
+    "fold_tombstones": at_rest(fold.tombstones),
     "fold_buffered": on_log(fold.buffered),
     "fold_set_changes": on_log(set_changes),
     "batch_watermark": on_log(fold.watermarks),
     "window_coverage": on_log(fold.coverage),
-    "overlay_runs": on_log(overlay.overlay_runs),
-    "overlay_items": on_log(overlay.overlay_items),
-    "overlay_current": on_log(overlay.overlay_current),
-    "overlay_equals_fold": on_log(overlay.overlay_differences),
-    "oracle_window_equivalence": on_log(overlay.equivalence),
+    "overlay_runs": at_rest(overlay.overlay_runs),
+    "overlay_items": at_rest(overlay.overlay_items),
+    "overlay_current": at_rest(overlay.overlay_current),
+    "overlay_equals_fold": at_rest(overlay.overlay_differences),
+    "oracle_window_equivalence": at_rest(overlay.equivalence),
     "apply_runs_final": on_log(overlay.final_runs),
-    "apply_items_final": on_log(overlay.final_items),
+    "apply_items_final": at_rest(overlay.final_items),
     "apply_current_final": on_log(overlay.final_current),
-    "apply_tasks_final": on_log(overlay.final_tasks),
-    "apply_guarded_deletes": on_log(overlay.guarded_deletes),
-    "task_sweep_counts": on_log(queues.sweep_counts),
-    "task_ranges_coalesced": on_log(queues.islands),
-    "task_hide_deleted": on_log(queues.hidden),
-    "task_page_merge": on_log(queues.page),
-    "task_page_next": on_log(lambda df: queues.next_page(df, 200)),
-    "task_collisions": on_log(queues.collisions),
-    "task_cursors": on_log(cursors),
+    "apply_tasks_final": at_rest(overlay.final_tasks),
+    "apply_guarded_deletes": at_rest(overlay.guarded_deletes),
+    "task_sweep_counts": at_rest(queues.sweep_counts),
+    "task_ranges_coalesced": at_rest(queues.islands),
+    "task_hide_deleted": at_rest(queues.hidden),
+    "task_page_merge": at_rest(queues.page),
+    "task_page_next": at_rest(lambda df: queues.next_page(df, 200, views.PAGE_AFTER)),
+    "task_collisions": at_rest(queues.collisions),
+    "task_cursors": at_rest(cursors),
+    "base_page_audit": at_rest(lambda df: queues.page_audit(queues.base_pages(df))),
     "scheduled_range_cover": timers,
+    "history_batch_order": on_log(history.collected),
+    "history_branch_nodes": on_log(lambda df: history.branch_page(df, 1)),
+    "history_event_slots": at_rest(history.slot_counts),
     "history_page_forward": on_nodes(queues.history_page),
     "history_page_reverse": on_nodes(lambda n: queues.history_page(n, reverse=True)),
     "history_metadata_only": on_nodes(lambda n: queues.history_page(n.filter("node >= 2 AND node < 5"), metadata_only=True)),
@@ -202,16 +255,16 @@ QUERIES: dict[str, Query] = {
     "history_validity": on_nodes(history_validity),
     "assertions_derived": on_log(authority.assertions),
     "version_chain": on_log(authority.chain),
-    "assertion_verdicts": on_log(authority.verdicts),
+    "assertion_verdicts": at_rest(authority.verdicts),
     "current_verdicts": on_log(authority.current_verdicts),
-    "authority_partition": on_log(authority.partition),
-    "settlement_first_failure": on_log(authority.settlement),
-    "divergence_attribution": on_log(authority.attribution),
-    "codec_round_trip": on_log(codec_round_trip),
-    "call_outcomes": on_log(metrics.matched_calls),
+    "authority_partition": at_rest(authority.partition),
+    "settlement_first_failure": at_rest(authority.settlement),
+    "divergence_attribution": at_rest(authority.attribution),
+    "codec_round_trip": at_rest(codec_round_trip),
+    "call_outcomes": at_rest(metrics.matched_calls),
     "effects_identified": on_log(metrics.effects),
-    "drain_metrics": on_log(metrics.series),
-    "witness_claims": on_log(metrics.claims),
+    "drain_metrics": at_rest(metrics.series),
+    "witness_claims": at_rest(metrics.claims),
     "backpressure_decision": backpressure,
     "append_outcome": append_outcomes,
     "settlement_decision": settlements,
@@ -220,8 +273,11 @@ QUERIES: dict[str, Query] = {
     "read_routing": routes,
     "superseded_routing": superseded,
     "drain_causes": drain_causes,
+    "start_gate": starts,
+    "write_path": writes,
     "outcome_classes": outcome_classes,
     "fold_exact_cycle": exact_cycle,
     "fold_exact_requests": exact_requests,
     "stream_fold_state": stream_drains,
+    "stream_tables_state": stream_tables,
 }

@@ -1,82 +1,92 @@
 """Versioned Parquet tables with one manifest: many tables committed at once, with the
-log position that they cover.
+log positions that they cover.
 
-A commit writes every table under a new version and then swaps the manifest, a small file
-renamed into place. Readers take the manifest first and so see one version of all tables.
-The manifest holds the writer's epoch; a writer of another epoch is refused (on stores
-without atomic rename, put the manifest where a conditional write is possible).
+A table lies in buckets, each a folder of one version. A commit writes new versions of the
+buckets it touches and then publishes the next manifest, a record that only one writer can
+create (records.py). Readers take the highest manifest first and so see one version of all
+tables. The manifest holds the epoch that owns each shard; a writer of another one is refused.
 """
 
 from __future__ import annotations
 
-import json
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .records import Records
 
 
 class OwnershipLost(Exception):
-    """Another epoch owns the tables."""
+    """Another epoch owns the tables, or a shard of theirs."""
 
 
 class Tables:
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-        jvm = spark._jvm.org.apache.hadoop.fs
-        self._path = jvm.Path
-        self._fs = jvm.Path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
-        self._fs.mkdirs(jvm.Path(self.folder))
+    """buckets: into how many a bucketed table is dealt; a commit rewrites those it touches."""
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 16):
+        self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
+        self._records = Records(spark, f"{self.folder}/manifests")
 
     def manifest(self) -> dict:
-        path = self._path(f"{self.folder}/manifest.json")
-        if not self._fs.exists(path):
-            return {"version": 0, "epoch": 0, "applied": {}, "tables": {}}
-        stream = self._fs.open(path)
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
-
-    def _swap(self, manifest: dict) -> None:
-        new, path = self._path(f"{self.folder}/_manifest-{manifest['version']}-{manifest['epoch']}"), self._path(f"{self.folder}/manifest.json")
-        stream = self._fs.create(new, True)
-        try:
-            stream.write(bytearray(json.dumps(manifest).encode()))
-        finally:
-            stream.close()
-        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), self.spark._jsc.hadoopConfiguration())
-        overwrite = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        options = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = overwrite
-        context.rename(new, path, options)
-
-    def fence(self, epoch: int) -> None:
-        """Claims the tables; an equal epoch again does nothing, a lower one is refused."""
+        at = self._records.last()
+        return self._records.read(at) if at else {"version": 0, "epochs": {}, "applied": {}, "tables": {}}
+
+    def owner(self, shard: int | None = None, held: dict | None = None) -> int:
+        """The epoch that owns a shard: its own, or that of all shards if higher."""
+        epochs = (held or self.manifest())["epochs"]
+        return max(epochs.get("all", 0), epochs.get(str(shard), 0))
+
+    def fence(self, epoch: int, shard: int | None = None) -> None:
+        """Claims a shard, or all; an equal epoch again does nothing, a lower one is refused."""
         if epoch < 1:
             raise ValueError("epoch 0 owns nothing")
-        held = self.manifest()
-        if held["epoch"] > epoch:
-            raise OwnershipLost(f"fenced at epoch {held['epoch']}, cannot fence at {epoch}")
-        if held["epoch"] < epoch:
-            self._swap(held | {"epoch": epoch})
-
-    def read(self, name: str) -> DataFrame | None:
-        at = self.manifest()["tables"].get(name)
-        return self.spark.read.parquet(f"{self.folder}/{at}") if at else None
-
-    def commit(self, epoch: int, tables: dict[str, DataFrame], applied: dict[str, int], batch: int) -> bool:
-        """Writes new versions of tables and moves the position. False if `batch` (or a later
-        one) is committed already, so a batch may safely be tried again."""
-        held = self.manifest()
-        if held["epoch"] != epoch:
-            raise OwnershipLost(f"fenced at epoch {held['epoch']}, cannot commit at {epoch}")
+        name = "all" if shard is None else str(shard)
+        while True:
+            held = self.manifest()
+            owner = max([0, *held["epochs"].values()]) if shard is None else self.owner(shard, held)
+            if owner > epoch:
+                raise OwnershipLost(f"fenced at epoch {owner}, cannot fence at {epoch}")
+            if held["epochs"].get(name, 0) == epoch or self._publish(held, epochs=held["epochs"] | {name: epoch}):
+                return
+
+    def _publish(self, held: dict, **new) -> bool:
+        version = held["version"] + 1
+        return self._records.publish(version, held | new | {"version": version})
+
+    def bucket(self, *columns: str) -> Column:
+        return F.pmod(F.xxhash64(*columns), F.lit(self.buckets)).cast("int")
+
+    def read(self, name: str, buckets: list[int] | None = None, held: dict | None = None) -> DataFrame | None:
+        """A table without its bucket column, or some of its buckets; None if there is none."""
+        at = (held or self.manifest())["tables"].get(name, {})
+        paths = [path for b, path in at.items() if buckets is None or b == "all" or int(b) in buckets]
+        return self.spark.read.parquet(*(f"{self.folder}/{p}" for p in paths)) if paths else None
+
+    def commit(self, epoch: int, tables: dict, applied: dict[str, int], batch: int, held: dict | None = None) -> bool:
+        """Writes tables and moves positions. A table is a DataFrame, which replaces all of
+        it, or (DataFrame with a column `bucket`, the buckets that it replaces). held: the
+        manifest that the tables were made from. False if `batch` (or a later one) is
+        committed already, so a batch may safely be tried again."""
+        held = held or self.manifest()
+        for shard in applied or [None]:
+            if self.owner(shard, held) != epoch:
+                raise OwnershipLost(f"fenced at epoch {self.owner(shard, held)}, cannot commit at {epoch}")
         if held.get("batch", -1) >= batch:
             return False
-        version = held["version"] + 1
-        names = dict(held["tables"])
-        for name, df in tables.items():
-            names[name] = f"{name}/v={version}-{epoch}"
-            df.write.mode("overwrite").parquet(f"{self.folder}/{names[name]}")
-        if self.manifest() != held:
+        version, names = f"v={held['version'] + 1}-{uuid.uuid4().hex[:8]}", dict(held["tables"])
+        fs = self._records._fs
+        for name, made in tables.items():
+            folder = f"{name}/{version}"
+            if isinstance(made, DataFrame):
+                made.write.parquet(f"{self.folder}/{folder}")
+                names[name] = {"all": folder}
+                continue
+            df, touched = made
+            df.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.folder}/{folder}")
+            kept = {b: path for b, path in names.get(name, {}).items() if b != "all" and int(b) not in touched}
+            there = [b for b in touched if fs.exists(self._records._path(f"{self.folder}/{folder}/bucket={b}"))]
+            names[name] = kept | {str(b): f"{folder}/bucket={b}" for b in there}
+        if not self._publish(held, batch=batch, applied=held["applied"] | applied, tables=names):
             raise OwnershipLost("the manifest moved during the commit")
-        self._swap({"version": version, "epoch": epoch, "batch": batch, "applied": held["applied"] | applied, "tables": names})
         return True

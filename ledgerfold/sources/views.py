@@ -9,8 +9,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.running import before
+from .shared import written
+
 #: Mutations of a window, entries of an epoch, shards of the view.
 WINDOW, EPOCH, SHARDS = 256, 1000, 4
+#: Ids, or positions, of a bucket of a shard: what a task sorts at most.
+BUCKET = 1 << 16
+
+
+#: A key of the scheduled queue, in microseconds, that pages go on from.
+PAGE_AFTER = 1_705_300_000_000_000
+KINDS = ("delete", "snapshot", "add_tasks", "range_complete", "update")
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,8 +48,12 @@ def kind() -> Column:
 
 def log(events: DataFrame, window: int = WINDOW) -> DataFrame:
     """shard, seqno, owner and epoch, win, workflow, run, version, kind, k, op, key, value,
-    ts and size of every entry. Sequencing shuffles by shard once; what runs need is
-    partitioned by (shard, workflow) and shuffles once more."""
+    ts and size of every entry.
+
+    Entries are numbered by bucketed sums over ranges of event ids, so that no task gets a
+    shard; what runs need is partitioned by (shard, workflow) and streams through one sort.
+    Events of equal ids are numbered by time, type and the other columns; a null user is a
+    workflow in a shard of their own (both null). Null types are updates."""
     base = events.select(
         long(F.col("user_id") % SHARDS + 1).alias("shard"),
         long(F.col("user_id")).alias("workflow"),
@@ -50,11 +64,12 @@ def log(events: DataFrame, window: int = WINDOW) -> DataFrame:
         long(F.get_json_object("props", "$.k")).alias("k"),
         long(F.length("props") + 64).alias("size"),
     ).withColumn("kind", kind())
-    in_shard = Window.partitionBy("shard").orderBy("event_id")
-    sequenced = base.withColumn("seqno", long(F.row_number().over(in_shard)))
+    order = [F.col(c) for c in ("event_id", "ts", "event_type", "workflow", "k", "value", "size")]
+    sequenced = before(base, ["shard"], F.shiftright("event_id", BUCKET.bit_length() - 1), order, {"seqno": long(1)})
+    sequenced = sequenced.withColumn("seqno", F.col("seqno") + 1)
     own = Window.partitionBy("shard", "workflow").orderBy("seqno")
-    before = own.rowsBetween(Window.unboundedPreceding, -1)
-    runs = sequenced.withColumn("run", F.coalesce(F.sum(long(F.col("kind") == "delete")).over(before), long(0)))
+    earlier = own.rowsBetween(Window.unboundedPreceding, -1)
+    runs = sequenced.withColumn("run", F.coalesce(F.sum(long(F.col("kind") == "delete")).over(earlier), long(0)))
     touch = F.col("kind").isin("update", "snapshot")
     in_run = Window.partitionBy("shard", "workflow", "run").orderBy("seqno").rowsBetween(Window.unboundedPreceding, 0)
     owner = 1 + div(F.col("seqno"), EPOCH)
@@ -80,6 +95,11 @@ def log(events: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
 
+def at_rest(entries: DataFrame) -> DataFrame:
+    """The same log, written once and read again: for what reads it several times."""
+    return entries.sparkSession.read.schema(entries.schema).parquet(written(entries, "log"))
+
+
 def cuts(entries: DataFrame) -> DataFrame:
     """shard, last, applied: a position that divides each shard's log, three fifths in."""
     return entries.groupBy("shard").agg(F.max("seqno").alias("last")).withColumn("applied", div(F.col("last") * 3, 5))
@@ -87,7 +107,8 @@ def cuts(entries: DataFrame) -> DataFrame:
 
 def tasks(entries: DataFrame) -> DataFrame:
     """The task slots of add-tasks entries: an immediate task (category 1, keyed by id) and,
-    for even k, a scheduled one (category 2, keyed by fire time and id)."""
+    for even k, a scheduled one (category 2, keyed by fire time and id). at: where ranges
+    find a task, its id or its fire time in microseconds."""
     slots = F.array(
         F.struct(long(1).alias("category"), F.lit(None).cast("timestamp").alias("fire_time")),
         F.when(
@@ -100,18 +121,27 @@ def tasks(entries: DataFrame) -> DataFrame:
         .select("shard", "win", "seqno", "workflow", "run", F.posexplode(slots).alias("slot", "task"))
         .filter("task IS NOT NULL")
         .select("shard", "win", "seqno", "workflow", "run", long(F.col("slot")).alias("slot"), "task.*", F.col("seqno").alias("task_id"))
+        .withColumn("at", F.when(F.col("category") == 1, F.col("task_id")).otherwise(F.unix_micros("fire_time")))
     )
 
 
 def ranges(entries: DataFrame) -> DataFrame:
-    """The ranges [lo, hi) of task ids that range-complete entries delete (category 1)."""
-    return entries.filter("kind = 'range_complete'").select(
-        "shard",
-        "win",
-        "seqno",
-        long(1).alias("category"),
-        (F.col("seqno") - 64).alias("lo"),
-        (F.col("seqno") + F.when(F.col("k") >= 90, 32).otherwise(0)).alias("hi"),
+    """The ranges [lo, hi) that range-complete entries delete: of task ids (category 1) and,
+    for even k, of fire times in microseconds (category 2)."""
+    us = F.unix_micros("ts")
+    minutes = lambda n: n * 60_000_000
+    slots = F.array(
+        F.struct(long(1).alias("category"), (F.col("seqno") - 64).alias("lo"), (F.col("seqno") + F.when(F.col("k") >= 90, 32).otherwise(0)).alias("hi")),
+        F.when(
+            F.col("k") % 2 == 0,
+            F.struct(long(2).alias("category"), (us - minutes(90)).alias("lo"), (us + F.when(F.col("k") >= 90, minutes(30)).otherwise(0)).alias("hi")),
+        ),
+    )
+    return (
+        entries.filter("kind = 'range_complete'")
+        .select("shard", "win", "seqno", F.explode(slots).alias("r"))
+        .filter("r IS NOT NULL")
+        .select("shard", "win", "seqno", "r.*")
     )
 
 

@@ -81,8 +81,6 @@ class Window:
         """Folds a mutation; raises before anything is changed."""
         if m.seqno <= self.last:
             raise InvalidStream(f"seqno {m.seqno} after {self.last}")
-        if m.on_current and m.workflow in self.tainted:
-            raise Refused("it asserts a current row that the window deletes unasserted")
         getattr(self, m.kind)(m)
         self.tasks += m.tasks
         self.last, self.mutations = m.seqno, self.mutations + 1
@@ -94,6 +92,11 @@ class Window:
             self.held[m.workflow, p.run] = request, p
         return request
 
+    def _admit(self, m: Mutation) -> None:
+        """What is legal may still need a new window: asked after whether it is legal."""
+        if m.on_current and m.workflow in self.tainted:
+            raise Refused("it asserts a current row that the window deletes unasserted")
+
     def _assert(self, workflow: int, run: int, base: int) -> None:
         """The first toucher of a run fixes what the window asserts of it."""
         self.heads.setdefault((workflow, run), base)
@@ -104,10 +107,15 @@ class Window:
             raise InvalidStream(f"{m.kind} of run {run} after its tombstone")
         return request, part
 
+    def _lives(self, workflow: int, run: int) -> bool:
+        _, part = self.held.get((workflow, run), (None, None))
+        return part is not None and part.shape != "tombstone"
+
     def create(self, m: Mutation) -> None:
         _, part = self._find(m, m.run)
         if part is not None and part.shape != "tombstone":
             raise InvalidStream(f"run {m.run} exists")
+        self._admit(m)
         self._assert(m.workflow, m.run, MUST_NOT_EXIST)
         new = Part(m.run, "snapshot")
         new.write(m)
@@ -117,11 +125,14 @@ class Window:
     def update(self, m: Mutation) -> None:
         request, part = self._find(m, m.run)
         grows = m.new_run is not None
+        if grows and self._lives(m.workflow, m.new_run):
+            raise InvalidStream(f"continued as new into run {m.new_run}, which the window holds live")
         if part is not None and grows:
             if part.shape == "snapshot" or request.kind == "conflict_resolve":
                 raise Refused("a second run can't join this request")
             if len(request.parts) > 1:
                 raise InvalidStream("continued as new twice")
+        self._admit(m)
         self._assert(m.workflow, m.run, m.version - 1)
         if part is None:
             part = Part(m.run, "delta")
@@ -150,6 +161,7 @@ class Window:
 
     def set(self, m: Mutation) -> None:
         request, part = self._replace(m, False)
+        self._admit(m)
         self._assert(m.workflow, m.run, m.version - 1)
         if part is None:
             part = Part(m.run, "snapshot")
@@ -161,10 +173,13 @@ class Window:
 
     def conflict_resolve(self, m: Mutation) -> None:
         multi = m.current_run is not None or m.new_run is not None
+        if m.new_run is not None and self._lives(m.workflow, m.new_run):
+            raise InvalidStream(f"continued as new into run {m.new_run}, which the window holds live")
         request, part = self._replace(m, multi)
         other_request, other = self._find(m, m.current_run) if m.current_run is not None else (None, None)
         if other is not None and (other.shape != "delta" or len(other_request.parts) > 1):
             raise Refused("the current run's change can't be merged")
+        self._admit(m)
         self._assert(m.workflow, m.run, m.version - 1)
         if part is not None and not multi:
             part.reset(m)
@@ -194,6 +209,7 @@ class Window:
             return
         if part is not None and len(request.parts) > 1:
             raise Refused("it deletes one of several runs of a request")
+        self._admit(m)
         self._assert(m.workflow, m.run, NONE)
         if part is not None:
             self.requests.remove(request)

@@ -1,44 +1,100 @@
 """The fold as a stream: each micro-batch is a window, drained into versioned tables.
 
-A drain folds its batch, overlays the change on the tables at rest and commits tables and
-position together. A batch that comes again after a failure finds itself committed.
+A drain folds its batch, overlays the change on the buckets of the tables that it touches,
+and commits tables and positions together, in the order of a store's transaction: history,
+range deletes, merged requests, tasks, watermark. A batch that comes again after a failure
+finds itself committed.
 """
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import fold
+from ..operators import fold, history, queues
+from ..sources.shared import shared_dir
 from ..sources.tables import Tables
-from ..sources.views import long
+from ..sources.views import KINDS, long, ranges, tasks
 
 KEY = ["shard", "workflow", "run"]
 
 
-def apply(tables: Tables, epoch: int, batch: DataFrame, batch_id: int) -> bool:
-    """Folds a batch of entries into the tables `runs` and `items`."""
+class RefusedBatch(Exception):
+    """A batch that the sink doesn't take; nothing was written."""
+
+
+def preflight(batch: DataFrame, epoch: int, shards: list[int] | None = None) -> list[int]:
+    """The shards of a batch of entries; refuses, before anything is written, epoch 0, an
+    empty batch, shards that aren't ours, and unknown kinds."""
+    if epoch < 1:
+        raise RefusedBatch("zero epoch")
+    found = batch.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(~F.coalesce(F.col("kind").isin(*KINDS), F.lit(False)), F.coalesce("kind", F.lit("none")))).alias("unknown"))
+    rows = found.collect()  # one for each shard
+    if not rows:
+        raise RefusedBatch("empty batch")
+    for r in rows:
+        if r["shard"] is None or (shards is not None and r["shard"] not in shards):
+            raise RefusedBatch(f"foreign shard {r['shard']}")
+        if r["unknown"] is not None:
+            raise RefusedBatch(f"unknown kind {r['unknown']} in shard {r['shard']}")
+    return [r["shard"] for r in rows]
+
+
+def apply(tables: Tables, epoch: int, batch: DataFrame, batch_id: int, shards: list[int] | None = None) -> bool:
+    """Folds a batch of entries into the tables `runs`, `items`, `current`, `buffered`,
+    `tasks` and `history`."""
     spark = batch.sparkSession
+    preflight(batch, epoch, shards)
+    held = tables.manifest()
+    at = [(int(s), n) for s, n in held["applied"].items()]
+    known = spark.createDataFrame(at, "shard long, applied long")
     window = batch.withColumn("win", long(0))
-    at = {int(s): n for s, n in tables.manifest()["applied"].items()}
-    known = spark.createDataFrame(list(at.items()), "shard long, applied long")
     fresh = window.join(F.broadcast(known), "shard", "left").filter(F.col("seqno") > F.coalesce("applied", long(0))).drop("applied").cache()
     try:
-        runs = fold.runs(fresh).select(*KEY, "version", "tail", "shape", "mutations")
+        last = {str(r["shard"]): r["last"] for r in fresh.groupBy("shard").agg(F.max("seqno").alias("last")).collect()}
+        if not last:
+            return False
+        of_runs = tables.bucket("shard", "workflow")
+        touched = {"workflow": of_runs, "shard": tables.bucket("shard"), "tree": tables.bucket("tree")}
+        within = {
+            name: [r[0] for r in (history.batches(fresh) if name == "tree" else fresh).select(c).distinct().collect()]
+            for name, c in touched.items()
+        }
+
+        def old(name: str, by: str, like: DataFrame) -> DataFrame:
+            found = tables.read(name, within[by], held)
+            return like.limit(0) if found is None else found.select(*like.columns)
+
+        runs = fold.runs(fresh)
+        whole = runs.filter("shape <> 'delta'").select(*KEY)
+        new_runs = runs.filter("shape <> 'tombstone' AND version > 0").select(*KEY, "version", F.col("tail").alias("last_seqno"))
         items = fold.items(fresh).select(*KEY, "key", "op", "value")
-        old_runs, old_items = tables.read("runs"), tables.read("items")
-        reset = runs.filter("shape <> 'delta'").select(*KEY)
         new_items = items.filter("op = 'U'").drop("op")
-        if old_items is not None:
-            kept = old_items.join(reset, KEY, "left_anti").join(items.select(*KEY, "key"), [*KEY, "key"], "left_anti")
-            new_items = kept.unionByName(new_items)
-        new_runs = runs.filter("shape <> 'tombstone' AND version > 0").select(*KEY, "version", F.col("tail").alias("last_seqno"))
-        if old_runs is not None:
-            new_runs = old_runs.join(runs.select(*KEY), KEY, "left_anti").unionByName(new_runs)
-        last = {str(r["shard"]): r["last"] for r in fresh.groupBy("shard").agg(F.max("seqno").alias("last")).collect()}
-        return tables.commit(epoch, {"runs": new_runs, "items": new_items}, last, batch_id)
+        current = fold.current(fresh).select("shard", "workflow", "run", "version", "removed")
+        new_current = current.filter("removed = 0").drop("removed")
+        queued = fold.buffered_batches(fresh).select(*KEY, "seqno")
+        row = ["shard", "category", "task_id", "slot", "workflow", "fire_time", "at"]
+        new_tasks = queues.swept(fresh).select(*row)
+        swept = queues.without(old("tasks", "shard", new_tasks), ranges(fresh), ["shard"])
+        nodes = history.batches(fresh).select(*history.NODE, "events")
+        made = {
+            "runs": ("workflow", old("runs", "workflow", new_runs).join(runs.select(*KEY), KEY, "left_anti").unionByName(new_runs)),
+            "items": (
+                "workflow",
+                old("items", "workflow", new_items)
+                .join(whole, KEY, "left_anti")
+                .join(items.select(*KEY, "key"), [*KEY, "key"], "left_anti")
+                .unionByName(new_items),
+            ),
+            "current": ("workflow", old("current", "workflow", new_current).join(current.select("shard", "workflow"), ["shard", "workflow"], "left_anti").unionByName(new_current)),
+            "buffered": ("workflow", old("buffered", "workflow", queued).join(whole, KEY, "left_anti").unionByName(queued)),
+            "tasks": ("shard", swept.unionByName(new_tasks)),
+            "history": ("tree", old("history", "tree", nodes).join(nodes, history.KEY, "left_anti").unionByName(nodes)),
+        }
+        out = {name: (df.withColumn("bucket", touched[by]), within[by]) for name, (by, df) in made.items()}
+        return tables.commit(epoch, out, last, batch_id, held)
     finally:
         fresh.unpersist()
 
@@ -47,7 +103,7 @@ def drain(spark: SparkSession, source: str, schema, tables: Tables, epoch: int,
     """Drains what a folder of Parquet files of entries holds, `files` of them a window."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
     query = (
-        stream.writeStream.foreachBatch(lambda batch, i: apply(tables, epoch, batch, i) and None)
+        stream.writeStream.foreachBatch(lambda batch, i: (batch.isEmpty() or apply(tables, epoch, batch, i)) and None)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -55,20 +111,44 @@ def drain(spark: SparkSession, source: str, schema, tables: Tables, epoch: int,
     query.awaitTermination()
 
 
-def drained_tables(spark: SparkSession, entries: DataFrame, windows: int = 4) -> DataFrame:
-    """The items at rest after a log, cut into `windows` files by position, was streamed."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="drain-")
-    folder = f"{base.rstrip('/')}/drain-{spark.sparkContext.applicationId}-{id(entries)}"
+def drained(spark: SparkSession, entries: DataFrame, windows: int = 4) -> Tables:
+    """The tables after a log, cut into `windows` files by position, was streamed. The
+    position's part is of the shard's last one, so files hold a stretch of every shard."""
+    folder = f"{shared_dir(spark)}/drain-{uuid.uuid4().hex}"
     source = f"{folder}/log"
-    part = F.expr(f"(seqno - 1) * {windows} div max(seqno) OVER (PARTITION BY shard)")
-    cut = entries.withColumn("part", part).persist()
+    last = entries.groupBy("shard").agg(F.max("seqno").alias("last"))
+    part = F.expr(f"(seqno - 1) * {windows} div last")
+    parted = entries.join(F.broadcast(last), "shard").withColumn("part", part).drop("last").persist()
     try:
         for i in range(windows):
-            cut.filter(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(source)
+            parted.filter(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(source)
     finally:
-        cut.unpersist()
-    tables = Tables(spark, f"{folder}/tables")
+        parted.unpersist()
+    tables = Tables(spark, f"{folder}/tables", buckets=4)
     tables.fence(1)
     drain(spark, source, entries.schema, tables, 1, f"{folder}/checkpoint")
-    found = tables.read("items")
+    return tables
+
+
+def drained_items(spark: SparkSession, entries: DataFrame) -> DataFrame:
+    found = drained(spark, entries).read("items")
     return found if found is not None else spark.createDataFrame([], "shard long, workflow long, run long, key long, value double")
+
+
+def drained_sums(spark: SparkSession, entries: DataFrame) -> DataFrame:
+    """Of every table at rest after the stream: rows of each shard and sums that tell them."""
+    tables = drained(spark, entries)
+    sums = {
+        "runs": "version * 7 + last_seqno",
+        "current": "run * 13 + version",
+        "buffered": "seqno",
+        "tasks": "category * 3 + task_id * 5 + slot + workflow",
+        "history": "node * 3 + txn + branch",
+    }
+    out = None
+    for name, of in sums.items():
+        found = tables.read(name)
+        if found is not None:
+            rows = found.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.sum(F.expr(of)).cast("long").alias("told")).select(F.lit(name).alias("tables"), "*")
+            out = rows if out is None else out.unionByName(rows)
+    return out if out is not None else spark.createDataFrame([], "tables string, shard long, n long, told long")

@@ -50,6 +50,24 @@ def test_shapes(holds, arrives):
         assert w.drain() == before, "a mutation that isn't taken changes nothing"
 
 
+def test_a_run_that_the_window_holds_live_is_no_new_run():
+    live = [{"kind": "create", "run": 2, "version": 1}, UPDATE]
+    w = window(*live)
+    before = w.drain()
+    with pytest.raises(InvalidStream, match="holds live"):
+        w.add(Mutation(9, workflow=1, **(UPDATE | {"version": 6, "new_run": 2})))
+    assert w.drain() == before
+    window({"kind": "create", "run": 2, "version": 1}, {"kind": "delete", "run": 2}, UPDATE | {"new_run": 2})
+
+
+def test_what_is_not_legal_is_told_before_what_needs_a_new_window():
+    w = window(CREATE, {"kind": "delete_current", "run": 4})
+    with pytest.raises(InvalidStream):
+        w.add(Mutation(9, workflow=1, on_current=True, **CREATE))
+    with pytest.raises(Refused):
+        w.add(Mutation(9, workflow=1, on_current=True, **UPDATE))
+
+
 def test_head_and_items():
     w = window(UPDATE, UPDATE | {"version": 6, "deletes": (2,), "upserts": {9: 1}}, SET | {"version": 7})
     ((_, _, _, kind, shape, base, version, *_, ups, dels),) = w.drain()

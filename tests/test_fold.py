@@ -58,7 +58,7 @@ def test_a_range_deletes_only_tasks_before_it(spark):
 
 def test_ranges_merge_where_they_touch_and_keep_gaps(spark):
     log = views.log(events(spark, *[(4, "purchase", 80, 0)] * 2, *[(4, "view", 1, 0)] * 200, (4, "purchase", 80, 0)))
-    assert [(r["lo"], r["hi"], r["ranges"]) for r in queues.islands(log).orderBy("lo").collect()] == [(-63, 2, 2), (139, 203, 1)]
+    assert [(r["lo"], r["hi"], r["ranges"]) for r in queues.islands(log).filter("category = 1").orderBy("lo").collect()] == [(-63, 2, 2), (139, 203, 1)]
 
 
 def test_an_empty_log(spark):
@@ -73,30 +73,34 @@ def test_folding_changes_nothing(spark, sf, window):
     assert len(found) == 4 and all(r["only_folded"] == r["only_single"] == 0 for r in found)
 
 
-def test_pages_join_to_the_whole_queue(spark, sf):
-    log = views.log(views.read(spark, sf, "events"))
-    whole = {(r["shard"], r["task_id"]) for r in queues.merged(log).filter("category = 1").collect()}
-    for batch in (1, 7, 100):
-        seen, after = [], 0
-        for _ in range(3):
-            page = queues.next_page(log.filter("shard = 1"), after, batch).orderBy("ord").collect()
-            seen += [(1, r["task_id"]) for r in page]
-            after = page[-1]["task_id"] if page else after
-        assert seen == sorted(x for x in whole if x[0] == 1)[: len(seen)]
-
-
 def test_codec_refuses(spark):
-    good = '{"format":1,"provisional":false,"kind":"update","shard":1,"workflow":2,"run":0,"version":3,"upserts":[{"key":1,"value":2.0}],"deletes":[]}'
+    part = '{"run":0,"version":3,"upserts":[{"key":1,"value":2.0}],"deletes":[]}'
+    good = '{"format":1,"provisional":false,"shard":1,"update":{"workflow":2,"parts":[%s],"tasks":[],"events":[]}}' % part
+    tasks = good.replace('"tasks":[]', '"tasks":[{"category":1,"task_id":4},{"category":2,"fire_us":5,"task_id":4}]')
+    fine = [good, tasks, good.replace(part, f'{part},{part.replace("0", "1")}'), good.replace('"update"', '"create"')]
     bad = {
-        "other format": good.replace('"format":1', '"format":2'),
-        "unknown field": good.replace('"run"', '"walk"'),
-        "duplicate key": good.replace("[{", '[{"key":1,"value":9.0},{'),
-        "no request": good.replace('"kind":"update",', ""),
-        "malformed": good[:-5],
+        "other format": [good.replace('"format":1', '"format":2'), good.replace('"format":1,', "")],
+        "unknown field": [good.replace('"shard"', '"shart"'), good.replace('"workflow"', '"walk"')],
+        "duplicate key": [good.replace("[{\"key", '[{"key":1,"value":9.0},{"key'), good.replace('"deletes":[]', '"deletes":[1]')],
+        "no request": ['{"format":1,"provisional":false,"shard":1}'],
+        "several requests": [good[:-1] + ',"delete":{"workflow":2,"run":0}}'],
+        "unknown category": [tasks.replace('"category":2', '"category":7')],
+        "malformed": [good[:-5], "", "7"],
     }
-    rows = [(1, i, p) for i, p in enumerate([good, *bad.values()])]
+    texts = [(None, t) for t in fine] + [(why, t) for why, ts in bad.items() for t in ts]
+    rows = [(1, i, t) for i, (_, t) in enumerate(texts)]
     found = codec.decode(spark.createDataFrame(rows, "shard long, seqno long, payload string")).orderBy("seqno").collect()
-    assert [r["reason"] for r in found] == [None, *bad]
+    assert [(r["reason"], t) for r, (_, t) in zip(found, texts)] == texts
+    assert [r["kind"] for r in found[:4]] == ["update", "update", "update", "create"]
+
+
+def test_history_cursors(spark):
+    df = spark.createDataFrame([(4, 9, "base's own"), (4, 9, None)], "node long, txn long, base string")
+    made = df.withColumn("c", codec.history_cursor(df.node, df.txn, df.base))
+    back = [r["p"] for r in made.select(codec.parse_history_cursor(made.c).alias("p")).collect()]
+    assert [tuple(p) for p in back] == [(4, 9, "base's own"), (4, 9, None)]
+    foreign = df.select(codec.parse_history_cursor(df.base).alias("p")).collect()
+    assert [r["p"] and tuple(r["p"]) for r in foreign] == [(None, None, "base's own"), None]
 
 
 class Entry:
