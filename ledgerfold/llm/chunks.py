@@ -14,34 +14,55 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import setting, written
+from .common import BATCH, written
 
 CHUNK = "part long, kind int, block long, data binary"
 #: Kinds of chunks, in the order in which a part reads them: a table's keys and values,
 #: what belongs to them, questions, answers, sums.
 HELD, MORE, ASK, ANSWER, SUMS = range(5)
-#: Bytes of an Arrow batch between Spark and Python, and of a batch of output.
-BATCH = 4 << 20
 _TYPES = [np.dtype(t) for t in ("u1", "u2", "u4", "u8", "i8", "f8")]
+#: Types from here on are ascending 64-bit keys, as differences of so many bytes less this.
+_STEPS = 10
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    head = np.array([len(arrays), *(x for a in arrays for x in (_TYPES.index(a.dtype), len(a)))], np.int64)
-    return b"".join([head.tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)])
+    """Arrays as one binary. Ascending keys, as those of tables and questions are, take as
+    many bytes each as their largest difference does."""
+    head, parts = [len(arrays)], []
+    for a in arrays:
+        kind = _TYPES.index(a.dtype)
+        if a.dtype == np.uint64 and len(a) > 1 and (a[1:] >= a[:-1]).all():
+            steps = np.diff(a)
+            width = max(1, (int(steps.max()).bit_length() + 7) // 8)
+            if width < 8:
+                kind = _STEPS + width
+                parts += [a[:1].tobytes(), steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()]
+        if kind < _STEPS:
+            parts.append(np.ascontiguousarray(a).tobytes())
+        head += [kind, len(a)]
+    return b"".join([np.array(head, np.int64).tobytes(), *parts])
 
 
 def unpack(data: pa.Buffer) -> list[np.ndarray]:
     n = int(np.frombuffer(data, np.int64, 1)[0])
     head = np.frombuffer(data, np.int64, 2 * n, 8).reshape(n, 2)
     at, out = 8 + 16 * n, []
-    for kind, size in head:
-        out.append(np.frombuffer(data, _TYPES[kind], size, at))
-        at += int(size) * _TYPES[kind].itemsize
+    for kind, size in head.tolist():
+        if kind < _STEPS:
+            out.append(np.frombuffer(data, _TYPES[kind], size, at))
+            at += size * _TYPES[kind].itemsize
+            continue
+        width = kind - _STEPS
+        steps = np.zeros((size, 8), np.uint8)
+        steps[0] = np.frombuffer(data, np.uint8, 8, at)
+        steps[1:, :width] = np.frombuffer(data, np.uint8, (size - 1) * width, at + 8).reshape(-1, width)
+        out.append(np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64))
+        at += 8 + (size - 1) * width
     return out
 
 
@@ -159,9 +180,3 @@ def cut_by_kind(chunks: DataFrame, what: str) -> DataFrame:
 
 def of_kind(chunks: DataFrame, *kinds: int) -> DataFrame:
     return chunks.filter(F.col("kind").isin(*kinds))
-
-
-def small_batches(spark: SparkSession):
-    """While it lasts, Arrow batches of some BATCH bytes: chunks and texts are long, and
-    Spark's own limit counts rows first."""
-    return setting(spark, spark__sql__execution__arrow__maxBytesPerBatch=str(BATCH))

@@ -3,7 +3,6 @@ the cluster's shared folder, seeded order keys and distributed prefix sums."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -12,6 +11,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 #: A word: a run of characters other than space and the controls 0x09-0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -22,20 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir). Where a local
-    session names none, as in tests, a temporary folder is set for this context; on a
-    cluster that would be another folder on each machine, so there the setting is needed."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    return sc.getCheckpointDir().rstrip("/")
-
-
 def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
@@ -60,6 +47,16 @@ def lean(spark: SparkSession):
     return setting(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true")
 
 
+#: Bytes of a small Arrow batch between Spark and Python.
+BATCH = 4 << 20
+
+
+def small_batches(spark: SparkSession):
+    """While it lasts, Arrow batches of some BATCH bytes: where rows are long, Spark's own
+    limit, a count of rows first, lets batches grow large on both sides."""
+    return setting(spark, spark__sql__execution__arrow__maxBytesPerBatch=str(BATCH))
+
+
 def written(df: DataFrame, what: str, *by: str) -> str:
     """The folder, in the shared one, to which df was written (with a folder for each value of `by`)."""
     path = new_folder(df.sparkSession, what)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_map, cut, drop_cut, fresh_name, in_map, let
+from .common import bit_map, cut, drop_cut, fresh_name, in_map, let, small_batches
 from .graph import components
 
 #: Characters of a shingle; the least similarity.
@@ -220,7 +220,9 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([lines[i] for i in at[first]], pa.string())], ["id", "line"])
 
     found = docs.select("text").mapInArrow(find, "id long, line string").groupBy("id").agg(F.first("line").alias("line"))
-    return cut(found.join(ids, "id", "left_semi"), "line-texts")
+    texts = cut(found.join(ids, "id", "left_semi"), "line-texts")
+    bits.destroy()
+    return texts
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
@@ -343,13 +345,17 @@ def _across(labelled: DataFrame, texts: DataFrame, k: int, similarity: float) ->
 
 def drop_lists(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE) -> DataFrame:
     """doc_id, text_hash, dropped: the sorted numbers of the lines to drop."""
+    with small_batches(docs.sparkSession):
+        return _drop_lists(docs, similarity, k)
+
+
+def _drop_lists(docs: DataFrame, similarity: float, k: int) -> DataFrame:
     place = F.struct(F.col("doc_id"), F.col("text_hash"), F.col("line_no"))
     full = cut(line_table(docs, k), "lines-bands")
-    lines = cut(full.drop("bands"), "lines")
+    lines = full.drop("bands")
     turn = F.element_at(F.array(*(F.lit(int(t)) for t in TURNS)), (F.col("band").bitwiseAND(3) + 1).cast("int"))
     members = full.select("id", F.explode("bands").alias("band")).select("band", F.col("id").bitwiseXOR(turn).alias("key"))
     crowded = _crowded(members)
-    drop_cut(full)
     star = crowded.filter("head <> id").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     star = cut(star, "candidates")
     texts = _texts(docs, crowded.select("id").distinct())
@@ -374,6 +380,7 @@ def drop_lists(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE
     gone = named.join(first, "component").filter(~place.eqNullSafe(F.col("first")))
     lists = gone.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line_no")).alias("dropped"))
     lists = cut(lists, "dropped-lines")
+    drop_cut(full)
     return lists
 
 

@@ -175,6 +175,26 @@ def taken() -> Column:
     return (F.col("rounds") * F.col("size") + once).cast("long")
 
 
+def place_blocks(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    """Which block, of which shard, each taken word goes to: doc_id, source, shard, nth (of
+    the source's blocks, in the order in which the quotas take them), block (of the source's
+    stream) and the document's words [from, to) in it; a row for each block of a document and
+    each time that it is taken. docs, nulls and repeated rows: as for place_words."""
+    b, some = mix.block_words, place_words(docs, mix).filter("size > 0 AND quota > 0")
+    of_block = some.withColumn("block", F.explode(F.expr(f"sequence(start div {b}, (start + size - 1) div {b})")))
+    turns = F.transform(F.sequence(F.lit(0), F.col("rounds")), lambda r: F.pmod(F.col("block") - F.col("first"), F.col("n_blocks")) + r * F.col("n_blocks"))
+    taken_ = of_block.withColumn("nth", F.explode(F.filter(turns, lambda k: k < F.col("quota"))))
+    return taken_.select(
+        "doc_id",
+        "source",
+        F.size(F.filter("shard_ends", lambda end: end <= F.col("nth"))).alias("shard"),
+        "nth",
+        "block",
+        F.greatest(F.col("block") * b - F.col("start"), F.lit(0)).alias("from"),
+        F.least((F.col("block") + 1) * b - F.col("start"), F.col("size")).alias("to"),
+    )
+
+
 def mixed_texts(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The mix: the columns of docs, a row for each round that takes all or part of a
     document. A whole document keeps its text as it is; a part is the document's taken

@@ -1,26 +1,30 @@
 """Document fingerprints by Order MinHash.
 
-A text's k-mers (k consecutive words) are numbered by occurrence, so that repeats count,
-and hashed. The hash range is cut into equal bins; of each bin the `per_bin` smallest
-occurrence-numbered k-mers are selected, put back into text order, and hashed as a
-tuple. Bins agree only if both texts have the same minimal k-mers in the same order, so
-the share of agreeing bins falls with edit distance, moves of passages included.
-
-One hash of each k-mer, as in one-permutation hashing, serves all bins. Arrays of
-longs hold hash and place together, so sorting them is primitive and a text costs
-n log n; built-in functions only, and nothing of a text leaves its row.
+A text's k-mers (k consecutive words) are numbered by occurrence, so that repeats count, and
+hashed by SEEDS seeds. Each seed's hashes form a circle on which POINTS fixed points lie; a
+point's order, of distance from it onwards around the circle, is a permutation of the k-mers,
+so seeds and points give SEEDS x POINTS permutations. Of each, the `per_point` minimal
+occurrence-numbered k-mers are selected, put back into text order, and hashed as a tuple.
+Tuples agree only if both texts have the same minimal k-mers in the same order, so the share
+of agreeing ones falls with edit distance, moves of passages included. A text of fewer
+k-mers than per_point has them all in each tuple.
+
+Arrays of longs hold hash and place together, so sorting them is primitive, a text costs
+n log n for each seed, and minima are found by halving; built-in functions only, and nothing
+of a text leaves its row.
 """
 
 from __future__ import annotations
 
 import json
+import random
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import GAP, let, text_of
 
-K, BINS, PER_BIN = 3, 32, 2
+K, SEEDS, POINTS, PER_POINT = 3, 4, 8, 2
 #: Bits of a k-mer's place in a text (67 million words) and of its hash.
 PLACE_BITS = 26
 HASH_BITS = 63 - PLACE_BITS
@@ -31,20 +35,42 @@ def _hash_of(x: Column) -> Column:
     return F.shiftrightunsigned(x, PLACE_BITS)
 
 
+def _place_of(x: Column) -> Column:
+    return x.bitwiseAND(F.lit(PLACE_MASK).cast("long"))
+
+
 def _packed(h: Column, place: Column) -> Column:
     """The upper bits of a 64-bit hash over the place."""
     return F.shiftleft(F.shiftrightunsigned(h, 64 - HASH_BITS), PLACE_BITS).bitwiseOR(place.cast("long"))
 
 
-def _bin(x: Column, bins: int) -> Column:
-    return F.shiftrightunsigned(x, 63 - (bins.bit_length() - 1))
+def _halved(s: Column, lo: Column, hi: Column, below) -> Column:
+    """The first place from lo on and before hi where below(element) doesn't hold."""
+
+    def halve(at: Column, _: Column) -> Column:
+        mid = F.shiftright(at["lo"] + at["hi"], 1)
+        right = (at["lo"] < at["hi"]) & below(F.get(s, mid))
+        return F.struct(
+            F.when(right, mid + 1).otherwise(at["lo"]).alias("lo"), F.when(right | (at["lo"] >= at["hi"]), at["hi"]).otherwise(mid).alias("hi")
+        )
+
+    steps = F.sequence(F.lit(1), (F.floor(F.log2(hi - lo + 1.0)) + 1).cast("int"))
+    return F.aggregate(steps, F.struct(lo.alias("lo"), hi.alias("hi")), halve, lambda at: at["lo"])
+
+
+def points_of(seed: int, points: int = POINTS) -> list[int]:
+    """The points of a seed, as hashes over no place: one in each of equal stretches."""
+    rng = random.Random(seed)
+    width = (1 << HASH_BITS) // points
+    return [(p * width + rng.randrange(width)) << PLACE_BITS for p in range(points)]
 
 
-def signature(text: Column, k: int = K, bins: int = BINS, per_bin: int = PER_BIN) -> Column:
-    """bins 64-bit hashes (null where no k-mer falls in a bin) of a text.
+def signature(text: Column, k: int = K, seeds: int = SEEDS, points: int = POINTS, per_point: int = PER_POINT) -> Column:
+    """seeds x points 64-bit hashes of a text, none of them null.
 
     A text of fewer than k words has one k-mer, the whole word sequence; an empty text
-    has that of no words, so all empty texts have one signature. bins: a power of 2.
+    has that of no words, so all empty texts have one signature. A text of more words than
+    places can be told apart (67 million) is an error.
     """
 
     def kmers(w: Column) -> Column:
@@ -53,65 +79,54 @@ def signature(text: Column, k: int = K, bins: int = BINS, per_bin: int = PER_BIN
             lambda i: _packed(F.xxhash64(*(F.element_at(w, i + j) for j in range(k))), i),
         )
         whole = F.array(_packed(F.xxhash64(w), F.lit(1)))
-        return F.sort_array(F.when(F.size(w) >= k, grams).otherwise(whole))
+        long_ = F.raise_error(F.lit(f"a text has more than {PLACE_MASK} words")).cast("array<long>")
+        return F.sort_array(F.when(F.size(w) > PLACE_MASK, long_).when(F.size(w) >= k, grams).otherwise(whole))
 
     def occurrence(s: Column, x: Column, t: Column) -> Column:
         """How many of the sorted s before place t (from 0) have x's hash."""
         same = lambda back: _hash_of(F.get(s, t - back)) == _hash_of(x)
         lowest = F.shiftleft(_hash_of(x), PLACE_BITS)
-
-        def halve(lo_hi: Column, _: Column) -> Column:
-            lo, hi = lo_hi["lo"], lo_hi["hi"]
-            mid = F.shiftright(lo + hi, 1)
-            right = (lo < hi) & (F.get(s, mid) < lowest)
-            return F.struct(
-                F.when(right, mid + 1).otherwise(lo).alias("lo"), F.when(right | (lo >= hi), hi).otherwise(mid).alias("hi")
-            )
-
-        steps = F.sequence(F.lit(1), (F.floor(F.log2(t + 1.0)) + 1).cast("int"))
-        first = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), t.alias("hi")), halve, lambda e: e["lo"])
+        first = _halved(s, F.lit(0), t, lambda y: y < lowest)
         return F.when((t < 1) | ~same(1), 0).when((t < 2) | ~same(2), 1).otherwise(t - first)
 
     def numbered(s: Column) -> Column:
-        def one(x: Column, t: Column) -> Column:
-            return let(
-                occurrence(s, x, t),
-                lambda n: F.when(n == 0, x).otherwise(
-                    _packed(F.xxhash64(_hash_of(x), n), x.bitwiseAND(F.lit(PLACE_MASK).cast("long")))
-                ),
-            )
+        one = lambda x, t: let(occurrence(s, x, t), lambda n: F.when(n == 0, x).otherwise(_packed(F.xxhash64(_hash_of(x), n), _place_of(x))))
+        return F.transform(s, one)
+
+    def reseeded(s: Column, seed: int) -> Column:
+        return F.sort_array(s if seed == 0 else F.transform(s, lambda x: _packed(F.xxhash64(_hash_of(x), F.lit(seed)), _place_of(x))))
 
-        return F.sort_array(F.transform(s, one))
+    def tuple_at(s: Column, point: Column) -> Column:
+        """The minimal k-mers from a point on, around the circle, in text order, as one hash."""
 
-    def minimal(s: Column) -> Column:
-        return F.filter(s, lambda x, t: (t < per_bin) | (_bin(F.get(s, t - per_bin), bins) != _bin(x, bins)))
+        def of(first: Column) -> Column:
+            mine = [F.get(s, (first + i) % F.size(s)) for i in range(per_point)]
+            turned = F.transform(F.array(*mine), lambda x: F.shiftleft(_place_of(x), HASH_BITS).bitwiseOR(_hash_of(x)))
+            return F.xxhash64(F.transform(F.sort_array(turned), lambda y: y.bitwiseAND(F.lit((1 << HASH_BITS) - 1).cast("long"))))
 
-    def tuples(s: Column) -> Column:
-        def of(b: Column) -> Column:
-            mine = F.filter(s, lambda x: _bin(x, bins) == b)
-            place = lambda x: x.bitwiseAND(F.lit(PLACE_MASK).cast("long"))
-            in_text = F.array_sort(F.transform(mine, lambda x: F.struct(place(x).alias("p"), _hash_of(x).alias("h"))))
-            return let(in_text, lambda y: F.when(F.size(y) > 0, F.xxhash64(F.transform(y, lambda z: z["h"]))))
+        return let(_halved(s, F.lit(0), F.size(s), lambda y: y < point), of)
 
-        return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), of)
+    def tuples(s: Column, seed: int) -> Column:
+        at = F.array(*(F.lit(p).cast("long") for p in points_of(seed, points)))
+        return F.transform(at, lambda p: tuple_at(s, p))
 
     words = F.filter(F.split(text, GAP), lambda w: w != "")
-    return let(words, lambda w: let(kmers(w), lambda s: let(numbered(s), lambda n: let(minimal(n), tuples))))
+    of_seed = lambda n, seed: let(reseeded(n, seed), lambda s: tuples(s, seed))
+    all_of = lambda n: F.concat(*(of_seed(n, seed) for seed in range(seeds)))
+    return let(words, lambda w: let(kmers(w), lambda s: let(numbered(s), all_of)))
 
 
 def as_string(sig: Column) -> Column:
-    """8 hexadecimal digits for each bin, dots for an empty one."""
+    """8 hexadecimal digits for each tuple."""
     digits = lambda x: F.lpad(F.lower(F.hex(F.shiftrightunsigned(x, 32))), 8, "0")
-    return F.array_join(F.transform(sig, lambda x: F.when(x.isNull(), F.lit("........")).otherwise(digits(x))), "")
+    return F.array_join(F.transform(sig, digits), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """The share of bins that agree, of those that either text fills."""
-    both = F.arrays_zip(a.alias("a"), b.alias("b"))
+    """The share of tuples that agree."""
     short = lambda x: F.shiftrightunsigned(x, 32)
-    agree = F.size(F.filter(both, lambda p: short(p["a"]) == short(p["b"])))
-    filled = F.size(F.filter(both, lambda p: p["a"].isNotNull() | p["b"].isNotNull()))
-    return agree / filled
+    agree = F.size(F.filter(F.arrays_zip(a.alias("a"), b.alias("b")), lambda p: short(p["a"]) == short(p["b"])))
+    return agree / F.size(a)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -124,18 +139,8 @@ MOST_RANGES = 1 << 16
 
 
 def _rank(sorted_longs: Column, n: int, x: Column) -> Column:
-    """How many of n ascending longs are at most x, by halving."""
-
-    def halve(at: Column, _: Column) -> Column:
-        mid = F.shiftright(at["lo"] + at["hi"], 1)
-        right = (at["lo"] < at["hi"]) & (F.get(sorted_longs, mid) <= x)
-        return F.struct(
-            F.when(right, mid + 1).otherwise(at["lo"]).alias("lo"),
-            F.when(right | (at["lo"] >= at["hi"]), at["hi"]).otherwise(mid).alias("hi"),
-        )
-
-    start = F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(n.bit_length())), start, halve, lambda at: at["lo"])
+    """How many of n ascending longs are at most x."""
+    return _halved(sorted_longs, F.lit(0), F.lit(n), lambda y: y <= x)
 
 
 def _literal(values: list, kind: str) -> Column:

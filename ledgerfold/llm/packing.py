@@ -2,11 +2,11 @@
 
 Texts are cut into pieces of at most the longest length. Pieces are dealt to groups by a
 seeded hash, and each group is packed by itself: longest pieces first, each into the open
-bin that it fills best. When none fits, a bin is opened. Which size that is decides how
-well later pieces fill it, so the sizes are optimised together: a group is packed once
-for each preferred opening size (a piece that is longer gets the least size that holds
-it), every bin is then downsized to the cheapest size that holds its contents, and the
-packing of least total cost stands.
+bin that it fills best. When none fits, a bin is opened, of the permitted size that costs
+least for each word that it is expected to hold: with the pieces still to come that fill it
+best. So one packing mixes the sizes. Every bin is at last downsized to the cheapest size
+that holds its contents. A group is also packed with one preferred opening size throughout,
+for each of them, and the packing of least total cost stands.
 """
 
 from __future__ import annotations
@@ -38,8 +38,8 @@ class Lengths:
 
 
 def best_fit(sizes: list[int], opening: Callable[[int], int]) -> tuple[list[int], list[list[int]]]:
-    """Bin of each piece, and the pieces of each bin. sizes: descending; opening(size): the
-    capacity of the bin that a piece opens. Of equally full bins the oldest is taken."""
+    """Bin of each piece, and the pieces of each bin. sizes: descending; opening(i): the
+    capacity of the bin that piece i opens. Of equally full bins the oldest is taken."""
     rest: list[tuple[int, int]] = []  # room and bin, ascending
     of, bins = [], []
     for i, size in enumerate(sizes):
@@ -47,7 +47,7 @@ def best_fit(sizes: list[int], opening: Callable[[int], int]) -> tuple[list[int]
         if at < len(rest):
             room, b = rest.pop(at)
         else:
-            room, b = opening(size), len(bins)
+            room, b = opening(i), len(bins)
             bins.append([])
         of.append(b)
         bins[b].append(i)
@@ -56,19 +56,46 @@ def best_fit(sizes: list[int], opening: Callable[[int], int]) -> tuple[list[int]
     return of, bins
 
 
+def expected_fill(sizes: list[int], i: int, capacity: int) -> int:
+    """What a bin of that capacity holds when piece i opens it and the longest pieces behind
+    it that fit go in. sizes: descending."""
+    room, at, n = capacity - sizes[i], i + 1, len(sizes)
+    while room and at < n:
+        at = bisect_left(sizes, -room, at, key=lambda size: -size)  # the first that is no longer than the room
+        if at == n or not sizes[at]:
+            break
+        room -= sizes[at]
+        at += 1
+    return capacity - room
+
+
 def pack(sizes: np.ndarray, lengths: Lengths = Lengths()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bin, capacity of the bin and place in it, of pieces of descending size."""
     permitted = np.array(lengths.sizes)
     cost = np.array([lengths.cost(i) for i in range(len(permitted))])
     cheapest = [int(permitted[i:][np.argmin(cost[i:])]) for i in range(len(permitted))]
-    best = None
+    cost_of = {c: float(cost[i]) for i, c in enumerate(lengths.sizes)}
+    fitting = lambda n: cheapest[bisect_left(lengths.sizes, n)]
     pieces = sizes.tolist()
-    for preferred in range(len(permitted)):
-        capacity = [int(permitted[max(i, preferred)]) for i in range(len(permitted))]
-        of, bins = best_fit(pieces, lambda n: capacity[bisect_left(lengths.sizes, n)])
-        filled = [sum(pieces[i] for i in b) for b in bins]
-        fitted = [cheapest[bisect_left(lengths.sizes, n)] for n in filled]
-        total = sum(cost[bisect_left(lengths.sizes, c)] for c in fitted)
+
+    def least_cost(i: int) -> int:
+        """The size of the least cost a word, as its contents are expected; the smaller of equals."""
+        best = None
+        for capacity in lengths.sizes[bisect_left(lengths.sizes, pieces[i]) :]:
+            fill = expected_fill(pieces, i, capacity)
+            price = cost_of[fitting(fill)] / fill
+            if best is None or price < best[0]:
+                best = price, capacity
+        return best[1]
+
+    def preferring(at: int) -> Callable[[int], int]:
+        return lambda i: lengths.sizes[max(at, bisect_left(lengths.sizes, pieces[i]))]
+
+    best = None
+    for opening in (least_cost, *map(preferring, range(len(permitted)))):
+        of, bins = best_fit(pieces, opening)
+        fitted = [fitting(sum(pieces[i] for i in b)) for b in bins]
+        total = sum(cost_of[c] for c in fitted)
         if best is None or total < best[0]:
             best = total, of, bins, fitted
     _, of, bins, fitted = best

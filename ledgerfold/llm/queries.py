@@ -92,12 +92,6 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.search(codes, F.col("id") % 20 == 0)
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_suffix_tree,
@@ -110,6 +104,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_fuzzy_lines,
         op9_token_index,
         op10_multi_index,
-        pipeline,
     )
     return {f.__name__: f for f in found}

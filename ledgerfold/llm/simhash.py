@@ -24,10 +24,14 @@ from .common import cut, fresh_name
 from .graph import components
 
 SHINGLE, RADIUS = 3, 2
-#: Fingerprints a shard should hold, and what makes one be dealt out in blocks.
-SHARD_ROWS, BLOCK_ROWS = 2000, 20_000
+#: Fingerprints a shard should hold, and what makes one be dealt out in blocks. Shards are
+#: large, as a local tree's cost hardly grows with them, while each level of the router makes
+#: fingerprints visit more shards.
+SHARD_ROWS, BLOCK_ROWS = 1 << 14, 1 << 16
 #: Sampled fingerprints for each shard of the router, and at most.
-SAMPLE_PER_SHARD, SAMPLE_MOST = 16, 1 << 18
+SAMPLE_PER_SHARD, SAMPLE_MOST = 16, 1 << 20
+#: The least part of a node's fingerprints on either side.
+LEAST_PART = 0.02
 #: Shingles hashed at once, and fingerprints a leaf of a local tree compares directly.
 CHUNK, LEAF = 1 << 18, 64
 
@@ -73,30 +77,52 @@ Node = tuple[np.uint64, int, int, int]
 
 def build_router(sample: np.ndarray, shards: int) -> list[Node]:
     """A vantage-point tree whose leaves are the shards 0, 1, ...; node 0 is the root,
-    and no nodes mean a single shard."""
+    and no nodes mean a single shard.
+
+    A radius is put where the fewest fingerprints inside reach beyond it, for each bit that
+    the split tells: in a gap where there is one, else off the middle, where distances
+    crowd. Shards go to the sides in proportion.
+    """
     nodes: list[Node] = []
     made = 0
-
-    def build(points: np.ndarray, shards: int) -> int:
-        nonlocal made
-        if shards > 1 and len(points) > 1:
+    todo = [(np.sort(sample), shards, None)]
+    while todo:
+        points, n, parent = todo.pop()
+        at = None
+        if n > 1 and len(points) > 1:
             vantage = points[len(points) // 2]
-            d = _apart(points, vantage)
-            radius = int(np.partition(d, (len(d) - 1) // 2)[(len(d) - 1) // 2])
-            inner = d <= radius
-            if not inner.all():
+            d = _apart(points, vantage).astype(int)
+            if (radius := _radius(d, n)) is not None:
+                inner = d <= radius
                 at = len(nodes)
                 nodes.append((vantage, radius, 0, 0))
-                ends = build(points[inner], (shards + 1) // 2), build(points[~inner], shards // 2)
-                nodes[at] = (vantage, radius, *ends)
-                return at
-        made += 1
-        return -made
-
-    build(np.sort(sample), shards)
+                mine = min(max(1, round(n * inner.mean())), n - 1)
+                todo += [(points[~inner], n - mine, (at, 3)), (points[inner], mine, (at, 2))]
+        if at is None:
+            made += 1
+            at = -made
+        if parent is not None:
+            node = list(nodes[parent[0]])
+            node[parent[1]] = at
+            nodes[parent[0]] = tuple(node)
     return nodes
 
 
+def _radius(d: np.ndarray, shards: int) -> int | None:
+    """The best radius for these distances; None if they can't be split."""
+    counts = np.bincount(d, minlength=65)
+    inside = np.cumsum(counts)[:64] / len(d)
+    least = max(LEAST_PART, 1 / shards)
+    near = (counts[:64] + np.r_[0, counts[:63]]) / len(d)  # within RADIUS of the boundary, inside
+    for bound in (least, 0.0):
+        fit = np.flatnonzero((inside >= bound) & (inside <= 1 - bound) & (inside > 0) & (inside < 1))
+        if len(fit):
+            p = inside[fit]
+            told = -(p * np.log2(p) + (1 - p) * np.log2(1 - p))
+            return int(fit[np.argmin((near[fit] + 1e-9) / told)])
+    return None
+
+
 def route(nodes: list[Node], fps: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Index of a fingerprint, shard, and whether it lives there (else it visits)."""
     out, todo = [], [(0 if nodes else -1, np.arange(len(fps)), True)]
@@ -181,6 +207,7 @@ def links(fps: DataFrame, reach: int = RADIUS) -> DataFrame:
                 yield pd.DataFrame({"fp": fp[who], "shard": shard, "home": home})
 
     routed = cut(fps.select("fp").mapInPandas(deal, "fp long, shard long, home boolean"), "routed")
+    nodes.destroy()
     # a dense shard is dealt out in blocks of homes by blocks of askers: each pair of blocks is a cell
     counts = routed.groupBy("shard").agg(F.count_if("home").alias("homes"), F.count(F.lit(1)).alias("askers"))
     blocks = counts.select(

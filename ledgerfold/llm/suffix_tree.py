@@ -31,10 +31,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import (
-    ANSWER, ASK, CHUNK, HELD, MORE, SUMS, Table, arrow, batches, by_part, cut_by_kind, dealt, distinct, made, narrow, of_kind, pack, places_of, small_batches,
-    stacked, summed, unpack,
+    ANSWER, ASK, CHUNK, HELD, MORE, SUMS, Table, arrow, batches, by_part, cut_by_kind, dealt, distinct, made, narrow, of_kind, pack, places_of, stacked,
+    summed, unpack,
 )
-from .common import bit_map, cut, drop_cut, in_map, lean, text_of
+from .common import bit_map, cut, drop_cut, in_map, lean, small_batches, text_of
 from .words import slices, words_of
 
 #: Words of the longest context; the least gain in nats for each symbol that a node gives
@@ -42,9 +42,9 @@ from .words import slices, words_of
 DEPTH, LEAST_GAIN, DISCOUNT = 3, 1.0, 0.75
 #: Least occurrences of a context, whatever the size of the corpus; symbols of one need two.
 LEAST_COUNT, LEAST_SYMBOL = 8, 2
-#: Bytes of training text for each part of the windows; windows that a task holds before it
+#: Bytes of training text for each part of the windows; windows that a task adds up before it
 #: passes them on; bytes of text hashed at once, and of a block's texts.
-PART_BYTES, HELD_ROWS, BATCH_BYTES, BLOCK_BYTES = 2 << 20, 400_000, 1 << 20, 2 << 20
+PART_BYTES, HELD_ROWS, BATCH_BYTES, BLOCK_BYTES = 8 << 20, 600_000, 1 << 20, 2 << 20
 #: Texts are scored in so many rounds (fewer if one would have less than some bytes), so that
 #: questions and answers of all texts are never on disk at once.
 ROUNDS, ROUND_BYTES = 4, 4 << 20
@@ -107,7 +107,7 @@ def windows(train: DataFrame, d: int, parts: int, ctx_map=None, suffix_map=None)
 
     def out(rows: list[np.ndarray]) -> Iterator[tuple]:
         for part, at in by_part(rows[0], parts):
-            yield part, HELD, 0, pack(narrow(rows[-1][at]), *(x[at] for x in rows[:-1]))
+            yield part, HELD, 0, pack(rows[0][at], narrow(rows[-1][at]), *(x[at] for x in rows[1:-1]))
 
     def count(found: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         held, size = [], 0
@@ -121,21 +121,22 @@ def windows(train: DataFrame, d: int, parts: int, ctx_map=None, suffix_map=None)
                     if suffix_map is not None:
                         keep &= in_map(suffix_map.value, ends[d - 1][places - 1])
                     rows = [x[keep] for x in rows]
-                held.append(summed([*rows, np.ones(len(rows[0]), np.int64)]))
-                size += len(held[-1][0])
+                held.append(rows)
+                size += len(rows[0])
                 if size > HELD_ROWS:
-                    held = [summed(stacked(held))]
-                    size = len(held[0][0])
-                    if size > HELD_ROWS // 2:
-                        yield from out(held[0])
-                        held, size = [], 0
+                    yield from out(added(held))
+                    held, size = [], 0
         if held:
-            yield from out(summed(stacked(held)))
+            yield from out(added(held))
+
+    def added(held: list[list[np.ndarray]]) -> list[np.ndarray]:
+        rows = stacked(held)
+        return summed([*rows, np.ones(len(rows[0]), np.int64)])
 
     def total(part: int, chunks) -> Iterator[tuple]:
         held, size = [], 0
-        for _, _, (n, *rows), _ in chunks:
-            held.append([*rows, n.astype(np.int64)])
+        for _, _, (key, n, *rows), _ in chunks:
+            held.append([key, *rows, n.astype(np.int64)])
             size += len(n)
             if size > 2 * HELD_ROWS:
                 held = [summed(stacked(held))]
@@ -316,6 +317,7 @@ def grow(train: DataFrame, n_texts: int, n_bytes: int) -> Tree:
         totals = of_kind(levels[-1], HELD).union(marks[d - 1])
         ctx_map = share(keys_from(totals, LEAST_COUNT))
         levels.append(counted(d, ctx_map, suffix_map))
+        ctx_map.destroy()
         nodes.append(diverging(levels[d], d, levels[d - 1], totals, nodes[-1] if nodes else None, total + kinds + 1, parts))
         # a node's suffix is one; shorter windows than the last are also counted to find frequent contexts
         suffix_map = share(keys_from(nodes[-1])) if d == DEPTH - 1 else None
@@ -359,18 +361,19 @@ def blocks(docs: DataFrame) -> DataFrame:
     return cut(docs.select("doc_id", "text").mapInArrow(run, schema), "blocks")
 
 
-def wanted(texts: pa.Array, nodes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """The number of symbols of each text; at which of the symbols' places the context of
-    each length may be a node; and the hashes that matter: of all symbols, then for each
-    length of those contexts and of their windows."""
+def wanted(texts: pa.Array, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """The number of symbols of each text; their places among the symbols and begin marks;
+    at which of the places the context of each length may be a node; and the hashes that
+    matter: of all symbols and begin marks (also the contexts of length 1), of longer
+    contexts, and for each length of the windows."""
     symbols, places, counts = laid_out(texts)
     ends = contexts(symbols, DEPTH + 1)
-    may, keys = [], [symbols[places]]
+    may, keys = [], [symbols]
     for d in range(1, DEPTH + 1):
         ctx = ends[d][places - 1]
         may.append(np.flatnonzero(in_map(nodes, ctx)))
-        keys += [ctx[may[-1]], ends[d + 1][places[may[-1]]]]
-    return counts, may, keys
+        keys += [*([ctx[may[-1]]] if d > 1 else []), ends[d + 1][places[may[-1]]]]
+    return counts, places, may, keys
 
 
 def _scored(docs: DataFrame, tree: Tree, node_map) -> DataFrame:
@@ -409,16 +412,17 @@ def _scored(docs: DataFrame, tree: Tree, node_map) -> DataFrame:
                 counts_of.append(n.astype(np.int64))
                 left_of.append(np.full(len(n), np.nan))
                 left_of[-1][node] = left
-        counts, may, keys = wanted(texts, node_map.value)
+        counts, places, may, keys = wanted(texts, node_map.value)
         n_of, left_of = np.concatenate(counts_of), np.concatenate(left_of)
         found = np.split(places_of(np.concatenate(keys)), np.cumsum([len(x) for x in keys])[:-1])
-        c = n_of[found[0]]
+        c = n_of[found[0][places]]
         base = np.log10(c + 1.0) + missing
         # the longest node first: its window has the probability; without one, its factor
         # goes on to the next shorter node, at last to the root
         logs, opened = base.copy(), np.ones(len(base), bool)
         for d in range(DEPTH, 0, -1):
-            who, ctx, window = may[d - 1], found[2 * d - 1], found[2 * d]
+            who, window = may[d - 1], found[2 * d - 1]
+            ctx = found[2 * d - 2] if d > 1 else found[0][places[who] - 1]
             left = left_of[ctx]
             node = opened[who] & ~np.isnan(left)
             who, ctx, left, n = who[node], ctx[node], left[node], n_of[window[node]]
@@ -461,6 +465,7 @@ def scores(docs: DataFrame, round_bytes: int = ROUND_BYTES) -> DataFrame:
         for i in range(rounds):
             part = _scored(texts.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == i), tree, node_map)
             found = part if found is None else found.union(part)
+        node_map.destroy()
         for table in (*tree.levels, *tree.nodes):
             drop_cut(table)
     return found.select(

@@ -12,6 +12,7 @@ own. Each slot keeps a fingerprint of its key, so that foreign keys are told apa
 from __future__ import annotations
 
 import io
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -34,6 +35,8 @@ GAMMA, LEVELS = 2, 32
 #: Ids of encoded words that a worker keeps, bytes of text encoded together, and documents
 #: a shard should hold.
 CACHE_IDS, BATCH_BYTES, SHARD_DOCS = 20_000_000, 1 << 21, 10_000
+#: Shards at most: the driver and each reading task hold a row for each.
+MOST_SHARDS = 1 << 16
 END_ID = 2
 
 
@@ -239,18 +242,20 @@ def write(
     apart: bool = False,
 ) -> DataFrame:
     """Writes the files of docs into `folder`, which all executors must share, and
-    returns the manifest, a row for each shard: shard, n_docs, n_ids, n_void (documents of
-    null doc_id), first and last (doc_id), start (ids of all shards before).
+    returns the manifest, a row for each shard (at most MOST_SHARDS): shard, file, n_docs,
+    n_ids, n_void (documents of null doc_id), first and last (doc_id), start (ids of all
+    shards before).
 
     docs: doc_id (an integer), text; other columns are ignored. A null text is empty and
     gives the end id alone; documents with equal doc_id stand together, by text; a null
-    doc_id goes first and is found by none. An empty table gives no files. A file is
-    written under a name of its attempt and renamed when complete; the tasks of a rerun
-    write the same bytes, so lost executors and repeated tasks do no harm.
+    doc_id goes first and is found by none. An empty table gives no files. Each attempt of a
+    task writes files of its own name and never renames or replaces one; the manifest,
+    written last, names those of the attempts that count, so lost executors and repeated
+    tasks do no harm on any store.
     """
     dtype = "<u2" if vocabulary <= 1 << 16 else "<u4"
     spark = docs.sparkSession
-    shards = max(1, -(-docs.select("doc_id").count() // SHARD_DOCS))
+    shards = max(1, min(-(-docs.select("doc_id").count() // SHARD_DOCS), MOST_SHARDS))
     ordered = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
         .repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
@@ -259,10 +264,9 @@ def write(
 
     def write_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, keys, void, sizes = _encoder(tokenizer_path, dtype, caseless, apart), [], [], [np.zeros(1, np.int64)]
-        context = TaskContext.get()
-        shard = context.partitionId()
-        attempt = f"{folder}/_{shard}-{context.taskAttemptId()}"
-        fs, own = pa.fs.FileSystem.from_uri(attempt)
+        shard = TaskContext.get().partitionId()
+        name = f"ids-{shard:06d}-{uuid.uuid4().hex[:12]}"
+        fs, own = pa.fs.FileSystem.from_uri(f"{folder}/{name}")
         out = None
         for batch in batches:
             if out is None:
@@ -279,16 +283,14 @@ def write(
         starts = np.cumsum(np.concatenate(sizes))
         with fs.open_output_stream(f"{own}.idx") as index:
             index.write(write_index(np.concatenate(keys), np.concatenate(void), starts, np.dtype(dtype).itemsize))
-        for end in ("bin", "idx"):
-            fs.move(f"{own}.{end}", f"{own.rpartition('/')[0]}/ids-{shard:06d}.{end}")
         known, none = np.concatenate(keys), np.concatenate(void)
         known, n_void = known[~none], int(none.sum())
         first, last = (int(known[0]), int(known[-1])) if len(known) else (1, 0)
-        row = {"shard": shard, "n_docs": len(starts) - 1, "n_ids": int(starts[-1]), "n_void": n_void, "first": first, "last": last}
+        row = {"shard": shard, "file": name, "n_docs": len(starts) - 1, "n_ids": int(starts[-1]), "n_void": n_void, "first": first, "last": last}
         yield pa.RecordBatch.from_pylist([row])
 
     _make_folder(spark, folder)
-    columns = "shard long, n_docs long, n_ids long, n_void long, first long, last long"
+    columns = "shard long, file string, n_docs long, n_ids long, n_void long, first long, last long"
     done = cut(ordered.mapInArrow(write_shard, columns), "token-manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return done.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
@@ -299,50 +301,64 @@ def _make_folder(spark, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
 
 
-def _open(folder: str, shard: int) -> tuple[Index, pa.NativeFile]:
-    fs, at = pa.fs.FileSystem.from_uri(f"{folder}/ids-{shard:06d}")
+def _open(folder: str, file: str) -> tuple[Index, pa.NativeFile]:
+    fs, at = pa.fs.FileSystem.from_uri(f"{folder}/{file}")
     with fs.open_input_stream(f"{at}.idx") as f:
         index = Index(f.read())
     return index, fs.open_input_file(f"{at}.bin")
 
 
-def look_up(folder: str, shard: int, doc_ids: list[int]) -> list[list[np.ndarray]]:
-    """For each key the ids of its documents in a shard, end id included; none if foreign."""
-    index, payload = _open(folder, shard)
+def look_up(folder: str, file: str, doc_ids: list[int]) -> list[list[np.ndarray]]:
+    """For each key the ids of its documents in a shard's file, end id included; none if foreign."""
+    index, payload = _open(folder, file)
     with payload:
         first, count = index.find(np.array(doc_ids, np.int64))
         read = lambda k: np.frombuffer(payload.read_at(int(index.starts[k + 1] - index.starts[k]) * index.width, int(index.starts[k]) * index.width), f"<u{index.width}")
         return [[read(k) for k in range(a, a + n)] for a, n in zip(first, count)]
 
 
+def shards_of(first: np.ndarray, last: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which key (by place) goes to which shard (by place): those whose range has it. Shards
+    are in order of their keys, and only one key's documents lie in several."""
+    lo, hi = np.searchsorted(last, keys, "left"), np.searchsorted(first, keys, "right")
+    n = np.maximum(hi - lo, 0)
+    which = np.repeat(np.arange(len(keys)), n)
+    return which, np.repeat(lo, n) + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+
+
 def read(doc_ids: DataFrame, folder: str, manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of the documents of the given keys, read back
     from the files: each key goes to the shards whose range has it (from the manifest, a
-    row for each shard) and through their index to its ids. A key that is in no index
-    gives no row, one of several documents a row for each, a null key the null ones."""
+    row for each shard, of which there are at most MOST_SHARDS) and through their index to
+    its ids. A key that is in no index gives no row, one of several documents a row for
+    each, a null key the null ones."""
     held = manifest.orderBy("shard").toPandas()
+    some = held[held["first"] <= held["last"]]
+    first, last, places = some["first"].to_numpy(), some["last"].to_numpy(), some.index.to_numpy()
+    voids = held.index[held["n_void"] > 0].to_numpy()
+    files, starts = held["file"].tolist(), held["start"].to_numpy()
 
     def to_shards(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             keys = frame["doc_id"].astype("Int64")
-            known = keys.fillna(0).to_numpy(np.int64)
-            for k, (shard, lo, hi, voids) in enumerate(zip(held["shard"], held["first"], held["last"], held["n_void"])):
-                own = np.where(keys.isna(), voids > 0, (known >= lo) & (known <= hi))
-                if own.any():
-                    yield pd.DataFrame({"doc_id": keys[own], "shard": shard, "at": k})
+            known = keys.dropna().to_numpy(np.int64)
+            which, at = shards_of(first, last, known)
+            yield pd.DataFrame({"doc_id": pd.array(known[which], "Int64"), "at": places[at]})
+            if len(known) < len(keys):
+                yield pd.DataFrame({"doc_id": pd.array([pd.NA] * len(voids), "Int64"), "at": voids})
 
     def read_shard(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for k, asked in frame.groupby("at"):
-                index, payload = _open(folder, int(held["shard"][k]))
+                index, payload = _open(folder, files[k])
                 with payload:
-                    yield _records(index, payload, asked["doc_id"].astype("Int64"), int(held["start"][k]))
+                    yield _records(index, payload, asked["doc_id"].astype("Int64"), int(starts[k]))
 
     keys = doc_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    routed = keys.mapInPandas(to_shards, "doc_id long, shard long, at long")
+    routed = keys.mapInPandas(to_shards, "doc_id long, at long")
     return (
-        routed.repartition(max(1, len(held)), "shard")
-        .sortWithinPartitions("shard", "doc_id")
+        routed.repartition(max(1, len(held)), "at")
+        .sortWithinPartitions("at", "doc_id")
         .mapInPandas(read_shard, "doc_id long, start long, n_tokens long, ids_crc32 long")
     )
 
