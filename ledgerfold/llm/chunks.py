@@ -94,12 +94,24 @@ def places_of(keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of the keys, them in that order, and where in it each distinct one begins."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    return order, ranked, np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]]) if len(keys) else np.zeros(0, int)
+
+
+def tallied(rows: list[np.ndarray]) -> list[np.ndarray]:
+    """Rows by their keys, the first array, and how often each comes; other arrays are equal
+    where the keys are."""
+    order, ranked, at = _grouped(rows[0])
+    return [ranked[at], *(x[order[at]] for x in rows[1:]), np.diff(np.r_[at, len(order)])]
+
+
 def summed(rows: list[np.ndarray]) -> list[np.ndarray]:
     """Rows by their keys, the first array; the last is added up, the others are equal."""
-    order = np.argsort(rows[0])
-    rows = [x[order] for x in rows]
-    at = np.flatnonzero(np.r_[True, rows[0][1:] != rows[0][:-1]]) if len(order) else np.zeros(0, int)
-    return [*(x[at] for x in rows[:-1]), np.add.reduceat(rows[-1], at) if len(at) else rows[-1]]
+    order, ranked, at = _grouped(rows[0])
+    return [ranked[at], *(x[order[at]] for x in rows[1:-1]), np.add.reduceat(rows[-1][order], at) if len(at) else rows[-1]]
 
 
 def stacked(pieces: list[list[np.ndarray]]) -> list[np.ndarray]:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .chunks import (
     ANSWER, ASK, CHUNK, HELD, MORE, SUMS, Table, arrow, batches, by_part, cut_by_kind, dealt, distinct, made, narrow, of_kind, pack, places_of, stacked,
-    summed, unpack,
+    summed, tallied, unpack,
 )
 from .common import bit_map, cut, drop_cut, in_map, lean, small_batches, text_of
 from .words import slices, words_of
@@ -124,14 +124,10 @@ def windows(train: DataFrame, d: int, parts: int, ctx_map=None, suffix_map=None)
                 held.append(rows)
                 size += len(rows[0])
                 if size > HELD_ROWS:
-                    yield from out(added(held))
+                    yield from out(tallied(stacked(held)))
                     held, size = [], 0
         if held:
-            yield from out(added(held))
-
-    def added(held: list[list[np.ndarray]]) -> list[np.ndarray]:
-        rows = stacked(held)
-        return summed([*rows, np.ones(len(rows[0]), np.int64)])
+            yield from out(tallied(stacked(held)))
 
     def total(part: int, chunks) -> Iterator[tuple]:
         held, size = [], 0
@@ -456,11 +452,13 @@ def scores(docs: DataFrame, round_bytes: int = ROUND_BYTES) -> DataFrame:
     spark: SparkSession = docs.sparkSession
     with small_batches(spark), lean(spark):
         texts = docs.select("doc_id", text_of().alias("text"))
-        train = texts.filter(~held_out())
-        size = lambda of: of.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-        tree = grow(train.select("text"), *size(train))
+        train, learned = texts.filter(~held_out()), ~held_out()
+        size = F.octet_length("text").cast("long")
+        sums = [F.count_if(learned), F.sum(F.when(learned, size)), F.sum(size)]
+        n_texts, n_bytes, all_bytes = texts.agg(*(F.coalesce(c, F.lit(0)) for c in sums)).first()
+        tree = grow(train.select("text"), n_texts, n_bytes)
         node_map = spark.sparkContext.broadcast(bit_map(keys_from(tree.factors())))
-        rounds = max(1, min(ROUNDS, -(-size(texts)[1] // round_bytes)))
+        rounds = max(1, min(ROUNDS, -(-all_bytes // round_bytes)))
         found = None
         for i in range(rounds):
             part = _scored(texts.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == i), tree, node_map)

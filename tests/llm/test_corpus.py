@@ -642,6 +642,24 @@ def test_short_lines_are_compared(spark):
     assert {r["doc_id"]: r["text"] for r in lines.cleaned(df).collect()} == {0: rows[0][1], 1: f"\n{chinese}"}
 
 
+@pytest.mark.parametrize("words", [(5, 10), (20, 40)])
+def test_bands_find_similar_lines(words):
+    """Recall of the code's own bands, at the least similarity, where it is lowest."""
+    rng, found, n = np.random.default_rng(words[0]), 0, 0
+    vocabulary = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 9))) for _ in range(3000)]
+    while n < 400:
+        line = list(rng.choice(vocabulary, rng.integers(*words)))
+        other = list(line)
+        for _ in range(rng.integers(1, 3)):
+            at = rng.integers(len(other))
+            other[at] = other[at][:-1] if rng.random() < 0.5 else str(rng.choice(vocabulary))
+        a, b = " ".join(line), " ".join(other)
+        if 0.8 <= lines.jaccard(*lines._sets_of([a, b], lines.SHINGLE)) < 0.84:
+            both = lines.bands(lines.signatures([a, b]))
+            n, found = n + 1, found + bool((both[0] == both[1]).any())
+    assert found / n > 0.97
+
+
 # ---- 9: token files ------------------------------------------------------------------
 
 
