@@ -6,6 +6,7 @@ import json
 import random
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -148,9 +149,9 @@ def corpus(spark: SparkSession, seed: int, n: int, shards: int = 4, knobs: Knobs
 
         for frame in frames:
             for shard in frame["shard"]:
-                source = stream(seed * 1000 + int(shard), knobs)
-                rows = [next(source) for _ in range(n)]
-                yield pd.DataFrame({"shard": shard, "seqno": [m.seqno for m in rows], "record": [json.dumps(asdict(m)) for m in rows]})
+                source = islice(stream(seed * 1000 + int(shard), knobs), n)
+                while rows := list(islice(source, 5000)):
+                    yield pd.DataFrame({"shard": shard, "seqno": [m.seqno for m in rows], "record": [json.dumps(asdict(m)) for m in rows]})
 
     return spark.range(1, shards + 1, 1, shards).toDF("shard").mapInPandas(make, "shard long, seqno long, record string")
 

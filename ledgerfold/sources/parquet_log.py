@@ -184,6 +184,17 @@ class ParquetLog:
                 break
         self._of(shard).forget(at + 1)
 
+    def pressure(self, drain_below: int, stop_below: int) -> int:
+        """How urgently the store wants space back, by the bytes that it has left: 0 not at
+        all, 1 drain and trim now, 2 also refuse writes. What was acknowledged stays so."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        left = at.getFileSystem(self.spark._jsc.hadoopConfiguration()).getStatus().getRemaining()
+        return 2 if left < stop_below else 1 if left < drain_below else 0
+
+    def close(self) -> None:
+        """Lets go of what this writer remembers; entries and owners stay."""
+        self._records.clear()
+
     # ---- reading ---------------------------------------------------------------------
 
     def _files(self, shard: int) -> tuple[list[dict], int]:

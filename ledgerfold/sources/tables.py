@@ -22,10 +22,11 @@ class OwnershipLost(Exception):
 
 
 class Tables:
-    """buckets: into how many a bucketed table is dealt; a commit rewrites those it touches."""
+    """buckets: into how many a bucketed table is dealt; a commit rewrites those it touches.
+    history: whether the tables take event batches, too."""
 
-    def __init__(self, spark: SparkSession, folder: str, buckets: int = 16):
-        self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 16, history: bool = True):
+        self.spark, self.folder, self.buckets, self.history = spark, folder.rstrip("/"), buckets, history
         self._records = Records(spark, f"{self.folder}/manifests")
 
     def manifest(self) -> dict:

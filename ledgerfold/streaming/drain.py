@@ -79,6 +79,8 @@ def apply(tables: Tables, epoch: int, batch: DataFrame, batch_id: int, shards: l
         new_tasks = queues.swept(fresh).select(*row)
         swept = queues.without(old("tasks", "shard", new_tasks), ranges(fresh), ["shard"])
         nodes = history.batches(fresh).select(*history.NODE, "events")
+        if not tables.history and not nodes.isEmpty():
+            raise RefusedBatch("the tables take no event batches")
         made = {
             "runs": ("workflow", old("runs", "workflow", new_runs).join(runs.select(*KEY), KEY, "left_anti").unionByName(new_runs)),
             "items": (
@@ -99,6 +101,14 @@ def apply(tables: Tables, epoch: int, batch: DataFrame, batch_id: int, shards: l
         fresh.unpersist()
 
 
+def read_drained(tables: Tables, epoch: int, pending: DataFrame, batch_id: int, name: str) -> DataFrame | None:
+    """A table after what is pending of the log was drained: a reader that waits for the
+    drain, and needs no merge."""
+    if not pending.isEmpty():
+        apply(tables, epoch, pending, batch_id)
+    return tables.read(name)
+
+
 def drain(spark: SparkSession, source: str, schema, tables: Tables, epoch: int, checkpoint: str, files: int = 1) -> None:
     """Drains what a folder of Parquet files of entries holds, `files` of them a window."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)

@@ -129,6 +129,25 @@ def test_a_corpus_on_spark(spark):
         assert sorted(own.drop(columns="shard").itertuples(index=False, name=None)) == sorted(here)
 
 
+def test_a_corpus_of_a_hundred_thousand_collapses():
+    """The acceptance run: windows of 1024, 32 hot workflows, seed 20260730."""
+    ins = outs = tombstones = refusals = n = 0
+    for _, cause, w in folded(islice(stream(20260730), 100_000), 1024):
+        rows = w.drain()
+        ins, outs, n = ins + w.mutations, outs + len(w.requests), n + 1
+        tombstones += sum(r[4] == "tombstone" for r in rows)
+        refusals += cause == "refusal"
+    assert ins == 100_000 and ins / outs > 1.5 and tombstones and refusals
+
+
+def test_windows_save_transactions():
+    """6,000 mutations, 32 hot workflows: a window of 256 against one of 1."""
+    arms = {size: list(folded(islice(stream(20260916), 6000), size)) for size in (1, 256)}
+    assert len(arms[1]) == 6000 and len(arms[1]) > 4 * len(arms[256])
+    final = [rows_after(w.drain() for _, _, w in arm) for arm in arms.values()]
+    assert final[0] == final[1]
+
+
 def test_control_without_reuse():
     """Workflows that are never met again leave nothing to fold."""
     mutations = list(islice(stream(3, Knobs(workflows=10**6, reuse=0, add_tasks=0, range_complete=0)), 300))

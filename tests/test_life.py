@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerfold.operators import history, life, queues
+from ledgerfold.operators import history, life, overlay, queues
 from ledgerfold.sources import calls, views
 from ledgerfold.sources.tables import Tables
 from ledgerfold.streaming import drain
@@ -124,6 +124,25 @@ def test_the_sink_refuses_before_it_writes(spark, log, tmp_path):
     assert tables.manifest()["tables"] == {}
 
 
+def test_tables_that_take_no_history_refuse_it(spark, log, tmp_path):
+    tables = Tables(spark, f"file://{tmp_path}/t", buckets=2, history=False)
+    tables.fence(1)
+    with pytest.raises(drain.RefusedBatch, match="no event batches"):
+        drain.apply(tables, 1, log, 0)
+    assert drain.apply(tables, 1, log.filter("kind = 'delete'"), 0) and tables.manifest()["applied"]
+
+
+def test_a_read_that_drains_first_sees_what_a_merged_read_sees(spark, log, tmp_path):
+    tables = Tables(spark, f"file://{tmp_path}/t", buckets=2)
+    tables.fence(1)
+    some = log.filter("shard = 1 AND seqno <= 60")
+    drain.apply(tables, 1, some.filter("seqno <= 40"), 0)
+    found = drain.read_drained(tables, 1, some.filter("seqno > 40"), 1, "items")
+    want = overlay.final_items(overlay.whole(some))
+    assert sorted(map(tuple, found.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+    assert drain.read_drained(tables, 1, some.limit(0), 2, "items").count() == found.count()
+
+
 def test_a_batch_that_comes_again_changes_nothing(spark, log, tmp_path):
     tables = Tables(spark, f"file://{tmp_path}/t", buckets=2)
     tables.fence(1)

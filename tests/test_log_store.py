@@ -251,6 +251,13 @@ def test_acknowledged_appends_are_read_back(spark):
     assert acknowledged(held, acked).collect()[0][1:] == (1, 1, 1, 0)
 
 
+def test_pressure_and_close(log):
+    filled(log)
+    assert (log.pressure(0, 0), log.pressure(1 << 62, 0), log.pressure(1 << 62, 1 << 62)) == (0, 1, 2)
+    log.close()
+    assert log.next_seqno(1) == 4 and log.owner(1) == 1
+
+
 # ---- tables ------------------------------------------------------------------------------
 
 
