@@ -13,6 +13,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .records import Records
 
@@ -31,7 +32,7 @@ class Tables:
 
     def manifest(self) -> dict:
         at = self._records.last()
-        return self._records.read(at) if at else {"version": 0, "epochs": {}, "applied": {}, "tables": {}}
+        return self._records.read(at) if at else {"version": 0, "epochs": {}, "applied": {}, "tables": {}, "schemas": {}}
 
     def owner(self, shard: int | None = None, held: dict | None = None) -> int:
         """The epoch that owns a shard: its own, or that of all shards if higher."""
@@ -60,9 +61,14 @@ class Tables:
 
     def read(self, name: str, buckets: list[int] | None = None, held: dict | None = None) -> DataFrame | None:
         """A table without its bucket column, or some of its buckets; None if there is none."""
-        at = (held or self.manifest())["tables"].get(name, {})
-        paths = [path for b, path in at.items() if buckets is None or b == "all" or int(b) in buckets]
-        return self.spark.read.parquet(*(f"{self.folder}/{p}" for p in paths)) if paths else None
+        held = held or self.manifest()
+        if name not in held["tables"]:
+            return None
+        schema = StructType.fromJson(held["schemas"][name])
+        paths = [path for b, path in held["tables"][name].items() if buckets is None or b == "all" or int(b) in buckets]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*(f"{self.folder}/{p}" for p in paths))
 
     def commit(self, epoch: int, tables: dict, applied: dict[str, int], batch: int, held: dict | None = None) -> bool:
         """Writes tables and moves positions. A table is a DataFrame, which replaces all of
@@ -75,10 +81,11 @@ class Tables:
                 raise OwnershipLost(f"fenced at epoch {self.owner(shard, held)}, cannot commit at {epoch}")
         if held.get("batch", -1) >= batch:
             return False
-        version, names = f"v={held['version'] + 1}-{uuid.uuid4().hex[:8]}", dict(held["tables"])
+        version, names, schemas = f"v={held['version'] + 1}-{uuid.uuid4().hex[:8]}", dict(held["tables"]), dict(held["schemas"])
         fs = self._records._fs
         for name, made in tables.items():
             folder = f"{name}/{version}"
+            schemas[name] = (made if isinstance(made, DataFrame) else made[0].drop("bucket")).schema.jsonValue()
             if isinstance(made, DataFrame):
                 made.write.parquet(f"{self.folder}/{folder}")
                 names[name] = {"all": folder}
@@ -88,6 +95,6 @@ class Tables:
             kept = {b: path for b, path in names.get(name, {}).items() if b != "all" and int(b) not in touched}
             there = [b for b in touched if fs.exists(self._records._path(f"{self.folder}/{folder}/bucket={b}"))]
             names[name] = kept | {str(b): f"{folder}/bucket={b}" for b in there}
-        if not self._publish(held, batch=batch, applied=held["applied"] | applied, tables=names):
+        if not self._publish(held, batch=batch, applied=held["applied"] | applied, tables=names, schemas=schemas):
             raise OwnershipLost("the manifest moved during the commit")
         return True
