@@ -90,12 +90,14 @@ def backward(p: Params, inputs: np.ndarray, at: np.ndarray, mask: np.ndarray, ke
 
 
 class Adam:
-    def __init__(self, rate: float, decay: float = 1e-4):
-        self.rate, self.decay, self.n, self.m, self.s = rate, decay, 0, {}, {}
+    """decay: of parameters by name; others decay by 1e-4."""
+
+    def __init__(self, rate: float, decay: dict[str, float] | None = None):
+        self.rate, self.decay, self.n, self.m, self.s = rate, decay or {}, 0, {}, {}
 
     def step(self, p: Params, grad: Params) -> None:
         self.n += 1
         for k, g in grad.items():
             m = self.m[k] = 0.9 * self.m.get(k, 0) + 0.1 * g
             s = self.s[k] = 0.999 * self.s.get(k, 0) + 0.001 * g**2
-            p[k] -= self.rate * (m / (1 - 0.9**self.n) / (np.sqrt(s / (1 - 0.999**self.n)) + 1e-8) + self.decay * p[k])
+            p[k] -= self.rate * (m / (1 - 0.9**self.n) / (np.sqrt(s / (1 - 0.999**self.n)) + 1e-8) + self.decay.get(k, 1e-4) * p[k])

@@ -26,8 +26,9 @@ from .graph import components
 SHINGLE, RADIUS = 3, 2
 #: Fingerprints a shard should hold, and what makes one be dealt out in blocks. Shards are
 #: large, as a local tree's cost hardly grows with them, while each level of the router makes
-#: fingerprints visit more shards.
-SHARD_ROWS, BLOCK_ROWS = 1 << 14, 1 << 16
+#: fingerprints visit more shards; but tables that have too few of them for all cores, at
+#: CORE_SHARDS each, get more, down to LEAST_ROWS.
+SHARD_ROWS, BLOCK_ROWS, LEAST_ROWS, CORE_SHARDS = 1 << 14, 1 << 16, 2000, 4
 #: Sampled fingerprints for each shard of the router, and at most.
 SAMPLE_PER_SHARD, SAMPLE_MOST = 16, 1 << 20
 #: The least part of a node's fingerprints on either side.
@@ -195,7 +196,8 @@ def links(fps: DataFrame, reach: int = RADIUS) -> DataFrame:
     of all pairs at most `reach` bits apart."""
     spark = fps.sparkSession
     n = fps.count()
-    shards = max(1, min(-(-n // SHARD_ROWS), SAMPLE_MOST // SAMPLE_PER_SHARD))
+    busy = min(-(-n // LEAST_ROWS), CORE_SHARDS * spark.sparkContext.defaultParallelism)
+    shards = max(1, min(max(-(-n // SHARD_ROWS), busy), SAMPLE_MOST // SAMPLE_PER_SHARD))
     sample = fps.orderBy(F.xxhash64("fp"), "fp").limit(min(n, shards * SAMPLE_PER_SHARD)).toPandas()
     nodes = spark.sparkContext.broadcast(build_router(sample["fp"].to_numpy(np.int64).view(np.uint64), shards))
 

@@ -37,6 +37,8 @@ GRAMS = (4, 5)
 FOLDS, STEPS, BATCH, SEED = 3, 300, 128, 3
 #: Part of the words whose learned vectors a training step leaves out.
 DROPPED = 0.5
+#: Weight decay: few labels must not teach the network their texts by heart.
+DECAY = {"W": 3.0, "U": 12.0, "word_vectors": 3.0, "gram_vectors": 3.0}
 #: Windows that pass the network together, and bytes of text prepared at once.
 AT_ONCE, BATCH_BYTES = 2048, 1 << 21
 THRESHOLD = 0.3
@@ -242,7 +244,7 @@ def train(texts: list[str], label: np.ndarray, share_toxic: float) -> dict:
     likely = order[(nth < 1) | ((nth < 3) & (label[of[order]] == 0))]  # clean texts: their most suspicious windows, too
     spare = order[(nth >= 3) & (label[of[order]] == 0)]
     chosen = np.concatenate([likely, rng.permutation(spare)[: len(likely) // 2]])
-    adam, target = gru.Adam(0.01), label[of[chosen]]
+    adam, target = gru.Adam(0.01, DECAY), label[of[chosen]]
     net_names = list(model["net"])
     groups = [[np.flatnonzero((fold[of[chosen]] == f) & (target == k)) for k in (0, 1)] for f in range(FOLDS)]
     groups = [g for g in groups if len(g[0]) and len(g[1])]

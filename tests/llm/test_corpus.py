@@ -315,6 +315,41 @@ def test_toxicity_on_held_out_rows(spark):
     assert caught.sum() > 0.7 * (found.toxic == 1).sum() and wrong.sum() < 0.03 * (found.toxic == 0).sum()
 
 
+def test_the_network_adds_to_its_log_odds():
+    """Held-out texts are told apart better by the network than by any one of the label
+    statistics among its inputs, whether a window's highest or its mean."""
+    import pyarrow.parquet as pq
+
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (pq.read_table(f"{sf}/{t}.parquet", columns=["doc_id", c]).to_pandas() for t, c in (("documents", "text"), ("labels", "toxic")))
+    rows = docs.merge(labels, on="doc_id")
+    held = np.array([zlib.crc32(str(i).encode()) % 4 == 2 for i in rows.doc_id])
+    learn, test = rows[~held], rows[held]
+    clean = learn[learn.toxic == 0].sample(1000, random_state=1).index
+    sample = learn[(learn.toxic == 1) | learn.index.isin(clean)]
+    model = toxicity.train(sample.text.tolist(), sample.toxic.to_numpy().astype(float), learn.toxic.mean())
+    texts, toxic = pa.array(test.text.tolist(), pa.large_string()), test.toxic.to_numpy() == 1
+
+    def area(x):
+        ranks = np.argsort(np.argsort(x))
+        return (ranks[toxic].sum() - toxic.sum() * (toxic.sum() - 1) / 2) / (toxic.sum() * (~toxic).sum())
+
+    scores = toxicity.text_scores(model, texts)
+    tokens, lexicon = toxicity.Tokens(texts), toxicity.Lexicon.__new__(toxicity.Lexicon)
+    lexicon.words, lexicon.grams = model["lexicon"]
+    inputs, (start, size, of) = toxicity.inputs_of(model, lexicon.of(tokens)), toxicity.windows_of(tokens.counts)
+    best = 0.0
+    for column in range(-4, 0):
+        for pool in (np.max, np.mean):
+            pooled = np.full(len(texts), -9.0)
+            for s, n, o in zip(start, size, of):
+                if n:
+                    pooled[o] = max(pooled[o], pool(inputs[tokens.words[s : s + n], column]))
+            best = max(best, area(pooled))
+    assert area(scores) > best + 0.005
+    assert (scores[toxic] >= toxicity.THRESHOLD).mean() > 0.9 and (scores[~toxic] >= toxicity.THRESHOLD).mean() < 0.03
+
+
 def test_training_bytes_are_filled_in_seeded_order():
     """Long texts are learned from as short ones are."""
     size, label, turn = np.array([9, 1, 9, 1, 9, 1, 90, 2]), np.array([1, 1, 1, 1, 0, 0, 0, 0]), np.array([0, 3, 1, 2, 0, 1, 2, 3])
@@ -487,6 +522,7 @@ def test_fingerprints(table):
 
 @pytest.mark.parametrize("n", [1, 40, 3000])
 def test_links_are_exact(spark, n, monkeypatch):
+    monkeypatch.setattr(simhash, "LEAST_ROWS", 300)
     monkeypatch.setattr(simhash, "SHARD_ROWS", 300)
     monkeypatch.setattr(simhash, "BLOCK_ROWS", 500)
     rng = np.random.default_rng(n)
