@@ -5,6 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Bytes, by the optimizer's estimate, of tables that need no buckets.
+SMALL = 64 << 20
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether the optimizer knows that a table, or what it is made of, is small."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL
+
 
 def before(
     df: DataFrame,
@@ -20,22 +28,25 @@ def before(
     `bucket` must not decrease along `order`. Rows meet only within a bucket of their group;
     the totals of whole buckets, a row for each, are added up in a window of their own and
     joined. So the largest task is that of a bucket, or of a group's buckets, and never that
-    of a group's rows. A null in a group column is a group.
+    of a group's rows; a small table takes one window. A null in a group column is a group.
     """
     sums, maxima = sums or {}, maxima or {}
-    rows = df.withColumn("_bucket", bucket)
     inputs = {f"_in_{name}": value for name, value in (sums | maxima).items()}
-    rows = rows.withColumns(inputs)
+
+    def over(window) -> dict[str, Column]:
+        out = {name: F.coalesce(F.sum(f"_in_{name}").over(window), F.lit(0)) for name in sums}
+        return out | {name: F.max(f"_in_{name}").over(window) for name in maxima}
+
+    if is_small(df):
+        whole = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumns(inputs).withColumns(over(whole)).drop(*inputs)
+    rows = df.withColumn("_bucket", bucket).withColumns(inputs)
     totals = rows.groupBy(*group, "_bucket").agg(
         *(F.sum(f"_in_{name}").alias(f"_in_{name}") for name in sums), *(F.max(f"_in_{name}").alias(f"_in_{name}") for name in maxima)
     )
     ahead = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     within = Window.partitionBy(*group, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
 
-    def over(window) -> dict[str, Column]:
-        out = {name: F.coalesce(F.sum(f"_in_{name}").over(window), F.lit(0)) for name in sums}
-        return out | {name: F.max(f"_in_{name}").over(window) for name in maxima}
-
     base = totals.select(
         *(F.col(g).alias(f"_of_{g}") for g in group), F.col("_bucket").alias("_of_bucket"), *(c.alias(f"_base_{name}") for name, c in over(ahead).items())
     )

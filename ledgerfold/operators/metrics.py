@@ -34,6 +34,7 @@ def series(entries: DataFrame) -> DataFrame:
     drains = stats.groupBy("shard", "trigger").agg(n.alias("n"))
     drained = stats.groupBy("shard").agg(F.sum("mutations").alias("m"), F.sum("workflows").alias("w"), F.floor(n / 16).alias("trims"))
     sweeps = queues.sweep_counts(entries).groupBy("shard", "category").agg(F.sum("written").alias("w"), F.sum("dropped").alias("d"))
+    merged = queues.merged(entries).groupBy("shard", "category").agg(n.alias("keys"), F.count_if(c("copies") > 1).alias("collisions"))
     replay = life.replay_report(entries)
     parts = [
         of(writes, intercepted_writes=(c("kind"), c("n"))),
@@ -50,11 +51,7 @@ def series(entries: DataFrame) -> DataFrame:
             unapplied_entries=(none, c("last") - c("applied")),
             backpressure_refusals=(F.lit("entries"), F.greatest(c("entries") - 8192, F.lit(0))),
         ),
-        of(
-            queues.collisions(entries),
-            merged_task_collisions=(category, c("collisions")),
-            merged_task_pages=(category, F.ceil(c("keys") / 50)),
-        ),
+        of(merged, merged_task_collisions=(category, c("collisions")), merged_task_pages=(category, F.ceil(c("keys") / 50))),
         of(life.halts(entries).filter("state <> 'running'"), halts=(c("state"), F.lit(1))),
         of(replay, replayed_entries=(none, c("folded") + c("alone") + c("dropped")), replay_dropped_entries=(none, c("dropped"))),
     ]

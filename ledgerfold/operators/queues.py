@@ -27,15 +27,25 @@ def _unit(category: Column, at: Column) -> Column:
     return F.when(category == 1, F.shiftright(at, ID_BITS)).otherwise(F.shiftright(at, TIME_BITS))
 
 
-def spread(ranges: DataFrame) -> DataFrame:
+def levels_of(ranges: DataFrame) -> int:
+    """How many levels of buckets the widest range takes, LEVELS at most."""
+    c = F.col
+    width = _unit(c("category"), c("hi") - 1) - _unit(c("category"), c("lo")) + 1
+    widest = ranges.filter("hi > lo").agg(F.max(width)).first()[0] or 1
+    return min(LEVELS, 1 + (widest.bit_length() - 1) // STEP_BITS)
+
+
+def spread(ranges: DataFrame, levels: int = LEVELS) -> DataFrame:
     """Ranges, once for each bucket that they reach into, of levels as high as they are
     wide: a range has a few buckets a level, however wide it is. Empty ranges have none."""
     df = ranges.filter("hi > lo").withColumns({"_a": _unit(F.col("category"), F.col("lo")), "_b": _unit(F.col("category"), F.col("hi") - 1) + 1})
+    if levels == 1:
+        return df.select(*ranges.columns, F.lit(0).alias("level"), F.explode(F.sequence("_a", F.col("_b") - 1)).alias("bucket"))
     names = []
-    for level in range(LEVELS):
+    for level in range(levels):
         a, b = F.col("_a"), F.col("_b")
         up, down = F.shiftright(a + (1 << STEP_BITS) - 1, STEP_BITS), F.shiftright(b, STEP_BITS)
-        higher = (up < down) if level < LEVELS - 1 else F.lit(False)
+        higher = (up < down) if level < levels - 1 else F.lit(False)
         none = F.array().cast("array<long>")
         several = lambda x, y: F.when(x < y, F.sequence(x, y - 1)).otherwise(none)  # noqa: E731, B023
         low = several(a, F.when(higher, F.shiftleft(up, STEP_BITS)).otherwise(b))
@@ -48,13 +58,14 @@ def spread(ranges: DataFrame) -> DataFrame:
     return df.withColumn("_at", F.explode(F.concat(*names))).select(*ranges.columns, "_at.level", "_at.bucket")
 
 
-def without(tasks: DataFrame, ranges: DataFrame, own: list[str], after: str | None = None) -> DataFrame:
+def without(tasks: DataFrame, ranges: DataFrame, own: list[str], after: str | None = None, levels: int | None = None) -> DataFrame:
     """The tasks that no range of their category covers; own: columns in which a range is
     like its tasks; after: a column in which it is higher. An anti join for each level that
-    ranges have, with equal buckets, so that a task meets only the ranges around it."""
-    pieces = spread(ranges)
-    levels = sorted(r["level"] for r in pieces.select("level").distinct().collect())  # LEVELS at most
-    for level in levels:
+    ranges may have (see levels_of), with equal buckets, so that a task meets only the ranges
+    around it."""
+    levels = levels or levels_of(ranges)
+    pieces = spread(ranges, levels)
+    for level in range(levels):
         t, r = tasks.alias("t"), pieces.filter(F.col("level") == level).alias("r")
         bucket = F.shiftright(_unit(F.col("t.category"), F.col("t.at")), STEP_BITS * level)
         hit = (bucket == F.col("r.bucket")) & (F.col("t.at") >= F.col("r.lo")) & (F.col("t.at") < F.col("r.hi"))
@@ -90,20 +101,20 @@ def islands(entries: DataFrame) -> DataFrame:
     return numbered.groupBy(*group, "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count(F.lit(1)).alias("ranges"))
 
 
-def base_tasks(entries: DataFrame) -> DataFrame:
+def base_tasks(entries: DataFrame, levels: int | None = None) -> DataFrame:
     """Tasks at rest at the applied position: written up to it, and deleted by no range
     after them up to it."""
     at = F.broadcast(cuts(entries).select("shard", "applied"))
     done = lambda df: df.join(at, "shard").filter("seqno <= applied").drop("applied")
-    return without(done(tasks(entries)), done(ranges(entries)), ["shard"], "seqno")
+    return without(done(tasks(entries)), done(ranges(entries)), ["shard"], "seqno", levels)
 
 
-def tail_tasks(entries: DataFrame, overlap: int = 0) -> DataFrame:
+def tail_tasks(entries: DataFrame, overlap: int = 0, levels: int | None = None) -> DataFrame:
     """Tasks of the tail, in order of which ranges sweep them; with `overlap`, as many
     entries below the applied position are held by both sides."""
     at = F.broadcast(cuts(entries).select("shard", "applied"))
     held = tasks(entries).join(at, "shard").filter(F.col("seqno") > F.col("applied") - overlap).drop("applied")
-    return without(held, tail_ranges(entries), ["shard"], "seqno")
+    return without(held, tail_ranges(entries), ["shard"], "seqno", levels)
 
 
 def tail_ranges(entries: DataFrame) -> DataFrame:
@@ -112,7 +123,8 @@ def tail_ranges(entries: DataFrame) -> DataFrame:
 
 def hidden(entries: DataFrame) -> DataFrame:
     """How many tasks at rest each category shows and undrained ranges hide."""
-    base, kept = base_tasks(entries), visible_base(entries)
+    levels = levels_of(ranges(entries))
+    base, kept = base_tasks(entries, levels), visible_base(entries, levels)
     keys = ["shard", "category"]
     every = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("at_rest"))
     seen = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("shown"))
@@ -120,8 +132,8 @@ def hidden(entries: DataFrame) -> DataFrame:
     return every.join(seen, keys, "left").select(*keys, "at_rest", shown.alias("shown"), (F.col("at_rest") - shown).alias("hidden"))
 
 
-def visible_base(entries: DataFrame) -> DataFrame:
-    return without(base_tasks(entries), tail_ranges(entries), ["shard"])
+def visible_base(entries: DataFrame, levels: int | None = None) -> DataFrame:
+    return without(base_tasks(entries, levels), tail_ranges(entries), ["shard"], None, levels)
 
 
 #: Entries below the applied position that the window still holds.
@@ -131,10 +143,11 @@ OVERLAP = 10
 def merged(entries: DataFrame, overlap: int = OVERLAP) -> DataFrame:
     """Tasks of both sides, each key once: what is at rest wins, ties are counted."""
     key = ["shard", "category", "fire_time", "at", "task_id"]
+    levels = levels_of(ranges(entries))
     both = (
-        visible_base(entries)
+        visible_base(entries, levels)
         .select(*key, "workflow", "slot", long(0).alias("side"))
-        .unionByName(tail_tasks(entries, overlap).select(*key, "workflow", "slot", long(1).alias("side")))
+        .unionByName(tail_tasks(entries, overlap, levels).select(*key, "workflow", "slot", long(1).alias("side")))
     )
     of_key = Window.partitionBy(*key)
     return (
@@ -237,8 +250,9 @@ def collisions(entries: DataFrame) -> DataFrame:
         F.count_if(F.col("side") == 0).alias("from_base"),
         F.count_if(F.col("side") == 1).alias("from_window"),
     )
-    base = base_tasks(entries).groupBy(*keys).agg(n.alias("base_rows"))
-    window = tail_tasks(entries, OVERLAP).groupBy(*keys).agg(n.alias("window_touched"))
+    levels = levels_of(ranges(entries))
+    base = base_tasks(entries, levels).groupBy(*keys).agg(n.alias("base_rows"))
+    window = tail_tasks(entries, OVERLAP, levels).groupBy(*keys).agg(n.alias("window_touched"))
     none = lambda c: F.coalesce(c, long(0)).alias(c)
     columns = ("base_rows", "window_touched", "keys", "collisions", "from_base", "from_window")
     joined = base.join(window, keys, "full_outer").join(met, keys, "full_outer").select(*keys, *map(none, columns))

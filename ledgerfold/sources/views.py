@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.running import before
+from ..functions.running import before, is_small
 from .shared import written
 
 #: Mutations of a window, entries of an epoch, shards of the view.
@@ -95,8 +95,11 @@ def log(events: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
 
-def at_rest(entries: DataFrame) -> DataFrame:
-    """The same log, written once and read again: for what reads it several times."""
+def at_rest(entries: DataFrame, often: bool = True) -> DataFrame:
+    """The same log, written once and read again: for what reads it several times. What
+    doesn't read it often reads a small one as it is."""
+    if not often and is_small(entries):
+        return entries
     return entries.sparkSession.read.schema(entries.schema).parquet(written(entries, "log"))
 
 

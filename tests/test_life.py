@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerfold.functions import running
 from ledgerfold.operators import history, life, overlay, queues
 from ledgerfold.sources import calls, views
 from ledgerfold.sources.tables import Tables
@@ -15,6 +16,25 @@ def log(spark, sf):
     return views.at_rest(views.log(views.read(spark, sf, "events")))
 
 
+def test_running_totals_by_buckets_and_by_one_window(spark, monkeypatch):
+    rows = [(g, (i * 37) % 101, i % 7) for i in range(101) for g in (1, 2, None)]
+    df = spark.createDataFrame(rows, "g long, at long, v long")
+    made = lambda: running.before(df, ["g"], F.shiftright("at", 3), [F.col("at")], {"total": F.col("v")}, {"top": F.col("v"), "last": F.struct("at", "v")})
+    whole = sorted(map(str, made().collect()))
+    monkeypatch.setattr(running, "SMALL", 1)
+    assert sorted(map(str, made().collect())) == whole and len(whole) == 303
+    for r in made().filter("g IS NULL").collect():
+        mine = sorted((a, v) for g, a, v in rows if g is None and a < r["at"])
+        assert r["total"] == sum(v for _, v in mine) and r["top"] == max((v for _, v in mine), default=None)
+        assert r["last"] == (mine[-1] if mine else None)
+
+
+def test_the_log_is_the_same_in_buckets(spark, sf, log, monkeypatch):
+    monkeypatch.setattr(running, "SMALL", 1)
+    monkeypatch.setattr(views, "BUCKET", 64)
+    assert sorted(map(str, views.log(views.read(spark, sf, "events")).collect())) == sorted(map(str, log.collect()))
+
+
 def test_policies():
     p = Policy().now(mutations=10, age=1.0)
     assert (p.mutations, p.bytes) == (10, 256 << 10)
