@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerfold.llm import lines, mixing, packing, simhash, toxicity
-from ledgerfold.llm.common import new_folder, table
+from ledgerfold.llm.common import cut, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +56,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder and read again."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source", "n_chars")
     for name, stage in STAGES:
-        folder = new_folder(spark, f"stage-{name.split()[0]}")
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(folder)
-        docs = spark.read.schema(out.schema).parquet(folder)
+        docs = cut(stage(spark, docs, sf_dir), f"stage-{name.split()[0]}")
     return docs
