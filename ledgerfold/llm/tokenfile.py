@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, text_of
+from .common import cut, small_batches, text_of
 from .words import Numbers, slices, words_of
 
 MAGIC = b"MPHIDS01"
@@ -291,7 +291,8 @@ def write(
 
     _make_folder(spark, folder)
     columns = "shard long, file string, n_docs long, n_ids long, n_void long, first long, last long"
-    done = cut(ordered.mapInArrow(write_shard, columns), "token-manifest")
+    with small_batches(spark):
+        done = cut(ordered.mapInArrow(write_shard, columns), "token-manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return done.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
