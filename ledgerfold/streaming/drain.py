@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..operators import fold, history, queues
 from ..sources.shared import shared_dir
 from ..sources.tables import Tables
-from ..sources.views import KINDS, long, ranges, tasks
+from ..sources.views import KINDS, long, ranges
 
 KEY = ["shard", "workflow", "run"]
 
